@@ -8,8 +8,9 @@ words taken) until they hit 0 or 1, so both totals stay where they were.  The
 walk takes three undecided documents at a time, hence is linear.  It runs in
 blocks of hashed documents of one source; what a block leaves undecided (at most
 two documents) meets the leftovers of other blocks in the next round, until a
-source has one block.  The landing phase then decides the last documents of a
-source one by one, in the way that keeps its words nearest to the target.
+source has one block.  That one stops at twelve undecided documents, and the
+landing phase takes the subset of these that keeps the source's words nearest to
+its target.
 
 Every choice comes from a hash of the document's id and words and a seed, so
 reruns agree under any partitioning.
@@ -37,6 +38,8 @@ MOST = 3.0
 #: Documents walked together in one task.
 BLOCK = 20_000
 SEED = 20240611
+#: Documents of a source that its landing phase decides together, over all their subsets.
+LEAVE = 12
 
 
 def n_words(text: Column) -> Column:
@@ -73,8 +76,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     return ranked.select("source", "source_size", "rank", target.alias("target"))
 
 
-def flight(pi: np.ndarray, size: np.ndarray, draw: np.ndarray, least: int = 3) -> np.ndarray:
-    """Moves inclusion probabilities in the null space of (count, words) until fewer than ``least`` are undecided.
+def flight(pi: np.ndarray, size: np.ndarray, draw: np.ndarray, leave: int = 2) -> np.ndarray:
+    """Moves inclusion probabilities in the null space of (count, words) until at most ``leave`` (2 or more) are undecided.
 
     With three documents the null space of the two constraints is the line
     (s3 - s2, s1 - s3, s2 - s1); with equal sizes, (1, -1, 0).
@@ -82,10 +85,10 @@ def flight(pi: np.ndarray, size: np.ndarray, draw: np.ndarray, least: int = 3) -
     p, s = pi.tolist(), size.tolist()
     eps = 1e-9
     live: list[int] = []
-    for k in range(len(p)):
-        if not eps < p[k] < 1 - eps:
-            p[k] = float(round(p[k]))
-            continue
+    todo = [k for k in range(len(p)) if eps < p[k] < 1 - eps]
+    for n, k in enumerate(todo):
+        if len(live) + len(todo) - n <= leave:
+            break
         live.append(k)
         if len(live) < 3:
             continue
@@ -114,13 +117,14 @@ def flight(pi: np.ndarray, size: np.ndarray, draw: np.ndarray, least: int = 3) -
 
 
 def landing(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Decides the at most two documents that the last flight left, largest first, nearest to the words they stand for."""
-    p = pi.copy()
-    left = sorted(np.flatnonzero((p > 0) & (p < 1)), key=lambda i: -size[i])
-    due = float(np.dot(p[left], size[left])) if left else 0.0
-    for i in left:
-        p[i] = 1.0 if due >= size[i] / 2 else 0.0
-        due -= p[i] * size[i]
+    """Decides what the last flight left: of all subsets, the one nearest to the words, then the documents, they stand for."""
+    p = np.where(pi <= 1e-9, 0.0, np.where(pi >= 1 - 1e-9, 1.0, pi))
+    left = np.flatnonzero((p > 0) & (p < 1))
+    if len(left):
+        takes = (np.arange(2 ** len(left))[:, None] >> np.arange(len(left))) & 1
+        words = np.abs(takes @ size[left] - np.dot(p[left], size[left])).round(6)
+        count = np.abs(takes.sum(axis=1) - p[left].sum())
+        p[left] = takes[np.lexsort((count, words))[0]]
     return p
 
 
@@ -128,7 +132,7 @@ def _walk(last: bool):
     def run(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["draw", "doc_id", "size"], kind="stable", na_position="first")
         size = block["size"].to_numpy(np.float64)
-        p = flight(block["pi"].to_numpy(), size, block["coin"].to_numpy())
+        p = flight(block["pi"].to_numpy(), size, block["coin"].to_numpy(), LEAVE if last else 2)
         return block.assign(pi=landing(p, size) if last else p)
 
     return run
