@@ -36,7 +36,7 @@ WEIGHTS = (1.0, 2.0, 3.0)
 #: A target stops at this many times its source's size.
 MOST = 3.0
 #: Documents walked together in one task.
-BLOCK = 20_000
+BLOCK = 2_000
 SEED = 20240611
 #: Documents of a source that its landing phase decides together, over all their subsets.
 LEAVE = 12
