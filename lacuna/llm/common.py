@@ -54,3 +54,11 @@ class Scratch:
         for df in frames:
             path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def thin(rows: DataFrame, about: int, seed: int = 7) -> DataFrame:
+    """``rows`` (with doc_id) thinned by a hash of doc_id to ``about`` of them; all, if they are fewer."""
+    n = rows.count()
+    if n <= about:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < int(about / n * (1 << 30)))

@@ -76,12 +76,17 @@ def chunks(data: np.ndarray, offsets: np.ndarray, size: int = CHUNK) -> Iterator
         a = b
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and for each row the index of its first word (n + 1)."""
+#: Bytes that separate bare tokens: white space, other control bytes and ASCII punctuation.
+BREAK = np.zeros(256, bool)
+BREAK[:128] = [not chr(i).isalnum() for i in range(128)]
+
+
+def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words (runs of bytes not in ``breaks``), and for each row the index of its first word (n + 1)."""
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offsets), np.int64)
-    ink = ~SPACE[data]
+    ink = ~breaks[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     first = ink.copy()
@@ -107,6 +112,22 @@ def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         return mix(total + lens.astype(np.uint64) * np.uint64(_BASE))
 
 
+def counts_in(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Number of set entries of ``mask`` in each row."""
+    total = np.concatenate(([0], np.cumsum(mask, dtype=np.int64)))
+    return np.diff(total[offsets])
+
+
+def distinct_in(keys: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Number of distinct keys in each row; ``rows`` are the rows' first indices (n + 1)."""
+    owner = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+    order = np.lexsort((keys, owner))
+    k, o = keys[order], owner[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
+    return np.bincount(o[new], minlength=len(rows) - 1)
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> list[np.ndarray]:
     """For each row the sorted distinct hashes of its ``k``-word shingles.
 
