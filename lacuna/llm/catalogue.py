@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import op03_packing, op04_quality, op05_media, op06_exact_dedup, op09_toxicity, op10_mixing
+from . import op03_packing, op04_quality, op05_media, op06_exact_dedup, op07_language, op09_toxicity, op10_mixing
 
 QUERIES = {
     "op3_packing": op03_packing.op3_packing,
     "op4_quality": op04_quality.op4_quality,
     "op5_media": op05_media.op5_media,
     "op6_exact_dedup": op06_exact_dedup.op6_exact_dedup,
+    "op7_language": op07_language.op7_language,
     "op9_toxicity": op09_toxicity.op9_toxicity,
     "op10_mixing": op10_mixing.op10_mixing,
 }
