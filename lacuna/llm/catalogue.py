@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import op03_packing, op04_quality, op05_media, op06_exact_dedup, op07_language, op09_toxicity, op10_mixing
+from . import op01_line_dedup, op03_packing, op04_quality, op05_media, op06_exact_dedup, op07_language, op09_toxicity, op10_mixing
 
 QUERIES = {
+    "op1_line_dedup": op01_line_dedup.op1_line_dedup,
     "op3_packing": op03_packing.op3_packing,
     "op4_quality": op04_quality.op4_quality,
     "op5_media": op05_media.op5_media,
@@ -15,5 +16,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_line_dedup": op01_line_dedup.SQL,
     "op6_exact_dedup": op06_exact_dedup.SQL,
 }

@@ -40,10 +40,15 @@ class Scratch:
         self._n = 0
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Writes ``df`` and returns the stored rows."""
+        """Writes ``df`` and returns the stored rows.
+
+        What its plan shuffled is of no more use then; a collection in the JVM
+        lets Spark delete those files now and not at some later time.
+        """
         self._n += 1
         path = f"{self.base}/{self._n}-{name}"
         df.write.parquet(path)
+        self.spark._jvm.System.gc()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
