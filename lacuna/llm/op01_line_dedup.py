@@ -130,17 +130,28 @@ def within(a: Column, b: Column, threshold: int) -> Column:
     return (F.abs(m - n) <= t) & (F.call_function("shiftright", last[f"r{t}"], m - n + t).bitwiseAND(F.lit(1)) == 1)
 
 
+def pinned(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once a row.
+
+    A filter or projection above is not pushed through a generator, so it reads
+    the values and does not repeat their expressions, as it would for
+    ``withColumn``.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def edit_within(a: str, b: str, threshold: int, pairs: DataFrame) -> DataFrame:
     """The pairs whose binary columns ``a`` and ``b`` are within ``threshold`` byte edits."""
     head = lambda x, k: F.substring(x, F.lit(1), k)
     tail = lambda x, k: F.substring(x, F.octet_length(x) - k + 1, k)
-    p = pairs.withColumn("_p", common_prefix(F.col(a), F.col(b), F.least(F.octet_length(a), F.octet_length(b)), head))
+    p = pinned(pairs, _p=common_prefix(F.col(a), F.col(b), F.least(F.octet_length(a), F.octet_length(b)), head))
     rest = lambda c: F.substring(c, F.col("_p") + 1, F.octet_length(c))
-    p = p.withColumn("_a", rest(F.col(a))).withColumn("_b", rest(F.col(b)))
-    p = p.withColumn("_s", common_prefix(F.col("_a"), F.col("_b"), F.least(F.octet_length("_a"), F.octet_length("_b")), tail))
+    p = pinned(p, _a=rest(F.col(a)), _b=rest(F.col(b)))
+    p = pinned(p, _s=common_prefix(F.col("_a"), F.col("_b"), F.least(F.octet_length("_a"), F.octet_length("_b")), tail))
     short = lambda c: F.substring(F.col(c), F.lit(1), F.octet_length(c) - F.col("_s"))
-    p = p.withColumn("_a", short("_a")).withColumn("_b", short("_b"))
-    return p.where(within(F.col("_a"), F.col("_b"), threshold)).drop("_a", "_b", "_p", "_s")
+    p = pinned(p, _c=short("_a"), _d=short("_b"))
+    p = pinned(p, _near=within(F.col("_c"), F.col("_d"), threshold))
+    return p.where("_near").drop("_a", "_b", "_c", "_d", "_p", "_s", "_near")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
