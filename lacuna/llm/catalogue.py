@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_line_dedup, op03_packing, op04_quality, op05_media, op06_exact_dedup, op07_language, op09_toxicity, op10_mixing
+from . import op01_line_dedup, op03_packing, op04_quality, op05_media, op06_exact_dedup, op07_language, op08_pii, op09_toxicity, op10_mixing
 
 QUERIES = {
     "op1_line_dedup": op01_line_dedup.op1_line_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_media": op05_media.op5_media,
     "op6_exact_dedup": op06_exact_dedup.op6_exact_dedup,
     "op7_language": op07_language.op7_language,
+    "op8_pii": op08_pii.op8_pii,
     "op9_toxicity": op09_toxicity.op9_toxicity,
     "op10_mixing": op10_mixing.op10_mixing,
 }
