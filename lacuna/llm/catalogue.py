@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import op01_line_dedup, op03_packing, op04_quality, op05_media, op06_exact_dedup, op07_language, op08_pii, op09_toxicity, op10_mixing
+from . import op01_line_dedup, op02_jaccard, op03_packing, op04_quality, op05_media, op06_exact_dedup, op07_language, op08_pii, op09_toxicity, op10_mixing
 
 QUERIES = {
     "op1_line_dedup": op01_line_dedup.op1_line_dedup,
+    "op2_jaccard": op02_jaccard.op2_jaccard,
     "op3_packing": op03_packing.op3_packing,
     "op4_quality": op04_quality.op4_quality,
     "op5_media": op05_media.op5_media,
