@@ -272,36 +272,43 @@ def train(docs: DataFrame, labels: DataFrame, label: str, sample: int, e_value:
 
 
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, threshold: float = THRESHOLD, e_value: float = E_VALUE
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, threshold: float = THRESHOLD, e_value: float = E_VALUE, keep: tuple[str, ...] = ("doc_id",)
 ) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted, and its significant passages (start and end token, score)."""
-    model = train(docs, labels, label, sample, e_value)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, score double, passages array<struct<start:long,end:long,score:double>>"
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """The columns ``keep`` of each document, held_out, score, predicted, and its significant passages (start and end token, score)."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label, sample, e_value))
+    kept = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
+    names = [f"_{i}" for i in range(len(keep))]
+    added = ["_score", "_passages"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
         for batch in batches:
-            if isinstance(shared.value, float):
-                n = batch.num_rows
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(n, shared.value)), pa.array([[]] * n, kept)], ["doc_id", "score", "passages"])
-                continue
-            lex, cal = shared.value
-            data, offsets = tk.buffers(batch.column("text"))
+            data, offsets = tk.buffers(batch.column("_text"))
             for first, end, raw, offs in tk.chunks(data, offsets):
-                row, a, b, total, n = passages(lex, raw, offs)
-                log_e = cal.log_e(total, n[row])
-                good = log_e < np.log(cal.e_value)
-                evidence = np.bincount(row[good], -log_e[good], minlength=end - first) if good.any() else np.zeros(end - first)
-                spans: list[list] = [[] for _ in range(end - first)]
-                for i, s, e, t in zip(row[good].tolist(), a[good].tolist(), b[good].tolist(), total[good].tolist()):
-                    spans[i].append({"start": s, "end": e, "score": t})
-                score = cal.probability(np.log1p(evidence))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first), pa.array(score), pa.array(spans, kept)], ["doc_id", "score", "passages"])
-
-    scored = docs.select("doc_id", "text").mapInArrow(run, schema)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "passages")
+                n = end - first
+                spans: list[list] = [[] for _ in range(n)]
+                if isinstance(shared.value, float):
+                    score = np.full(n, shared.value)
+                else:
+                    lex, cal = shared.value
+                    row, a, b, total, size = passages(lex, raw, offs)
+                    log_e = cal.log_e(total, size[row])
+                    good = log_e < np.log(cal.e_value)
+                    evidence = np.bincount(row[good], -log_e[good], minlength=n) if good.any() else np.zeros(n)
+                    for i, s, e, t in zip(row[good].tolist(), a[good].tolist(), b[good].tolist(), total[good].tolist()):
+                        spans[i].append({"start": s, "end": e, "score": t})
+                    score = cal.probability(np.log1p(evidence))
+                own = [batch.column(c).slice(first, n) for c in names]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(score), pa.array(spans, kept)], names + added)
+
+    types = ", ".join(f"_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    columns = [docs[c].alias(n) for c, n in zip(keep, names)] + [docs["text"].alias("_text"), held_out(docs["doc_id"]).alias("_held")]
+    schema = f"{types}, _held boolean, _score double, _passages array<struct<start:long,end:long,score:double>>"
+    names = [*names, "_held"]
+    scored = docs.select(*columns).mapInArrow(run, schema)
+    return scored.select(
+        *[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], F.col("_held").alias("held_out"), F.col("_score").alias("score"),
+        (F.col("_score") >= threshold).cast("int").alias("predicted"), F.col("_passages").alias("passages"),
+    )
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
