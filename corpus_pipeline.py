@@ -1,11 +1,83 @@
-"""The corpus pipeline; its stages come with the operators they call."""
+"""The corpus pipeline: from raw documents to packed training sequences.
 
-STAGES = []
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame.  All but the
+last return the columns of ``documents`` (doc_id, text, lang, source, n_chars),
+with n_chars the length of the text as it then is.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from lacuna.llm.common import Scratch, table
+from lacuna.llm.op01_line_dedup import dedup_lines
+from lacuna.llm.op02_jaccard import near_duplicates
+from lacuna.llm.op03_packing import pack
+from lacuna.llm.op09_toxicity import score_toxicity
+from lacuna.llm.op10_mixing import mix_sources, n_words
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity operator rejects go; a text without evidence stays, so do null and empty ones."""
+    scored = score_toxicity(docs, table(spark, sf_dir, "labels"), keep=COLUMNS)
+    return scored.where("predicted = 0").select(*COLUMNS)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier line, exactly or nearly, go; every document stays, if with an empty text."""
+    return dedup_lines(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates the document with the smallest doc_id stays.
+
+    Repeated rows of one doc_id count as one document; the row whose text hash is
+    smallest stays.  Documents without an id cannot be told apart and stay.
+    """
+    stays = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64("source", "lang"))
+    chosen = docs.join(stays, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    return chosen.select(*COLUMNS).unionAll(docs.where(F.col("doc_id").isNull()).select(*COLUMNS))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document is repeated as often as the mix takes it; those it takes no time go."""
+    taken = mix_sources(docs).select("doc_id", "source", "size", "copies")
+    by = ["doc_id", "source", "size"]
+    sized = docs.select(*COLUMNS, n_words(F.col("text")).alias("size"))
+    # Rows that are alike in id, source and size meet by their rank, so that each decision is used once.
+    a = sized.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("text"))))
+    b = taken.where("copies > 0").withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("copies"))))
+    b = b.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_n").alias("_k"), "copies")
+    same = [a[c].eqNullSafe(b[f"_{c}"]) for c in by] + [a["_n"] == b["_k"]]
+    return a.join(b, same).select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of power-of-two lengths with their token ids."""
+    return pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("jaccard_join", keep_one_of_near_duplicates),
+    ("mixing", mix),
+    ("packing", pack_sequences),
+]
+
+#: SQL cannot express the toxicity model; tests hold the stages against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn over ``documents``; each stage's rows are stored before the next reads them."""
+    scratch = Scratch(spark)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
