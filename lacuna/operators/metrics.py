@@ -85,8 +85,8 @@ def ks(df: DataFrame, c: str, groups: Sequence[str] = ()) -> DataFrame:
     steps = _sides(df, c, groups).groupBy(*groups, "v").agg(F.sum("side").alias("d"), F.count(F.lit(1)).alias("n"))
     run = Window.partitionBy(*groups).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy(*groups)
-    gap = steps.select(*groups, F.abs(F.sum("d").over(run)).alias("g"), F.sum("n").over(every).alias("n"))
-    return gap.groupBy(*groups).agg((F.max("g") / (F.max("n") / 2)).alias("value"))
+    gap = steps.select(*groups, F.abs(F.sum("d").over(run)).alias("_gap"), F.sum("n").over(every).alias("_n"))
+    return gap.groupBy(*groups).agg((F.max("_gap") / (F.max("_n") / 2)).alias("value"))
 
 
 def total_variation(df: DataFrame, c: str, groups: Sequence[str] = ()) -> DataFrame:
