@@ -173,17 +173,27 @@ class GroupedHoleGenerator(HoleGenerator):
 
 
 def place(free: np.ndarray, lengths: Sequence[int], total: int, rng: np.random.Generator) -> np.ndarray:
-    """A mask of about ``total`` cells: runs, longest first, uniformly where a free run with a separator is long enough."""
+    """A mask of ``total`` cells, if so many are free: runs, longest first, uniformly where a free run is long enough.
+
+    A cell apart separates runs, and the first row is left out, while there is
+    room; a run that fits nowhere is halved, a single cell may then touch another.
+    """
     mask, open_ = np.zeros(len(free), bool), free.copy()
     open_[:1] = False
-    for n in sorted(lengths, reverse=True):
-        n = min(n, total - int(mask.sum()))
+    todo = sorted(lengths)
+    while todo:
+        n = min(todo.pop(), total - int(mask.sum()))
         if n <= 0:
             break
-        ends = np.flatnonzero(np.convolve(open_, np.ones(n, int), "valid") == n) if n <= len(open_) else np.zeros(0, int)
-        if not len(ends):
+        fits = np.flatnonzero(np.convolve(open_, np.ones(n, int), "valid") == n) if n <= len(open_) else np.zeros(0, int)
+        if not len(fits) and n > 1:
+            todo = sorted([*todo, n // 2, n - n // 2])
             continue
-        a = int(rng.choice(ends))
+        if not len(fits):
+            fits = np.flatnonzero(free & ~mask)
+            if not len(fits):
+                break
+        a = int(rng.choice(fits))
         mask[a : a + n] = True
         open_[max(a - 1, 0) : a + n + 1] = False
     return mask

@@ -98,16 +98,16 @@ def total_variation(df: DataFrame, c: str, groups: Sequence[str] = ()) -> DataFr
 
 
 def kl_histogram(df: DataFrame, c: str, groups: Sequence[str] = (), bins: int = 19) -> DataFrame:
-    """KL of histograms over ``bins`` equal ranges of both sides' values, each share raised by the machine epsilon."""
+    """KL of histograms over ``bins`` equal ranges of both sides' values, each density raised by the machine epsilon."""
     s = _sides(df, c, groups)
     w = Window.partitionBy(*groups)
     lo, width = F.min("v").over(w), (F.max("v").over(w) - F.min("v").over(w)) / bins
     slot = F.when(F.col("width") > 0, F.least(F.floor((F.col("v") - F.col("lo")) / F.col("width")), F.lit(bins - 1))).otherwise(0)
     binned = s.withColumns({"lo": lo, "width": width}).withColumn("k", slot)
-    counts = binned.groupBy(*groups, "k").agg(F.sum((F.col("side") > 0).cast("double")).alias("a"), F.sum((F.col("side") < 0).cast("double")).alias("b"))
+    counts = binned.groupBy(*groups, "k").agg(F.sum((F.col("side") > 0).cast("double")).alias("a"), F.sum((F.col("side") < 0).cast("double")).alias("b"), F.max("width").alias("_w"))
     total = Window.partitionBy(*groups)
     # Empty bins add the same epsilon on both sides: nothing to the sum, and bins * eps to the norms.
-    p, q = F.col("a") / F.sum("a").over(total) + EPS, F.col("b") / F.sum("b").over(total) + EPS
+    p, q = (F.col(k) / F.sum(k).over(total) + EPS * F.col("_w") for k in "ab")
     terms = counts.select(*groups, p.alias("p"), q.alias("q"))
     return terms.groupBy(*groups).agg(F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))).alias("value"))
 

@@ -288,7 +288,7 @@ _by_g = lambda f: lambda s, d: f(scored(s, d), "x", ["g"]).select("g", r6("value
 query("metric_wasserstein", f"WITH {SC}, a AS (SELECT g, x, row_number() OVER (PARTITION BY g ORDER BY x) r FROM mk), b AS (SELECT g, y, row_number() OVER (PARTITION BY g ORDER BY y) r FROM mk) SELECT g, round(avg(abs(x - y)), 6) AS v FROM a JOIN b USING (g, r) GROUP BY g")(_by_g(metrics.wasserstein))
 query("metric_ks", f"WITH {SC}, u AS (SELECT g, x AS v, 1 AS s FROM mk UNION ALL SELECT g, y, -1 FROM mk), c AS (SELECT g, v, sum(s) AS s FROM u GROUP BY 1, 2), r AS (SELECT g, abs(sum(s) OVER (PARTITION BY g ORDER BY v)) AS k FROM c) SELECT g, round(max(k) / (SELECT count(*) FROM mk WHERE mk.g = r.g), 6) AS v FROM r GROUP BY g")(_by_g(metrics.ks))
 query("metric_kl_hist", f"""WITH {SC}, u AS (SELECT g, x AS v, 1 AS s FROM mk UNION ALL SELECT g, y, 0 FROM mk), r AS (SELECT g, min(v) lo, (max(v) - min(v)) / 19 w FROM u GROUP BY g),
-b AS (SELECT g, least(floor((v - lo) / w), 18) AS k, sum(s)::DOUBLE AS a, sum(1 - s)::DOUBLE AS c FROM u JOIN r USING (g) GROUP BY 1, 2), p AS (SELECT g, a / sum(a) OVER (PARTITION BY g) + 2.220446049250313e-16 AS p, c / sum(c) OVER (PARTITION BY g) + 2.220446049250313e-16 AS q FROM b)
+b AS (SELECT g, least(floor((v - lo) / w), 18) AS k, sum(s)::DOUBLE AS a, sum(1 - s)::DOUBLE AS c, max(w) AS w FROM u JOIN r USING (g) GROUP BY 1, 2), p AS (SELECT g, a / sum(a) OVER (PARTITION BY g) + 2.220446049250313e-16 * w AS p, c / sum(c) OVER (PARTITION BY g) + 2.220446049250313e-16 * w AS q FROM b)
 SELECT g, round(sum(p * ln(p / q)), 6) AS v FROM p GROUP BY g""")(_by_g(metrics.kl_histogram))
 query("metric_energy", f"""WITH {SC}, u AS (SELECT g, x AS v, 1 AS s FROM mk UNION ALL SELECT g, y, 0 FROM mk), r AS (SELECT g, v, 2 * row_number() OVER (PARTITION BY g ORDER BY v) - count(*) OVER (PARTITION BY g) - 1 AS a, 2 * row_number() OVER (PARTITION BY g, s ORDER BY v) - count(*) OVER (PARTITION BY g, s) - 1 AS o FROM u)
 SELECT g, round(2 * sum(a * v) - 4 * sum(o * v), 3) AS v FROM r GROUP BY g""")(lambda s, d: metrics.energy(scored(s, d), "x", ["g"]).select("g", (F.round("value", 3) + 0.0).alias("v")))

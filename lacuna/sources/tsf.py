@@ -43,7 +43,7 @@ def header(lines: list[str]) -> tuple[list[tuple[str, str]], dict[str, str]]:
     return attributes, settings
 
 
-def read_tsf(spark: SparkSession, path: str, value_column: str = "series_value", encoding: str = "cp1252") -> DataFrame:
+def read_tsf(spark: SparkSession, path: str, value_column: str = "series_value", encoding: str = "iso-8859-1") -> DataFrame:
     """One row a series: its attributes and its values as an array of doubles with NULL for ``?``."""
     text = spark.read.option("encoding", encoding).option("header", False).option("quote", "").option("sep", "\x01").csv(path).select(F.col("_c0").alias("value"))
     # The header is short and at the file's top; the rest stays distributed.
