@@ -142,57 +142,64 @@ def _regress_group(pdf: pd.DataFrame, columns: list[str], numbers: list[str], ma
 
 
 class Bagged:
-    """Regression trees on bootstrap samples with random thresholds tried; missing features go left."""
+    """Regression trees on bootstrap samples, split at quantile bins; missing features go left."""
 
-    def __init__(self, n_trees: int = 50, depth: int = 8, least: int = 2, tries: int = 8, seed: int = 0, bootstrap: bool = True):
-        self.n_trees, self.depth, self.least, self.tries, self.seed, self.bootstrap = n_trees, depth, least, tries, seed, bootstrap
-        self.trees: list = []
+    def __init__(self, n_trees: int = 50, depth: int = 8, least: int = 2, bins: int = 32, seed: int = 0, bootstrap: bool = True):
+        self.n_trees, self.depth, self.least, self.bins, self.seed, self.bootstrap = n_trees, depth, least, bins, seed, bootstrap
 
-    def _grow(self, x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int):
-        if depth == 0 or len(y) < self.least or np.ptp(y) == 0:
-            return float(y.mean())
+    def _codes(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([np.where(np.isnan(v), 0, np.searchsorted(c, v, side="left") + 1) for v, c in zip(x.T, self.cuts)], axis=1)
+
+    def _grow(self, codes: np.ndarray, y: np.ndarray, depth: int):
+        n, total = len(y), y.sum()
+        if depth == 0 or n < self.least or np.ptp(y) == 0:
+            return float(total / n)
         best = None
-        for j in rng.permutation(x.shape[1]):
-            v = x[:, j]
-            ok = v[~np.isnan(v)]
-            if not len(ok) or np.ptp(ok) == 0:
-                continue
-            for t in rng.uniform(ok.min(), ok.max(), self.tries):
-                right = v > t
-                n = right.sum()
-                if 0 < n < len(y):
-                    gain = y[right].sum() ** 2 / n + y[~right].sum() ** 2 / (len(y) - n)
-                    if best is None or gain > best[0]:
-                        best = (gain, int(j), float(t), right)
+        for j in range(codes.shape[1]):
+            count = np.cumsum(np.bincount(codes[:, j], minlength=self.bins + 1))[:-1]
+            part = np.cumsum(np.bincount(codes[:, j], y, self.bins + 1))[:-1]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = np.where((count > 0) & (count < n), part**2 / count + (total - part) ** 2 / (n - count), -np.inf)
+            k = int(gain.argmax())
+            if gain[k] > -np.inf and (best is None or gain[k] > best[0]):
+                best = (gain[k], j, k)
         if best is None:
-            return float(y.mean())
-        _, j, t, right = best
-        return j, t, self._grow(x[~right], y[~right], rng, depth - 1), self._grow(x[right], y[right], rng, depth - 1)
+            return float(total / n)
+        _, j, k = best
+        left = codes[:, j] <= k
+        return j, k, self._grow(codes[left], y[left], depth - 1), self._grow(codes[~left], y[~left], depth - 1)
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Bagged:
         rng = rand.generator("bagged", self.seed, x.shape)
+        grid = np.linspace(0, 1, self.bins)[1:-1]
+        self.cuts = []
+        for v in x.T:
+            seen = np.unique(v[~np.isnan(v)])
+            self.cuts.append((seen[:-1] + seen[1:]) / 2 if len(seen) < self.bins else np.unique(np.quantile(seen, grid)))
+        codes = self._codes(x)
         self.trees, self.oob = [], np.zeros((2, len(y)))
         for _ in range(self.n_trees):
             rows = rng.integers(0, len(y), len(y)) if self.bootstrap else np.arange(len(y))
-            tree = self._grow(x[rows], y[rows], rng, self.depth)
+            tree = self._grow(codes[rows], y[rows], self.depth)
             self.trees.append(tree)
             if self.bootstrap:
-                out = np.setdiff1d(np.arange(len(y)), rows)
-                self.oob[0, out] += self._ask(tree, x[out])
+                out = np.bincount(rows, minlength=len(y)) == 0
+                self.oob[0, out] += self._ask(tree, codes[out])
                 self.oob[1, out] += 1
         return self
 
-    def _ask(self, tree, x: np.ndarray) -> np.ndarray:
+    def _ask(self, tree, codes: np.ndarray) -> np.ndarray:
         if not isinstance(tree, tuple):
-            return np.full(len(x), tree)
-        j, t, a, b = tree
-        right = x[:, j] > t
-        out = np.empty(len(x))
-        out[right], out[~right] = self._ask(b, x[right]), self._ask(a, x[~right])
+            return np.full(len(codes), tree)
+        j, k, a, b = tree
+        left = codes[:, j] <= k
+        out = np.empty(len(codes))
+        out[left], out[~left] = self._ask(a, codes[left]), self._ask(b, codes[~left])
         return out
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        return np.mean([self._ask(t, x) for t in self.trees], axis=0)
+        codes = self._codes(x)
+        return np.mean([self._ask(t, codes) for t in self.trees], axis=0)
 
     def out_of_bag(self) -> np.ndarray:
         """Mean prediction of the trees that did not see a row; NaN where all did."""
