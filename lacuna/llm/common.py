@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import Scratch  # noqa: F401  the operators' import
+
 #: Every document's remainder decides on which side of the fixed hold-out split it is.
 HELD_OUT_REMAINDER = 2
 
@@ -22,43 +21,40 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(4)) == HELD_OUT_REMAINDER
 
 
-class Scratch:
-    """Tables written to the folder that driver and executors share.
+#: Bits of a broadcast map of keys, at most: 32 of them take 8 bytes, so 16 MB.
+MAP_BITS = 26
+
+
+class KeyMap:
+    """A bit map of hashed keys, of bounded size, that tells rows apart before they are shuffled.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Only where that is
-    unset, as in tests, is a local one made.  A saved table cuts the lineage
-    and survives the loss of any executor.
+    A row whose key is in the table is always found; others are let through the
+    more often the fuller the map is, which costs time and changes no result.
     """
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="lacuna-")
-            spark.conf.set("spark.checkpoint.dir", base)
-        self.base = f"{base}/lacuna-{uuid.uuid4().hex}"
-        self._n = 0
-
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Writes ``df`` and returns the stored rows.
-
-        What its plan shuffled is of no more use then; a collection in the JVM
-        lets Spark delete those files now and not at some later time.
-        """
-        self._n += 1
-        path = f"{self.base}/{self._n}-{name}"
-        df.write.parquet(path)
-        self.spark._jvm.System.gc()
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        """Deletes saved tables that no later step reads."""
-        jvm = self.spark._jvm
-        for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def __init__(self, keys: DataFrame, column: str, most: int = MAP_BITS):
+        self.bits = min(most, max(15, (16 * keys.count()).bit_length()))
+        page, at = self._place(F.col(column))
+        pages = keys.select(page.alias("_page"), at.alias("_at")).groupBy("_page").agg(F.bitmap_construct_agg("_at").alias("map"))
+        word = lambda i: F.conv(F.hex(F.substring("map", i * 4 + 1, F.lit(4))), 16, 10).cast("long")
+        self.pages = pages.select("_page", F.transform(F.sequence(F.lit(0), F.lit(1023)), word).alias("_words"))
+
+    def _place(self, key: Column) -> tuple[Column, Column]:
+        low = F.pmod(key, F.lit(1 << self.bits))
+        return F.shiftright(low, 15).cast("int"), F.pmod(key, F.lit(32768))
+
+    def marked(self, rows: DataFrame, key: Column, how: str) -> DataFrame:
+        """``rows`` with ``_maybe``; with ``how`` inner, only rows whose page exists."""
+        page, at = self._place(key)
+        placed = rows.select("*", page.alias("_page"), at.cast("int").alias("_at")).join(F.broadcast(self.pages), "_page", how)
+        # A word's first byte is its highest.
+        shift = (3 - F.shiftright("_at", 3) % 4) * 8 + F.col("_at") % 8
+        bit = F.call_function("shiftright", F.get("_words", F.shiftright("_at", 5)), shift).bitwiseAND(F.lit(1)) == 1
+        return placed.withColumn("_maybe", F.coalesce(bit, F.lit(False))).drop("_page", "_at", "_words")
+
+    def found(self, rows: DataFrame, key: Column) -> DataFrame:
+        """The rows whose key may be in the table."""
+        return self.marked(rows, key, "inner").where("_maybe").drop("_maybe")
 
 
 def thin(rows: DataFrame, about: int, seed: int = 7) -> DataFrame:

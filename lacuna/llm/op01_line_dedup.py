@@ -18,6 +18,11 @@ Verification.  Common prefixes and suffixes are cut off by bisection on native
 comparisons; over what is left runs a bit-parallel automaton: for each number of
 edits one word whose bits are the 2 * threshold + 1 diagonals of the band.
 
+A probe whose key no line indexes is dropped where it is made, by a broadcast bit
+map of the index keys that never takes more than 16 MB; in the same way only texts
+of lines in candidate pairs, and of documents that lose lines, are shuffled.  As
+the map fills up with very large inputs it lets more rows pass, and stays right.
+
 The rows that are joined hold hashes, not texts, so a line shared by very many
 documents is one row after map-side combining, and texts move only for lines in
 some candidate pair.
@@ -37,7 +42,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import KeyMap, Scratch, table
 
 THRESHOLD = 2
 LEAST_BYTES = 32
@@ -90,6 +95,8 @@ def probe_keys(raw: Column, n: Column, threshold: int, least: int) -> Column:
             start, size = _segment(length, i, threshold)
             low, high = max(-(i - 1), less - (threshold + 1 - i)), min(i - 1, less + (threshold + 1 - i))
             for shift in range(low, high + 1):
+                if less == shift == 0:
+                    continue  # the line's own segment, which it indexes
                 at = start + shift
                 fits = (at >= 1) & (at + size - 1 <= n) & (length >= least)
                 keys.append(F.when(fits, _key(length, i, F.substring(raw, at, size))))
@@ -166,16 +173,18 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, least_bytes: int
     hashed = long.withColumn("h", F.xxhash64("line"))
     raw, n = F.col("line").cast("binary"), F.octet_length("line")
     sig = hashed.select("h", raw.alias("raw"), n.alias("n"), signature(F.col("line")).alias("sig"))
-    index = sig.select("h", "sig", F.explode(index_keys(F.col("raw"), F.col("n"), threshold)).alias("key")).distinct()
-    probe = sig.select(F.col("h").alias("h2"), F.col("sig").alias("sig2"), F.explode(probe_keys(F.col("raw"), F.col("n"), threshold, least_bytes)).alias("key")).distinct()
-    pairs = scratch.save(
-        index.join(probe, (index["key"] == probe["key"]) & (F.col("h") != F.col("h2")) & near_signature(F.col("sig"), F.col("sig2"), threshold))
-        .select(F.least("h", "h2").alias("ha"), F.greatest("h", "h2").alias("hb")).distinct(),
-        "pairs",
-    )
+    index = scratch.save(sig.select("h", "sig", F.explode(index_keys(F.col("raw"), F.col("n"), threshold)).alias("key")).distinct(), "index")
+    probe = sig.select("h", "sig", F.explode(probe_keys(F.col("raw"), F.col("n"), threshold, least_bytes)).alias("key"))
+    probe = KeyMap(index, "key").found(probe, F.col("key")).distinct()
+    left = index.select("key", F.col("h").alias("ha"), F.col("sig").alias("sa"))
+    right = lambda df: df.select("key", F.col("h").alias("hb"), F.col("sig").alias("sb"))
+    near_sig = near_signature(F.col("sa"), F.col("sb"), threshold)
+    aligned = left.join(right(index), "key").where((F.col("ha") < F.col("hb")) & near_sig)
+    shifted = left.join(right(probe), "key").where((F.col("ha") != F.col("hb")) & near_sig)
+    pairs = scratch.save(aligned.unionAll(shifted).select(F.least("ha", "hb").alias("ha"), F.greatest("ha", "hb").alias("hb")).distinct(), "pairs")
     place = F.struct("doc_id", "th", "pos")
-    ids = pairs.select(F.col("ha").alias("h")).unionAll(pairs.select(F.col("hb").alias("h"))).distinct()
-    texts = scratch.save(hashed.join(ids, "h", "left_semi").groupBy("h", "line").agg(F.min(place).alias("first")).select("h", F.col("line").cast("binary").alias("raw"), "first"), "texts")
+    ids = scratch.save(pairs.select(F.explode(F.array("ha", "hb")).alias("h")).distinct(), "ids")
+    texts = scratch.save(KeyMap(ids, "h").found(hashed, F.col("h")).join(ids, "h", "left_semi").groupBy("h", "line").agg(F.min(place).alias("first")).select("h", F.col("line").cast("binary").alias("raw"), "first"), "texts")
     a = texts.select(F.col("h").alias("ha"), F.col("raw").alias("a"), F.col("first").alias("fa"))
     b = texts.select(F.col("h").alias("hb"), F.col("raw").alias("b"), F.col("first").alias("fb"))
     near = edit_within("a", "b", threshold, pairs.join(a, "ha").join(b, "hb"))
@@ -193,14 +202,19 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, least_bytes: int
 def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``; n_lines and n_removed are added."""
     gone = removed_lines(docs, threshold, least_bytes).withColumnsRenamed({"doc_id": "_doc", "th": "_th", "drop": "_drop"})
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_th")), "left")
-    lines = F.split(docs["text"], "\n", -1)
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    place = lambda doc, th: F.xxhash64(doc, th)
+    hashed = docs.select(*names, F.xxhash64("text").alias("_h"))
+    marked = KeyMap(gone.select(place("_doc", "_th").alias("_k")), "_k").marked(hashed, place("doc_id", "_h"), "left")
+    lines = F.split("text", "\n", -1)
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines")
+    # Documents that lose nothing stay where they are; only the others meet their list of lines.
+    whole = marked.where(~F.col("_maybe")).select(*names, n_lines, F.lit(0).cast("long").alias("n_removed"))
+    some = marked.where("_maybe").join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_h") == F.col("_th")), "left")
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_drop", i)), "\n")
-    text = F.when(F.col("_drop").isNull(), docs["text"]).otherwise(kept)
-    columns = [text.alias("text") if c == "text" else docs[c] for c in docs.columns if c not in ("n_lines", "n_removed")]
-    counts = F.coalesce(F.size(lines), F.lit(0)).cast("long"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long")
-    none = docs["text"].isNull()
-    return joined.select(*columns, F.when(none, 0).otherwise(counts[0]).alias("n_lines"), F.when(F.col("_drop").isNull(), 0).otherwise(counts[1]).alias("n_removed"))
+    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept).alias("text")
+    removed = F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long").alias("n_removed")
+    return whole.unionAll(some.select(*[text if c == "text" else F.col(c) for c in names], n_lines, removed))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
