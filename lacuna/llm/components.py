@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def components(edges: DataFrame, scratch: Scratch, jumps: int = 3) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, jumps: int = 2) -> DataFrame:
     """(id, comp) for every endpoint of ``edges`` (a, b): comp is the smallest id of its component.
 
     Each round points every vertex to its smallest neighbour or itself, follows
@@ -24,7 +24,8 @@ def components(edges: DataFrame, scratch: Scratch, jumps: int = 3) -> DataFrame:
         step = scratch.save(step, "pointers")
         for _ in range(jumps):
             ahead = step.select(F.col("v").alias("to"), F.col("to").alias("further"))
-            step = scratch.save(step.join(ahead, "to", "left").select("v", F.coalesce("further", "to").alias("to")), "pointers")
+            step = step.join(ahead, "to", "left").select("v", F.coalesce("further", "to").alias("to"))
+        step = scratch.save(step, "pointers")
         labels = scratch.save(labels.join(step.withColumnRenamed("v", "comp"), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")), "labels")
         left, right = step.select(F.col("v").alias("a"), F.col("to").alias("ta")), step.select(F.col("v").alias("b"), F.col("to").alias("tb"))
         moved = edges.join(left, "a").join(right, "b").where(F.col("ta") != F.col("tb"))

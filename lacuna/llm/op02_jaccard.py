@@ -14,7 +14,10 @@ hashes.
    The boundary is the size with the least cost: keys emitted against the lengths
    of the lists, which the sketch estimates.  Sets within 1/0.8 of the boundary do
    both, so no pair across it is lost.
-4. Lists of at most ``light`` sets give all their pairs of compatible sizes.
+4. Keys carry their place in the set's order.  A pair is a candidate at a key only
+   if what comes after it in both sets leaves enough to share, so a copy with many
+   shingles of its own meets few others.  Lists of at most ``light`` sets give all
+   their candidates.
    Longer ones are cut down first: the set whose shingles are commonest is
    compared with all others, those found linked become one component, and the
    next round takes the commonest of what is left.  After ``pivots`` rounds the
@@ -39,7 +42,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
@@ -49,7 +52,7 @@ from .components import components
 K = 5
 PERCENT = 80
 LIGHT = 32
-PIVOTS = 4
+PIVOTS = 2
 SLICES = 64
 #: Counters of the sketch: 2 bytes each, so at most 16 MB are broadcast whatever the input.
 LEAST_BITS, MOST_BITS = 12, 23
@@ -145,7 +148,10 @@ def boundary(sizes: list[tuple[int, int, float]], percent: int = PERCENT, per_li
 
 
 def _keys(sketch, k: int, percent: int, small: int):
-    """(doc_id, keys) of every set that can have a partner."""
+    """(doc_id, keys, at) of every set that can have a partner; ``at`` is the key's place (from 1) in the set's order.
+
+    For a pair of shingles it is the place of the second one less one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = np.uint64(64 - int(math.log2(len(sketch.value))))
@@ -153,10 +159,10 @@ def _keys(sketch, k: int, percent: int, small: int):
         for batch in batches:
             data, offsets = tk.buffers(batch.column("text"))
             for first, end, raw, offs in tk.chunks(data, offsets):
-                keys = []
+                keys, places = [], []
                 for s in tk.shingle_sets(raw, offs, k):
                     n = len(s)
-                    mine = []
+                    mine, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
                     if n > 1:
                         s = s[np.argsort(sketch.value[(s >> shift).astype(np.int64)], kind="stable")]  # by (count, hash)
                         if n <= small:
@@ -165,12 +171,16 @@ def _keys(sketch, k: int, percent: int, small: int):
                             lo, hi = np.minimum(p[i], p[j]), np.maximum(p[i], p[j])
                             with np.errstate(over="ignore"):
                                 mine.append(tk.mix(tk.mix(lo) + hi))
+                            at.append(j)
                         if n > small or n >= border:
                             mine.append(s[: prefix_size(n, 1, percent)])
-                    keys.append(np.concatenate(mine) if mine else np.zeros(0, np.uint64))
+                            at.append(np.arange(1, len(mine[-1]) + 1))
+                    keys.append(np.concatenate(mine))
+                    places.append(np.concatenate(at))
                 cuts = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
-                flat = pa.array(np.concatenate(keys).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first), pa.ListArray.from_arrays(pa.array(cuts), flat)], ["doc_id", "keys"])
+                flat, order = pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(places).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(pa.array(cuts), x) for x in (flat, order)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first), *lists], ["doc_id", "keys", "at"])
 
     return run
 
@@ -203,19 +213,27 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, light:
     joined = classes.where(F.col("id").isNotNull()).select("id", "n", "common").dropDuplicates(["id"])
     sizes = classes.where(f"n between 2 and {MOST_SMALL}").groupBy("n").agg(F.count("*").alias("sets"), F.sum("scan").alias("scan")).collect()
     small = boundary([(r["n"], r["sets"], r["scan"]) for r in sizes], percent)
-    keyed = docs.mapInArrow(_keys(sketch, k, percent, small), f"doc_id {kind}, keys array<long>").where(F.size("keys") > 0)
-    keyed = scratch.save(keyed.join(classes.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "keys"), "keys")
+    keyed = docs.mapInArrow(_keys(sketch, k, percent, small), f"doc_id {kind}, keys array<long>, at array<int>").where(F.size("keys") > 0)
+    keyed = scratch.save(keyed.join(classes.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "keys", "at"), "keys")
     keys = keyed.select(F.explode("keys").alias("key"), "id")
     lists = scratch.save(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "lists")
-    members = scratch.save(keys.join(lists, "key").join(joined, "id"), "members")
+    placed = keyed.select("id", F.inline(F.arrays_zip(F.col("keys").alias("key"), "at")))
+    members = scratch.save(placed.join(lists, "key").join(joined, "id"), "members")
     scratch.drop(keyed)
 
-    def fits(a: str, b: str):
-        return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+    def fits(na: str, ata: str, nb: str, atb: str) -> Column:
+        """Whether sets of these sizes can be similar if the shared key at these places is their first.
+
+        Then what they share is at most that key and all after it.  Similar sets
+        pass at the first key they share, so no link is lost.
+        """
+        a, b = F.col(na), F.col(nb)
+        reach = 1 + F.least(a - F.col(ata), b - F.col(atb))
+        return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (reach * (100 + percent) >= (a + b) * percent)
 
     few = members.where(F.col("c") <= light)
-    a, b = few.select("key", F.col("id").alias("a"), F.col("n").alias("na")), few.select("key", F.col("id").alias("b"), F.col("n").alias("nb"))
-    pairs = scratch.save(a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & fits("na", "nb")).select("a", "b").distinct(), "pairs")
+    a, b = (few.select("key", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}")) for x in "ab")
+    pairs = scratch.save(a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & fits("na", "ata", "nb", "atb")).select("a", "b").distinct(), "pairs")
     heavy = members.where(F.col("c") > light)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionAll(heavy.select("id")).distinct()
     texts = docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
@@ -229,7 +247,7 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, light:
     links = scratch.save(verified(pairs), "links")
     labels = components(links, scratch)
     for turn in range(pivots + 1):
-        now = heavy.join(labels, "id", "left").select("key", "id", "n", "common", F.coalesce("comp", "id").alias("comp"))
+        now = heavy.join(labels, "id", "left").select("key", "id", "n", "at", "common", F.coalesce("comp", "id").alias("comp"))
         open_keys = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("common", "comp")).alias("main")).where("lo <> hi")
         now = scratch.save(now.join(open_keys.select("key", F.col("main.comp").alias("main")), "key"), "open")
         outside = now.where(F.col("comp") != F.col("main")) if turn else now
@@ -237,10 +255,11 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, light:
             break
         if turn < pivots:
             # The commonest member, of the main component at first and then of those outside it.
-            one = outside.groupBy("key").agg(F.max(F.struct("common", "id", "n", "comp")).alias("p")).select("key", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pcomp"))
+            one = outside.groupBy("key").agg(F.max(F.struct("common", "id", "n", "at", "comp")).alias("p"))
+            one = one.select("key", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"), F.col("p.at").alias("pat"), F.col("p.comp").alias("pcomp"))
         else:
-            one = outside.select("key", F.col("id").alias("pid"), F.col("n").alias("pn"), F.col("comp").alias("pcomp"))
-        meet = now.join(one, "key").where((F.col("comp") != F.col("pcomp")) & fits("n", "pn"))
+            one = outside.select("key", F.col("id").alias("pid"), F.col("n").alias("pn"), F.col("at").alias("pat"), F.col("comp").alias("pcomp"))
+        meet = now.join(one, "key").where((F.col("comp") != F.col("pcomp")) & fits("n", "at", "pn", "pat"))
         tried = scratch.save(meet.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct(), "tried")
         links = scratch.save(links.unionAll(verified(tried)), "links")
         labels = components(links, scratch)
