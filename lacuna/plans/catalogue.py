@@ -141,13 +141,12 @@ def impute_residuals(s, d):
     return filled.select("event_id", (F.round(F.col("x") + 0.00000123, 5) + 0.0).alias("x"))
 
 
-PARTS = "pt AS (SELECT p_partkey AS id, CASE WHEN (p_partkey * 7919 + 104729) % 1000 < 150 THEN NULL ELSE p_size::DOUBLE END AS a, CASE WHEN (p_partkey * 6101 + 7717) % 1000 < 120 THEN NULL ELSE p_retailprice / 100 END AS b FROM part WHERE p_partkey % 10 = 0)"
+PARTS = "pt AS (SELECT p_partkey AS id, CASE WHEN (p_partkey * 7919 + 104729) % 1000 < 150 THEN NULL ELSE p_size::DOUBLE END AS a, CASE WHEN (p_partkey * 6101 + 7717) % 1000 < 120 THEN NULL ELSE p_retailprice / 100 END AS b, p_brand AS g FROM part)"
 
 
-def _parts(s: SparkSession, d: str, sparse: bool = True) -> DataFrame:
-    # Every tenth part: the set that the SQL form's quadratic pairing is stated for.
-    p = read(s, d, "part").where("p_partkey % 10 = 0") if sparse else read(s, d, "part")
-    return p.select(F.col("p_partkey").alias("id"), F.when(~F.expr("(p_partkey * 7919 + 104729) % 1000 < 150"), F.col("p_size").cast("double")).alias("a"), F.when(~F.expr("(p_partkey * 6101 + 7717) % 1000 < 120"), F.col("p_retailprice") / 100).alias("b"))
+def _parts(s: SparkSession, d: str) -> DataFrame:
+    size, price = F.expr("(p_partkey * 7919 + 104729) % 1000 < 150"), F.expr("(p_partkey * 6101 + 7717) % 1000 < 120")
+    return read(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("g"), F.when(~size, F.col("p_size").cast("double")).alias("a"), F.when(~price, F.col("p_retailprice") / 100).alias("b"))
 
 
 @query("em_conditional_mean_fixed", "SELECT p_partkey AS id, round(CASE WHEN (p_partkey * 7919 + 104729) % 1000 < 150 THEN 25 + 0.5 * (p_retailprice / 100 - 14) ELSE p_size END, 6) AS a FROM part")
@@ -177,16 +176,16 @@ s1 AS (SELECT *, CASE WHEN na <= nb THEN coalesce(a, (SELECT regr_intercept(a, b
 SELECT id, round(CASE WHEN na <= nb THEN a1 ELSE coalesce(a, (SELECT regr_intercept(a, b1) FROM s1 WHERE a IS NOT NULL) + (SELECT regr_slope(a, b1) FROM s1 WHERE a IS NOT NULL) * b1) END, 5) AS a,
  round(CASE WHEN na > nb THEN b1 ELSE coalesce(b, (SELECT regr_intercept(b, a1) FROM s1 WHERE b IS NOT NULL) + (SELECT regr_slope(b, a1) FROM s1 WHERE b IS NOT NULL) * a1) END, 5) AS b FROM s1""".replace("(SELECT regr_intercept(a, b0) + regr_slope(a, b0) * f.b0 FROM f WHERE a IS NOT NULL)", "(SELECT regr_intercept(a, b0) FROM f WHERE a IS NOT NULL) + (SELECT regr_slope(a, b0) FROM f WHERE a IS NOT NULL) * f.b0"))
 def impute_mice(s, d):
-    filled = regress.ImputerMICE(estimator="ols", max_iter=1, key=["id"]).fit_transform(_parts(s, d, False))
+    filled = regress.ImputerMICE(estimator="ols", max_iter=1, key=["id"]).fit_transform(_parts(s, d).drop("g"))
     return filled.select("id", (F.round("a", 5) + 0.0).alias("a"), (F.round("b", 5) + 0.0).alias("b"))
 
 
-@query("impute_knn", f"""WITH {PARTS}, c AS (SELECT l.id, r.id AS donor, r.a, sqrt(CASE WHEN l.b IS NOT NULL AND r.b IS NOT NULL THEN 2 * (l.b - r.b) * (l.b - r.b) END) AS dist FROM pt l JOIN pt r ON l.a IS NULL AND r.a IS NOT NULL),
+@query("impute_knn", f"""WITH {PARTS}, c AS (SELECT l.id, r.id AS donor, r.a, sqrt(CASE WHEN l.b IS NOT NULL AND r.b IS NOT NULL THEN 2 * (l.b - r.b) * (l.b - r.b) END) AS dist FROM pt l JOIN pt r ON l.g = r.g AND l.a IS NULL AND r.a IS NOT NULL),
 k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, donor) AS n FROM c WHERE dist IS NOT NULL),
 v AS (SELECT id, coalesce(avg(a) FILTER (dist = 0), sum(a / nullif(dist, 0)) / sum(1 / nullif(dist, 0))) AS a FROM k WHERE n <= 5 GROUP BY id)
-SELECT pt.id, round(coalesce(pt.a, v.a, (SELECT avg(a) FROM pt)), 6) AS a FROM pt LEFT JOIN v USING (id)""")
+SELECT pt.id, round(coalesce(pt.a, v.a, avg(pt.a) OVER (PARTITION BY pt.g)), 6) AS a FROM pt LEFT JOIN v USING (id)""")
 def impute_knn(s, d):
-    return knn.ImputerKNN(n_neighbors=5, key=["id"]).fit_transform(_parts(s, d)).select("id", r6("a").alias("a"))
+    return knn.ImputerKNN(n_neighbors=5, key=["id"], groups=["g"]).fit_transform(_parts(s, d)).select("id", r6("a").alias("a"))
 
 
 query("impute_shuffle_hash")(lambda s, d: _invariants(events(s, d), simple.ImputerShuffle(seed=3, **BY).fit_transform(events(s, d))))
@@ -292,8 +291,8 @@ b AS (SELECT g, least(floor((v - lo) / w), 18) AS k, sum(s)::DOUBLE AS a, sum(1
 SELECT g, round(sum(p * ln(p / q)), 6) AS v FROM p GROUP BY g""")(_by_g(metrics.kl_histogram))
 query("metric_energy", f"""WITH {SC}, u AS (SELECT g, x AS v, 1 AS s FROM mk UNION ALL SELECT g, y, 0 FROM mk), r AS (SELECT g, v, 2 * row_number() OVER (PARTITION BY g ORDER BY v) - count(*) OVER (PARTITION BY g) - 1 AS a, 2 * row_number() OVER (PARTITION BY g, s ORDER BY v) - count(*) OVER (PARTITION BY g, s) - 1 AS o FROM u)
 SELECT g, round(2 * sum(a * v) - 4 * sum(o * v), 3) AS v FROM r GROUP BY g""")(lambda s, d: metrics.energy(scored(s, d), "x", ["g"]).select("g", (F.round("value", 3) + 0.0).alias("v")))
-query("metric_pairwise_l1", f"WITH {SC}, m AS (SELECT * FROM mk WHERE event_id % 5 = 0) SELECT a.g, round(sum(abs(a.x - b.y)), 3) AS v FROM m a JOIN m b ON a.g = b.g GROUP BY a.g")(
-    lambda s, d: metrics.pairwise_l1(scored(s, d).where("event_id % 5 = 0"), ["x"], ["g"]).select("g", (F.round("value", 3) + 0.0).alias("v"))
+query("metric_pairwise_l1", f"WITH {SC}, m AS (SELECT * FROM mk) SELECT a.g, round(sum(abs(a.x - b.y)), 3) AS v FROM m a JOIN m b ON a.g = b.g GROUP BY a.g")(
+    lambda s, d: metrics.pairwise_l1(scored(s, d), ["x"], ["g"]).select("g", (F.round("value", 3) + 0.0).alias("v"))
 )
 
 
@@ -352,7 +351,7 @@ def comparator_table(s, d):
 
 @query("search_improves", "SELECT true AS improved")
 def search_improves(s, d):
-    e = read(s, d, "events").where("event_type = 'view'").select("event_id", F.col("value").alias("x")).withColumns({"m_x": F.expr(HOLE), "fold": F.lit(0)})
+    e = read(s, d, "events").select("event_id", F.col("value").alias("x")).withColumns({"m_x": F.expr(HOLE), "fold": F.lit(0)})
     f = objective_of(simple.ImputerSimple(strategy="constant", key=["event_id"], columns=["x"]), e, ["x"], "mae")
     best = minimize(lambda p: f(p), {"fill_value": ("uniform", 0.0, 200.0)}, 8)[1]
     return s.createDataFrame([(best < f({"fill_value": 200.0}),)], "improved boolean")
