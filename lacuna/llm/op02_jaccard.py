@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, light:
     links = scratch.save(verified(pairs), "links")
     labels = components(links, scratch)
     for turn in range(pivots + 1):
-        now = heavy.join(labels, "id", "left").select("key", "id", "n", "at", "common", F.coalesce("comp", "id").alias("comp"))
+        now = scratch.save(heavy.join(labels, "id", "left").select("key", "id", "n", "at", "common", F.coalesce("comp", "id").alias("comp")), "labelled")
         open_keys = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("common", "comp")).alias("main")).where("lo <> hi")
         now = scratch.save(now.join(open_keys.select("key", F.col("main.comp").alias("main")), "key"), "open")
         outside = now.where(F.col("comp") != F.col("main")) if turn else now
