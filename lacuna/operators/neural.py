@@ -140,7 +140,8 @@ class ImputerDiffusion(_Neural):
     """Denoising diffusion: ``model`` TabDDPM over rows, TsDDPM over windows of rows.
 
     A linear noise schedule; a network predicts the noise of cells from the noisy
-    row and a sine embedding of the step; the reverse process keeps observed
+    row and a sine embedding of the step; an epoch shuffles all rows and walks
+    them in batches, the last one short.  The reverse process keeps observed
     cells at their noised values.  ``num_sampling`` draws are averaged and, with
     ``is_clip``, kept within the range seen.  Windows are the last ``freq_rows``
     rows; only a window's last row is written back.
@@ -162,11 +163,14 @@ class ImputerDiffusion(_Neural):
         net = build_mlp(x.shape[1] * 2 + size, self.param("hidden", default=(64, 64)), x.shape[1], rng)
         batch = min(n, int(self.param("batch_size", default=256)))
         for _ in range(int(self.param("epochs", default=200))):
-            rows, t = rng.integers(0, n, batch), rng.integers(0, steps, batch)
-            noise = rng.normal(size=(batch, x.shape[1]))
-            noisy = np.sqrt(alpha[t])[:, None] * x[rows] + np.sqrt(1 - alpha[t])[:, None] * noise
-            y, kept = net.forward(np.concatenate([noisy, known[rows], embed[t]], axis=1))
-            net.step(kept, 2 * (y - noise) * known[rows] / max(known[rows].sum(), 1), float(self.param("learning_rate", default=1e-3)))
+            order = rng.permutation(n)
+            for at in range(0, n, batch):
+                rows = order[at : at + batch]
+                t = rng.integers(0, steps, len(rows))
+                noise = rng.normal(size=(len(rows), x.shape[1]))
+                noisy = np.sqrt(alpha[t])[:, None] * x[rows] + np.sqrt(1 - alpha[t])[:, None] * noise
+                y, kept = net.forward(np.concatenate([noisy, known[rows], embed[t]], axis=1))
+                net.step(kept, 2 * (y - noise) * known[rows] / max(known[rows].sum(), 1), float(self.param("learning_rate", default=1e-3)))
         total = np.zeros_like(x)
         draws = int(self.param("num_sampling", default=5))
         for _ in range(draws):

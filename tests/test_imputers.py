@@ -159,3 +159,18 @@ def test_low_rank_costs_fall():
     assert lowrank.SoftImpute.cost(d, known, soft, 0.1) <= lowrank.SoftImpute.cost(d, known, np.where(known, d, 0), 0.1)
     low, sparse = lowrank.RpcaPcp(lam=0.0).decompose(d, np.ones_like(known))
     assert low + sparse == pytest.approx(d, abs=1e-3)
+
+
+def test_diffusion_epoch_walks_all_rows(monkeypatch):
+    steps = []
+    step = neural.Dense.step
+    monkeypatch.setattr(neural.Dense, "step", lambda net, kept, g, rate: (steps.append(kept[0][:, :2].copy()), step(net, kept, g, rate))[1])
+    z = np.random.default_rng(0).normal(size=(700, 2))
+    z[::7, 1] = np.nan
+    neural.ImputerDiffusion(epochs=3, num_noise_steps=4, num_sampling=1, **KW).impute(z, np.random.default_rng(1), None)
+    assert [len(s) for s in steps] == [256, 256, 188] * 3
+    # Without noise the network sees the rows themselves: each once an epoch.
+    steps.clear()
+    neural.ImputerDiffusion(epochs=2, num_noise_steps=1, beta_start=0.0, beta_end=0.0, num_sampling=1, **KW).impute(z, np.random.default_rng(1), None)
+    for e in (0, 3):
+        assert sorted(np.concatenate(steps[e : e + 3])[:, 0]) == pytest.approx(sorted(z[:, 0]))
