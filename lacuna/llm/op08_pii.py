@@ -5,7 +5,12 @@ format, so equal values get equal pseudonyms in every document and nothing else
 changes:
 
 * payment cards: 13 to 19 digits that pass the Luhn check; the digits but the
-  last are permuted, the check digit is computed anew;
+  last are permuted, the check digit is computed anew.  In a run of digits with
+  single blanks or hyphens the whole run is tried
+  first, then the stretches between blanks or hyphens, of 16 digits,
+  15, and then the longest ones; what no card takes is searched for other items.
+  A stretch's groups, but the last, have three digits or more, so that lists of
+  small numbers are not read as cards;
 * telephone numbers with an international or area prefix: the last seven digits
   are permuted together with the area code, the country code stays;
 * social security numbers (area not 000, 666 or 900 up; group and serial not zero);
@@ -48,10 +53,12 @@ PATTERNS = {
     "day_date": r"(?<![\d./])(?:0[1-9]|[12]\d|3[01])([./])(?:0[1-9]|1[0-2])\1(?:19|20)\d\d(?![\d/]|\.\d)",
     "ssn": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|(?<=\+\d{1,3}[ .-])\d{3}[ .-]|\d{3}[.-])\d{3}[ .-]\d{4}(?!\d)",
-    "card": r"(?<![\d])\d(?:[ -]?\d){12,18}(?!\d)",
+    "card": r"(?<!\d)\d(?:[ -]?\d){12,}+",
 }
 #: All items; the back reference of day_date is the only group.
 ANY = "|".join(PATTERNS.values())
+#: What a run of digits may hold beside cards.
+IN_RUN = "|".join(PATTERNS[k] for k in ("iso_date", "ssn", "phone"))
 
 FIRST_DAY, DAYS = "1900-01-01", 73049
 
@@ -126,6 +133,59 @@ def luhn_sum(d: Column) -> Column:
     return F.aggregate(places, F.lit(0), lambda s, v: s + F.coalesce(v, F.lit(0)))
 
 
+def cards(run: Column) -> Column:
+    """(from, to) of the cards in a run of digits, as places from 1 of its first and last character, in order.
+
+    Of valid stretches that overlap the whole run wins, then 16 digits, 15, the
+    longest, and the first.
+    """
+    none = F.array().cast("array<struct<from:int,to:int>>")
+
+    def chosen(groups: Column) -> Column:
+        n = F.size(groups)
+        number = lambda w: F.array_join(F.slice(groups, w["i"], w["j"] - w["i"] + 1), "")
+        formed = lambda w: F.forall(F.slice(groups, w["i"], w["j"] - w["i"]), lambda g: F.length(g) >= 3)
+        whole = lambda w: (w["i"] == 1) & (w["j"] == n)
+        # As a start of the run any grouping is tried, if no longer start has up to 19 digits.
+        start = lambda w: (w["i"] == 1) & (F.length(number(w)) + F.coalesce(F.length(F.get(groups, w["j"])), F.lit(19)) > 19)
+
+        def placed(w: Column) -> Column:
+            size = F.length(number(w))
+            rank = F.when(whole(w), 0).when(~formed(w), 30).when(size == 16, 1).when(size == 15, 2).otherwise(22 - size)
+            before = F.aggregate(F.slice(groups, F.lit(1), w["i"] - 1), F.lit(1), lambda s, g: s + F.length(g) + 1)
+            return F.struct(rank.alias("rank"), before.alias("from"), (before + size + w["j"] - w["i"] - 1).alias("to"))
+
+        windows = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, F.least(i + 18, n)), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+        valid = F.filter(windows, lambda w: F.length(number(w)).between(13, 19) & (formed(w) | start(w)) & (luhn_sum(number(w)) % 10 == 0))
+        span = lambda c: F.struct(c["from"].alias("from"), c["to"].alias("to"))
+        free = lambda taken, c: ~F.exists(taken, lambda t: (t["from"] <= c["to"]) & (c["from"] <= t["to"]))
+        return F.aggregate(F.array_sort(F.transform(valid, placed)), none, lambda taken, c: F.when(free(taken, c), F.concat(taken, F.array(span(c)))).otherwise(taken))
+
+    # The aggregate keeps the groups from being split again for every window.
+    return F.array_sort(F.aggregate(F.array(F.split(run, "[ -]")), none, lambda _, groups: chosen(groups)))
+
+
+def _part(text: Column, item: Column | bool) -> Column:
+    return F.struct(text.alias("text"), (F.lit(item) if isinstance(item, bool) else item).alias("item"))
+
+
+def _parts(between: Column, found: Column) -> Column:
+    """(text, item) parts of a text from what lies between its items and the items."""
+    return F.concat(F.array(_part(F.element_at(between, 1), False)), F.flatten(F.zip_with(found, F.slice(between, F.lit(2), F.size(found)), lambda m, b: F.array(_part(m, True), _part(b, False)))))
+
+
+def run_parts(run: Column) -> Column:
+    """(text, item) parts of a run of digits: its cards, and other items in what is left."""
+    rest = lambda t: _parts(F.split(t, IN_RUN, -1), F.regexp_extract_all(t, F.lit(IN_RUN), F.lit(0)))
+    start = F.struct(F.array().cast("array<struct<text:string,item:boolean>>").alias("out"), F.lit(1).alias("at"))
+
+    def put(s: Column, c: Column) -> Column:
+        before, card = F.substring(run, s["at"], c["from"] - s["at"]), F.substring(run, c["from"], c["to"] - c["from"] + 1)
+        return F.struct(F.concat(s["out"], rest(before), F.array(_part(card, True))).alias("out"), (c["to"] + 1).alias("at"))
+
+    return F.aggregate(cards(run), start, put, lambda s: F.concat(s["out"], rest(F.substring(run, s["at"], F.length(run)))))
+
+
 def permuted_characters(key: str, kind: str, s: Column) -> Column:
     """A permutation of strings that keeps each character's class: digits, small and capital letters move within theirs.
 
@@ -199,14 +259,15 @@ def pseudonymise(docs: DataFrame, key: str = TEST_KEY) -> DataFrame:
     """``docs`` with the items in ``text`` replaced; n_items counts those that changed."""
     text = F.col("text")
     pieces = F.when(text.rlike(ANY), F.struct(F.split(text, ANY, -1).alias("between"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("found")))
+    is_run = lambda p: p["item"] & p["text"].rlike(f"^(?:{PATTERNS['card']})$") & ~p["text"].rlike(f"^(?:{IN_RUN})$")
+    parts = F.flatten(F.transform(_parts(F.col("_p.between"), F.col("_p.found")), lambda p: F.when(is_run(p), run_parts(p["text"])).otherwise(F.array(p))))
     # The generators keep what they make from being computed again wherever it is read.
     a = docs.select("*", F.inline(F.array(F.struct(pieces.alias("_p")))))
-    b = a.select("*", F.inline(F.array(F.struct(F.transform("_p.found", lambda m: pseudonym(key, m)).alias("_new")))))
-    join = F.aggregate(
-        F.sequence(F.lit(1), F.size("_new")), F.array(F.element_at("_p.between", 1)), lambda s, i: F.concat(s, F.array(F.element_at("_new", i), F.element_at("_p.between", i + 1)))
-    )
-    changed = F.size(F.filter(F.arrays_zip(F.col("_p.found").alias("old"), F.col("_new").alias("new")), lambda z: z["old"] != z["new"]))
-    out = F.when(F.col("_p").isNull(), text).otherwise(F.array_join(join, ""))
+    a = a.select("*", F.inline(F.array(F.struct(F.when(F.col("_p").isNotNull(), parts).alias("_parts")))))
+    new = F.transform("_parts", lambda p: F.when(p["item"], pseudonym(key, p["text"])).otherwise(p["text"]))
+    b = a.select("*", F.inline(F.array(F.struct(new.alias("_new")))))
+    changed = F.size(F.filter(F.zip_with("_parts", "_new", lambda p, new: p["text"] != new), lambda c: c))
+    out = F.when(F.col("_p").isNull(), text).otherwise(F.array_join("_new", ""))
     kept = [out.alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "n_items"]
     return b.select(*kept, F.when(F.col("_p").isNull(), 0).otherwise(changed).cast("long").alias("n_items"))
 

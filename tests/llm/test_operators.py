@@ -414,6 +414,25 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert "555-2485" not in got[0] and "42.144.35.254" not in got[0] and "bosbt" not in got[0] and "@mail8.example.com" in got[0]
 
 
+def test_cards_beside_other_numbers(spark):
+    card, grouped = "4785380592391139", "4785 3805 9239 1139"
+    forms = [
+        "{} 12/27", "{} 123", "card 2 {}", "1 {} 12/27 123", "1234567 {}", "{} 123456", "7-{}", "{} {}", "{} 99 {}", "1 2 {} 555-123-4567", "2020-01-02 {} 123-45-6789", "555 {}",
+    ]
+    texts = [f.replace("{}", c) for f in forms for c in (card, grouped)] + ["3782 822463 10005 12", "1234567 1985-03-04", "555 123-456-7890", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15", "4785380592391138 12", "1" * 30, "1 " * 20_000]
+    rows = spark.createDataFrame(list(enumerate([card, *texts])), "doc_id long, text string")
+    alone, *got = [r["text"] for r in op8.pseudonymise(rows).orderBy("doc_id").collect()]
+    assert alone != card and luhn(alone)
+    for text, new in zip(texts[: 2 * len(forms)], got):
+        assert re.sub(r"\D", "", new).count(alone) == re.sub(r"\D", "", text).count(card), text
+        for secret in (card, grouped, "123-45-6789", "123-4567", "2020-01-02"):
+            assert secret not in new, text
+    amex, day, phone, *same = got[2 * len(forms) :]
+    assert amex.endswith(" 12") and luhn(re.sub(r"\D", "", amex)[:15]) and "822463" not in amex
+    assert day.startswith("1234567 ") and "1985-03-04" not in day and phone.startswith("555 ") and "456-7890" not in phone
+    assert same == texts[-4:]
+
+
 def test_feistel_is_a_permutation(spark):
     two = spark.range(100).select(F.lpad(F.col("id").cast("string"), 2, "0").alias("d"))
     assert two.select(op8.permuted_digits("k", "t", F.col("d"))).distinct().count() == 100
