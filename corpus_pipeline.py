@@ -28,8 +28,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line, exactly or nearly, go; every document stays, if with an empty text."""
-    return dedup_lines(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Lines that repeat an earlier line, or are near one, go; every document stays, if with an empty text.
+
+    All lines but empty ones are compared for equality, those of 32 bytes or more
+    also for being within two byte edits.
+    """
+    return dedup_lines(docs.select(*COLUMNS), exact_bytes=1).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

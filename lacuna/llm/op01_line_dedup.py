@@ -1,6 +1,7 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
-Lines of at least ``least_bytes`` UTF-8 bytes are compared.  An occurrence is
+Lines of at least ``least_bytes`` UTF-8 bytes are compared; with ``exact_bytes``,
+shorter ones down to that length are too, for equality only.  An occurrence is
 removed when an equal line, or a line within ``threshold`` byte edits (insert,
 delete, replace), occurs first at an earlier place; places are ordered by
 (doc_id, text, line number).  A line near an earlier line goes whether or not
@@ -28,7 +29,7 @@ documents is one row after map-side combining, and texts move only for lines in
 some candidate pair.
 
 Defined cases: a null text has no line and stays null; an empty text has one
-line, the empty one, which is too short to compare.  Lines end at "\\n" only.  A
+line, the empty one, which is never compared.  Lines end at "\\n" only.  A
 null doc_id comes first.  Rows with equal doc_id are told apart by their text;
 rows equal in both count as the same place, and their lines stay or go together.
 Documents are never removed: one that loses every line has an empty text.  Extra
@@ -166,11 +167,11 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
 
 
-def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, least_bytes: int = LEAST_BYTES, scratch: Scratch | None = None) -> DataFrame:
+def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, least_bytes: int = LEAST_BYTES, scratch: Scratch | None = None, exact_bytes: int | None = None) -> DataFrame:
     """(doc_id, th, drop): for each place of a document the positions of lines to remove."""
     scratch = scratch or Scratch(docs.sparkSession)
-    long = lines_of(docs).where(F.octet_length("line") >= least_bytes)
-    hashed = long.withColumn("h", F.xxhash64("line"))
+    lines = lines_of(docs).withColumn("h", F.xxhash64("line"))
+    hashed = lines.where(F.octet_length("line") >= least_bytes)
     raw, n = F.col("line").cast("binary"), F.octet_length("line")
     sig = hashed.select("h", raw.alias("raw"), n.alias("n"), signature(F.col("line")).alias("sig"))
     index = scratch.save(sig.select("h", "sig", F.explode(index_keys(F.col("raw"), F.col("n"), threshold)).alias("key")).distinct(), "index")
@@ -191,7 +192,8 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, least_bytes: int
     later = F.when(F.col("fa") > F.col("fb"), F.col("fa")).otherwise(F.col("fb"))
     near = scratch.save(near.select(later.alias("first")).distinct(), "near")
     # Equal lines: two hashes name a line; the first place of each, and whether the line is near an earlier one.
-    known = hashed.select("h", F.xxhash64(F.lit(1), "line").alias("g"), place.alias("place"))
+    equal = hashed if exact_bytes is None else lines.where(F.octet_length("line") >= max(1, min(exact_bytes, least_bytes)))
+    known = equal.select("h", F.xxhash64(F.lit(1), "line").alias("g"), place.alias("place"))
     firsts = known.groupBy("h", "g").agg(F.min("place").alias("first"), F.count("*").alias("n"))
     marked = firsts.join(near.withColumn("is_near", F.lit(True)), "first", "left")
     guilty = marked.where((F.col("n") > 1) | F.col("is_near"))
@@ -199,9 +201,9 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, least_bytes: int
     return scratch.save(gone.select("place.*").groupBy("doc_id", "th").agg(F.collect_set("pos").alias("drop")), "drop")
 
 
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, least_bytes: int = LEAST_BYTES) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, least_bytes: int = LEAST_BYTES, exact_bytes: int | None = None) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``; n_lines and n_removed are added."""
-    gone = removed_lines(docs, threshold, least_bytes).withColumnsRenamed({"doc_id": "_doc", "th": "_th", "drop": "_drop"})
+    gone = removed_lines(docs, threshold, least_bytes, exact_bytes=exact_bytes).withColumnsRenamed({"doc_id": "_doc", "th": "_th", "drop": "_drop"})
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     place = lambda doc, th: F.xxhash64(doc, th)
     hashed = docs.select(*names, F.xxhash64("text").alias("_h"))

@@ -130,6 +130,18 @@ def test_line_dedup_equals_brute_force(spark, threshold):
     assert got == dedup_brute(docs, threshold, 10)
 
 
+def test_line_dedup_of_short_lines_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    licence, near = "Released under the MIT License.", "A line that is long enough to be compared for edits"
+    docs = {1: f"x\n{licence}\n\n{near}", 2: f"y\nx\n{licence}\n\n{near}!", 3: f"{licence[:-1]}!\nx", 4: "\n\n"}
+    df = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in docs.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, df, "").collect()}
+    assert got == {1: docs[1], 2: "y\n", 3: f"{licence[:-1]}!", 4: "\n\n"}
+    # The query's lengths are those of its SQL.
+    assert {r["doc_id"]: r["text"] for r in op1.dedup_lines(df).collect()} == docs | {2: f"y\nx\n{licence}\n"}
+
+
 def test_line_dedup_keeps_documents_and_columns(table):
     got = op1.dedup_lines(table).collect()
     assert got[0].asDict().keys() == {*table.columns, "n_lines", "n_removed"} - {"x"}
