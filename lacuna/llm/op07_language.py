@@ -13,10 +13,11 @@ word.  Single bytes back every piece up, so each word has a segmentation.
 Learning takes labelled documents outside the held-out quarter, thinned by a hash
 to about ``sample`` rows, and runs ``rounds`` of expectation-maximisation: the
 forward and backward values of all distinct words give the expected number of
-uses of each piece.  The fitted model is one array (languages x pieces) of a size
-that the vocabulary fixes.
+uses of each piece, for words of any length.  The fitted model is one array
+(languages x pieces); every language that is taught has its column.
 
-Both use whole texts.  In a batch each distinct word is scored once.
+Both use whole texts, whose words, in scripts without blanks whole sentences, are
+never cut.  In a batch each distinct word is scored once.
 
 Defined cases: a null or empty text or one without a letter gives ``und`` with
 score 0; with nothing to learn from, so does every text.  A null ``lang`` teaches
@@ -40,10 +41,10 @@ from .common import held_out, table
 #: Labelled documents that the probabilities are learned from, about.
 SAMPLE = 6_000
 ROUNDS = 3
-#: Longest piece in bytes; the vocabulary's longer ones are runs of blanks and signs or rare words.
-LONGEST = 16
-#: Languages kept, at most: the most frequent ones.  Bounds the model.
-LANGUAGES = 256
+#: Longest word in bytes that is scored with plain sums; longer ones are summed as logarithms.
+LINEAR = 24
+#: No piece of the vocabulary is longer, in bytes.
+LONGEST = 256
 
 #: Bytes that end a word: everything but ASCII letters and bytes of other scripts.
 NO_LETTER = np.ones(256, bool)
@@ -67,7 +68,7 @@ def pieces(path: str) -> tuple[np.ndarray, np.ndarray]:
         if model.is_byte(i) or model.is_control(i) or model.is_unknown(i):
             continue
         raw = model.id_to_piece(i).replace("▁", "").lower().encode()
-        if 0 < len(raw) <= LONGEST and not NO_LETTER[list(raw)].any():
+        if raw and not NO_LETTER[list(raw)].any():
             texts.add(raw)
     ordered = sorted(texts)
     data = np.frombuffer(b"".join(ordered), np.uint8)
@@ -117,40 +118,59 @@ def forward(prob: np.ndarray, ids: np.ndarray, use: np.ndarray) -> tuple[np.ndar
     return alpha, log
 
 
+def log_sums(log_prob: np.ndarray, ids: np.ndarray, use: np.ndarray, back: bool = False) -> np.ndarray:
+    """Logarithms of the forward values, or of the backward ones, [word, position, language]; nothing underflows at any length."""
+    m, n, _ = ids.shape
+    out = np.full((m, n + 1, log_prob.shape[1]), -np.inf)
+    out[:, n if back else 0] = 0
+    for i in range(n - 1, -1, -1) if back else range(1, n + 1):
+        sizes = [(j, size) for j, size in enumerate(use.tolist()) if size <= (n - i if back else i)]
+        ways = np.stack([out[:, i + size] + log_prob[ids[:, i + size - 1, j]] if back else out[:, i - size] + log_prob[ids[:, i - 1, j]] for j, size in sizes])
+        top = ways.max(axis=0)
+        out[:, i] = top + np.log(np.exp(ways - top).sum(axis=0))
+    return out
+
+
+def _blocks(columns: np.ndarray, cells: int) -> list[np.ndarray]:
+    """``columns`` in blocks for which arrays of ``cells`` values a column stay small."""
+    return np.array_split(columns, min(len(columns), 1 + len(columns) * cells // 3_200_000)) if len(columns) else []
+
+
 def word_scores(model: np.ndarray, vocabulary: tuple[np.ndarray, np.ndarray], data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Log-probability of each word under each language, summed over all segmentations."""
     out = np.zeros((len(starts), model.shape[1]))
+    log_model = None
     for n, part, ids, use in lattice(vocabulary, data, starts, ends, model.shape[1]):
-        alpha, log = forward(model, ids, use)
-        out[part] = log + np.log(np.maximum(alpha[:, n], 1e-300))
+        for cols in _blocks(np.arange(model.shape[1]), len(part) * (n + 1)):
+            if n <= LINEAR:
+                alpha, log = forward(model[:, cols], ids, use)
+                out[np.ix_(part, cols)] = log + np.log(np.maximum(alpha[:, n], 1e-300))
+            else:
+                if log_model is None:
+                    with np.errstate(divide="ignore"):
+                        log_model = np.log(model)
+                out[np.ix_(part, cols)] = log_sums(log_model[:, cols], ids, use)[:, n]
     return out
 
 
 def expected(prob: np.ndarray, vocabulary: tuple[np.ndarray, np.ndarray], data: np.ndarray, starts: np.ndarray, ends: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Expected uses [piece, language] of each piece over all segmentations of the words, ``weight`` [word, language] being counts."""
     uses = np.zeros((len(prob), prob.shape[1]))
+    with np.errstate(divide="ignore"):
+        log_prob = np.log(prob)
     for n, part, ids, use in lattice(vocabulary, data, starts, ends, prob.shape[1]):
-        if n > 64:  # very long words teach nothing that short ones do not, and would underflow unscaled
-            continue
-        m = len(part)
-        alpha, beta = np.zeros((m, n + 1, prob.shape[1])), np.zeros((m, n + 1, prob.shape[1]))
-        alpha[:, 0] = beta[:, n] = 1
-        for i in range(1, n + 1):
-            for j, size in enumerate(use.tolist()):
-                if size <= i:
-                    alpha[:, i] += alpha[:, i - size] * prob[ids[:, i - 1, j]]
-        for i in range(n, 0, -1):
-            for j, size in enumerate(use.tolist()):
-                if size <= i:
-                    beta[:, i - size] += beta[:, i] * prob[ids[:, i - 1, j]]
-        total = np.maximum(alpha[:, n], 1e-300)
-        for i in range(1, n + 1):
-            for j, size in enumerate(use.tolist()):
-                if size <= i:
-                    k = ids[:, i - 1, j]
-                    got = weight[part] * alpha[:, i - size] * prob[k] * beta[:, i] / total
-                    for c in range(prob.shape[1]):
-                        uses[:, c] += np.bincount(k + 1, got[:, c], minlength=len(prob) + 1)[1:]
+        for cols in _blocks(np.flatnonzero(weight[part].any(axis=0)), 2 * len(part) * (n + 1)):
+            p, w = log_prob[:, cols], weight[np.ix_(part, cols)]
+            alpha, beta = log_sums(p, ids, use), log_sums(p, ids, use, back=True)
+            total = alpha[:, n]
+            for i in range(1, n + 1):
+                for j, size in enumerate(use.tolist()):
+                    if size <= i:
+                        k = ids[:, i - 1, j]
+                        some = np.flatnonzero(k >= 0)
+                        if len(some):
+                            got = w[some] * np.exp(alpha[some, i - size] + p[k[some]] + beta[some, i] - total[some])
+                            np.add.at(uses, (k[some][:, None], cols), got)
     return uses
 
 
@@ -205,14 +225,12 @@ def identify(docs: DataFrame, vocabulary_path: str | None = None, sample: int =
     spark = docs.sparkSession
     path = vocabulary_path or default_vocabulary()
     taught = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    by_lang = taught.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    by_lang = taught.groupBy("lang").count().collect()
     total, share = sum(r["count"] for r in by_lang), max(50, sample // max(1, len(by_lang)))
-    # Up to sample / languages documents of each language, by a hash of the id.
-    quota = F.lit(0)
-    for r in by_lang:
-        quota = F.when(F.col("lang") == r["lang"], int(min(1.0, share / r["count"]) * (1 << 30))).otherwise(quota)
-    rows = taught.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) < quota) if total else taught.limit(0)
-    counts = rows.select("lang", "text").mapInArrow(_word_counts, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.length("word") <= 64)
+    # About sample / languages documents of each language, by a hash of the id.
+    quota = spark.createDataFrame([(r["lang"], int(min(1.0, share / r["count"]) * (1 << 30))) for r in by_lang], "lang string, quota long")
+    rows = taught.join(F.broadcast(quota), "lang").where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) < F.col("quota")) if total else taught.limit(0)
+    counts = rows.select("lang", "text").mapInArrow(_word_counts, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     found = counts.orderBy("lang", "word").toArrow()
     model = fit(found, path, rounds) if found.num_rows else ([], np.zeros((0, 0)))
     shared = spark.sparkContext.broadcast(model)

@@ -324,6 +324,23 @@ def test_language_hold_out_and_marginals(spark):
     assert np.exp(score) == pytest.approx(total(0))
 
 
+def test_language_learns_long_words_and_all_languages(spark):
+    rng = random.Random(2)
+    chars = {"xx": "的一是不了人我在有他", "yy": "のにはをたがでてとし"}
+    rows = [(i, "".join(rng.choice(chars[g]) for _ in range(40)), g) for i, g in ((i, ("xx", "yy")[i % 2]) for i in range(80))]
+    got = op7.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rounds=2).collect()
+    assert [r["lang_pred"] for r in sorted(got, key=lambda r: r["doc_id"])] == [g for _, _, g in rows]
+    # Every long word's bytes are covered by expected pieces, far beyond where plain products underflow.
+    keys, sizes = vocabulary = op7.pieces(op7.default_vocabulary())
+    assert sizes.max() > 16
+    word = "的一是不了人".encode() * 100
+    prob = np.append(np.full((len(keys), 1), 1e-9), np.zeros((1, 1)), axis=0)
+    uses = op7.expected(prob, vocabulary, np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]), np.array([[2.0]]))
+    one = op7.expected(prob, vocabulary, np.frombuffer(word[:18], np.uint8), np.array([0]), np.array([18]), np.array([[200.0]]))
+    assert uses.sum() == pytest.approx(one.sum(), rel=0.05) and uses.sum() > 100
+    assert not hasattr(op7, "LANGUAGES")
+
+
 # -- media ------------------------------------------------------------------------
 
 
