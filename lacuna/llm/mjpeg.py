@@ -289,7 +289,8 @@ def cuts(histograms: np.ndarray, window: int = 8, factor: float = 3.0, floor: fl
 
     The distance of neighbouring histograms (half the L1 distance of their
     shares, 0 to 1) must pass ``floor`` and the mean plus ``factor`` standard
-    deviations of the distances in up to ``window`` frames before.
+    deviations of the distances in up to ``window`` frames before; the first
+    distance is held against those after it, or the floor alone if it is the only one.
     """
     if len(histograms) < 2:
         return np.zeros(0, np.int64)
@@ -298,7 +299,9 @@ def cuts(histograms: np.ndarray, window: int = 8, factor: float = 3.0, floor: fl
     s1, s2 = np.concatenate(([0.0], np.cumsum(d))), np.concatenate(([0.0], np.cumsum(d * d)))
     i = np.arange(len(d))
     a = np.maximum(0, i - window)
-    n = np.maximum(i - a, 1)
-    mean = (s1[i] - s1[a]) / n
-    std = np.sqrt(np.maximum((s2[i] - s2[a]) / n - mean * mean, 0))
-    return np.flatnonzero((d > floor) & (d > mean + factor * std) & (i > 0)) + 1
+    b = i.copy()
+    a[0], b[0] = min(1, len(d)), min(1 + window, len(d))
+    n = np.maximum(b - a, 1)
+    mean = (s1[b] - s1[a]) / n
+    std = np.sqrt(np.maximum((s2[b] - s2[a]) / n - mean * mean, 0))
+    return np.flatnonzero((d > floor) & (d > mean + factor * std)) + 1

@@ -371,6 +371,15 @@ def test_shots_and_columns(spark, table):
         mjpeg.read_avi(b"nothing")
 
 
+def test_first_frame_may_be_a_shot():
+    a, b = np.eye(16)[0] * 192, np.eye(16)[9] * 192
+    assert mjpeg.cuts(np.array([a, b])).tolist() == [1]
+    assert mjpeg.cuts(np.array([a] + [b] * 9)).tolist() == [1]
+    assert mjpeg.cuts(np.array([a] * 2 + [b] * 9)).tolist() == [2]
+    # Frames that all differ alike have no cut, and equal ones none.
+    assert mjpeg.cuts(np.array([a, b] * 5)).tolist() == [] and mjpeg.cuts(np.array([a, a])).tolist() == [] and mjpeg.cuts(np.array([a])).tolist() == []
+
+
 # -- exact dedup, mixing, personal data ---------------------------------------------
 
 
