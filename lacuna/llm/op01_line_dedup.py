@@ -1,10 +1,11 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
-Lines of at least ``least_bytes`` UTF-8 bytes are compared; with ``exact_bytes``,
-shorter ones down to that length are too, for equality only.  An occurrence is
-removed when an equal line, or a line within ``threshold`` byte edits (insert,
-delete, replace), occurs first at an earlier place; places are ordered by
-(doc_id, text, line number).  A line near an earlier line goes whether or not
+All lines of at least ``exact_bytes`` UTF-8 bytes are compared for equality, which
+is all but empty ones by default; those of at least ``least_bytes`` also for being
+near.  (Two edits in a shorter line make another line: another number, another
+word.)  An occurrence is removed when an equal line, or a line within
+``threshold`` byte edits (insert, delete, replace), occurs first at an earlier
+place; places are ordered by (doc_id, text, line number).  A line near an earlier line goes whether or not
 that one stays.
 
 Candidates.  A line of length l is split into threshold + 1 even segments; two
@@ -47,6 +48,7 @@ from .common import KeyMap, Scratch, table
 
 THRESHOLD = 2
 LEAST_BYTES = 32
+EXACT_BYTES = 1
 #: Frequent bytes of many scripts' texts; any choice is right, these tell lines apart well.
 SIGNATURE = " etanior"
 
@@ -167,7 +169,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
 
 
-def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, least_bytes: int = LEAST_BYTES, scratch: Scratch | None = None, exact_bytes: int | None = None) -> DataFrame:
+def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, least_bytes: int = LEAST_BYTES, scratch: Scratch | None = None, exact_bytes: int = EXACT_BYTES) -> DataFrame:
     """(doc_id, th, drop): for each place of a document the positions of lines to remove."""
     scratch = scratch or Scratch(docs.sparkSession)
     lines = lines_of(docs).withColumn("h", F.xxhash64("line"))
@@ -192,7 +194,7 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, least_bytes: int
     later = F.when(F.col("fa") > F.col("fb"), F.col("fa")).otherwise(F.col("fb"))
     near = scratch.save(near.select(later.alias("first")).distinct(), "near")
     # Equal lines: two hashes name a line; the first place of each, and whether the line is near an earlier one.
-    equal = hashed if exact_bytes is None else lines.where(F.octet_length("line") >= max(1, min(exact_bytes, least_bytes)))
+    equal = lines.where(F.octet_length("line") >= max(1, exact_bytes))
     known = equal.select("h", F.xxhash64(F.lit(1), "line").alias("g"), place.alias("place"))
     firsts = known.groupBy("h", "g").agg(F.min("place").alias("first"), F.count("*").alias("n"))
     marked = firsts.join(near.withColumn("is_near", F.lit(True)), "first", "left")
@@ -201,7 +203,7 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, least_bytes: int
     return scratch.save(gone.select("place.*").groupBy("doc_id", "th").agg(F.collect_set("pos").alias("drop")), "drop")
 
 
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, least_bytes: int = LEAST_BYTES, exact_bytes: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, least_bytes: int = LEAST_BYTES, exact_bytes: int = EXACT_BYTES) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``; n_lines and n_removed are added."""
     gone = removed_lines(docs, threshold, least_bytes, exact_bytes=exact_bytes).withColumnsRenamed({"doc_id": "_doc", "th": "_th", "drop": "_drop"})
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
@@ -229,11 +231,11 @@ WITH lines AS (
   SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents
 ),
 firsts AS (
-  SELECT line, min((doc_id, pos)) AS place, strlen(line) AS n FROM lines WHERE strlen(line) >= {LEAST_BYTES} GROUP BY line
+  SELECT line, min((doc_id, pos)) AS place, strlen(line) AS n FROM lines WHERE strlen(line) >= {EXACT_BYTES} GROUP BY line
 ),
 near AS (
   SELECT DISTINCT b.line FROM firsts a JOIN firsts b
-  ON a.n BETWEEN b.n - {THRESHOLD} AND b.n + {THRESHOLD} AND a.place < b.place AND levenshtein(a.line, b.line) <= {THRESHOLD}
+  ON a.n >= {LEAST_BYTES} AND b.n >= {LEAST_BYTES} AND a.n BETWEEN b.n - {THRESHOLD} AND b.n + {THRESHOLD} AND a.place < b.place AND levenshtein(a.line, b.line) <= {THRESHOLD}
 ),
 marked AS (
   SELECT l.doc_id, l.pos, l.line, f.line IS NOT NULL AND ((l.doc_id, l.pos) <> f.place OR l.line IN (FROM near)) AS gone
