@@ -21,8 +21,10 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(4)) == HELD_OUT_REMAINDER
 
 
-#: Bits of a broadcast map of keys, at most: 32 of them take 8 bytes, so 16 MB.
-MAP_BITS = 26
+#: Bits of a map of keys, at most: 16 MB.
+MAP_BITS = 27
+#: Bits of one page of it, and of one word of a page.
+PAGE, WORD = 15, 5
 
 
 class KeyMap:
@@ -30,31 +32,32 @@ class KeyMap:
 
     A row whose key is in the table is always found; others are let through the
     more often the fuller the map is, which costs time and changes no result.
+    The map is a scalar subquery, so tasks look keys up within their own stage.
     """
 
     def __init__(self, keys: DataFrame, column: str, most: int = MAP_BITS):
-        self.bits = min(most, max(15, (16 * keys.count()).bit_length()))
-        page, at = self._place(F.col(column))
-        pages = keys.select(page.alias("_page"), at.alias("_at")).groupBy("_page").agg(F.bitmap_construct_agg("_at").alias("map"))
-        word = lambda i: F.conv(F.hex(F.substring("map", i * 4 + 1, F.lit(4))), 16, 10).cast("long")
-        self.pages = pages.select("_page", F.transform(F.sequence(F.lit(0), F.lit(1023)), word).alias("_words"))
-
-    def _place(self, key: Column) -> tuple[Column, Column]:
+        spark, key = keys.sparkSession, F.col(column)
+        self.bits = min(most, max(PAGE, (512 * keys.count()).bit_length()))
         low = F.pmod(key, F.lit(1 << self.bits))
-        return F.shiftright(low, 15).cast("int"), F.pmod(key, F.lit(32768))
-
-    def marked(self, rows: DataFrame, key: Column, how: str) -> DataFrame:
-        """``rows`` with ``_maybe``; with ``how`` inner, only rows whose page exists."""
-        page, at = self._place(key)
-        placed = rows.select("*", page.alias("_page"), at.cast("int").alias("_at")).join(F.broadcast(self.pages), "_page", how)
+        pages = keys.select(F.shiftright(low, PAGE).alias("page"), F.pmod(key, F.lit(1 << PAGE)).alias("at")).groupBy("page").agg(F.bitmap_construct_agg("at").alias("map"))
+        pages = spark.range(1 << (self.bits - PAGE)).withColumnRenamed("id", "page").join(pages, "page", "left")
+        word = lambda i: F.conv(F.hex(F.substring("map", i * 4 + 1, F.lit(4))), 16, 10).cast("long")
+        signed = lambda x: F.when(x >= 1 << 31, x - (1 << 32)).otherwise(x).cast("int")
+        words = F.transform(F.sequence(F.lit(0), F.lit((1 << (PAGE - WORD)) - 1)), lambda i: F.coalesce(signed(word(i)), F.lit(0)))
+        self.words = pages.select("page", words.alias("words")).agg(F.transform(F.array_sort(F.collect_list(F.struct("page", "words"))), lambda x: x["words"]).alias("words")).scalar()
+
+    def has(self, key: Column) -> Column:
+        """Whether the key may be in the table; null for a null key."""
+        low = F.pmod(key, F.lit(1 << self.bits)).cast("int")
+        page, at = F.shiftright(low, PAGE), low.bitwiseAND(F.lit((1 << PAGE) - 1))
         # A word's first byte is its highest.
-        shift = (3 - F.shiftright("_at", 3) % 4) * 8 + F.col("_at") % 8
-        bit = F.call_function("shiftright", F.get("_words", F.shiftright("_at", 5)), shift).bitwiseAND(F.lit(1)) == 1
-        return placed.withColumn("_maybe", F.coalesce(bit, F.lit(False))).drop("_page", "_at", "_words")
+        shift = (3 - F.shiftright(at, 3).bitwiseAND(F.lit(3))) * 8 + at.bitwiseAND(F.lit(7))
+        word = F.get(F.get(self.words, page), F.shiftright(at, WORD))
+        return F.call_function("shiftright", word, shift).bitwiseAND(F.lit(1)) == 1
 
-    def found(self, rows: DataFrame, key: Column) -> DataFrame:
+    def found(self, rows: DataFrame, column: str) -> DataFrame:
         """The rows whose key may be in the table."""
-        return self.marked(rows, key, "inner").where("_maybe").drop("_maybe")
+        return rows.where(self.has(F.col(column)))
 
 
 def thin(rows: DataFrame, about: int, seed: int = 7) -> DataFrame:
