@@ -46,6 +46,8 @@ class Imputer:
     """
 
     needs_order = False
+    #: Rows of the table fitted last.
+    rows = 0
 
     def __init__(self, groups: Sequence[str] = (), order_by: Sequence[str] = (), key: Sequence[str] = (), columns: Sequence[str] | None = None, seed: int = 0, **hyper: Any):
         self.spec = Spec.of(order_by, key, groups)
@@ -73,7 +75,7 @@ class Imputer:
         clean = canonical(df, targets)
         rows, seen, least = observed_counts(clean, targets, self.spec.groups)
         check_not_all_missing(rows, seen)
-        holes = [c for c in targets if seen[c] < rows]
+        holes, self.rows = [c for c in targets if seen[c] < rows], rows
         fill = self._fit(clean, holes, targets)
         whole = self.leaves_none and all(least[c] for c in holes)
         return Model(self, holes, [(c, t) for c, t in df.dtypes if c in targets], fill, whole)

@@ -109,53 +109,80 @@ class ImputerShuffle(Imputer):
         return fill
 
 
+#: Rows of a block when a table is cut into ranges of its order.
+BLOCK_ROWS = 1_000_000
+
+
 def blocks(df: DataFrame, order: str, n: int) -> Column:
-    """The block of a row among ``n`` ranges of one ordered column, from approximate quantiles."""
-    value = F.col(order).cast("double")
+    """The block of a row among ``n`` ranges of one ordered column, from approximate quantiles; one block for columns without numbers."""
+    kind = df.schema[order].dataType
+    if n < 2 or not isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.lit(0)
+    value = F.unix_date(order).cast("double") if isinstance(kind, T.DateType) else F.col(order).cast("timestamp").cast("double") if isinstance(kind, T.TimestampNTZType) else F.col(order).cast("double")
     cuts = df.select(value.alias("v")).approxQuantile("v", [i / n for i in range(1, n)], 0.001)
-    return F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda x: x <= value)) if cuts else F.lit(0)
+    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda x: x <= value)), F.lit(0)) if cuts else F.lit(0)
+
+
+def neighbours(df: DataFrame, columns: list[str], spec, at: str | None = None, n: int = 1) -> DataFrame:
+    """Adds ``_rn``, the rank in the group, and for each column c the observations around: ``_p_<c>`` before or here, ``_q_<c>`` here or after.
+
+    Both are (r, x), position and value.  Each is a running last value, forward
+    and on the reversed order, so time is in proportion to the rows.  With ``n``
+    over 1, ranges of the first order column cut every group into blocks, which
+    are windows of their own; a table of one row for each group and block carries
+    ranks and observations across their borders.
+    """
+    w = spec.ordered("carrying values")
+    part = [*spec.groups]
+    out = df
+    if n > 1:
+        out, part = out.withColumn("_b", blocks(df, spec.order_by[0], n)), [*part, "_b"]
+        w = Window.partitionBy(*part).orderBy(*spec.order_by)
+    out = out.withColumn("_rn", F.row_number().over(w))
+    ahead = Window.partitionBy(*part).orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*part).orderBy(F.desc("_rn")).rowsBetween(Window.unboundedPreceding, 0)
+
+    def seen(c: str) -> Column:
+        return F.when(F.col(c).isNotNull(), F.struct(place(df, at, F.col("_rn").cast("double")).alias("r"), F.col(c).alias("x")))
+
+    if n > 1:
+        edge = out.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"), *[f(seen(c), F.when(F.col(c).isNotNull(), F.col("_rn"))).alias(f"_{k}e_{c}") for c in columns for k, f in (("p", F.max_by), ("q", F.min_by))])
+        up = Window.partitionBy(*spec.groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        down = Window.partitionBy(*spec.groups).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+        edge = edge.withColumn("_off", F.coalesce(F.sum("_n").over(up), F.lit(0)))
+        moved = lambda e: F.when(e.isNotNull(), F.struct((e["r"] + (F.col("_off") if at is None else 0)).alias("r"), e["x"].alias("x")))
+        edge = edge.withColumns({f"_{k}e_{c}": moved(F.col(f"_{k}e_{c}")) for c in columns for k in "pq"})
+        edge = edge.select(*part, "_off", *[F.last(f"_{k}e_{c}", True).over(o).alias(f"_{k}e_{c}") for c in columns for k, o in (("p", up), ("q", down))])
+        out = join_groups(out, edge, part).withColumn("_rn", F.col("_rn") + F.col("_off"))
+    around = {}
+    for c in columns:
+        around |= {f"_p_{c}": F.last(seen(c), True).over(ahead), f"_q_{c}": F.last(seen(c), True).over(back)}
+    out = out.withColumns(around)
+    if n > 1:
+        out = out.withColumns({f"_{k}_{c}": F.coalesce(f"_{k}_{c}", f"_{k}e_{c}") for c in columns for k in "pq"}).drop("_b", "_off", *[f"_{k}e_{c}" for c in columns for k in "pq"])
+    return out
+
+
+def n_blocks(imputer: Imputer) -> int:
+    """The parameter, else one block for each BLOCK_ROWS rows of the fitted table."""
+    return int(imputer.param("n_blocks", default=0)) or -(-imputer.rows // BLOCK_ROWS) or 1
 
 
 class _Carry(Imputer):
+    """``n_blocks`` cuts groups, or a table without groups, into ranges for several tasks; by default one for each million rows."""
+
     needs_order = True
     forward_first = True
 
     def _fit(self, df: DataFrame, holes: list[str], targets: list[str]) -> Fill:
-        """Two windows on one sort.
-
-        Without groups a window would run in one task.  ``n_blocks`` then cuts the
-        rows into ranges of the first order column; the last and first observed
-        values of the blocks before and after, a row for each block, complete the
-        windows inside.
-        """
-        spec, n = self.spec, self.param("n_blocks", default=0)
-
-        def plain(d: DataFrame) -> DataFrame:
-            w = spec.ordered("carrying values")
-            before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-            values = {}
-            for c in holes:
-                a, b = F.last(c, True).over(before), F.first(c, True).over(after)
-                values[c] = F.coalesce(a, b) if self.forward_first else F.coalesce(b, a)
-            return replace(d, values)
-
-        def blocked(d: DataFrame) -> DataFrame:
-            b = d.withColumn("_b", blocks(d, spec.order_by[0], n))
-            order = F.struct(*spec.order_by)
-            ends = b.groupBy("_b").agg(*[f(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(f"_{k}_{c}") for c in holes for k, f in (("l", F.max_by), ("f", F.min_by))])
-            w = Window.orderBy("_b")  # over one row for each of the n blocks
-            up, down = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-            edges = ends.select("_b", *[F.last(f"_l_{c}", True).over(up).alias(f"_p_{c}") for c in holes], *[F.first(f"_f_{c}", True).over(down).alias(f"_n_{c}") for c in holes])
-            inside = Window.partitionBy("_b").orderBy(*spec.order_by)
-            before, after = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
-            values = {}
-            for c in holes:
-                x = F.coalesce(F.last(c, True).over(before), F.col(f"_p_{c}"))
-                y = F.coalesce(F.first(c, True).over(after), F.col(f"_n_{c}"))
-                values[c] = F.coalesce(x, y) if self.forward_first else F.coalesce(y, x)
-            return replace(b.join(F.broadcast(edges), "_b"), values).select(*d.columns)
+        spec, n = self.spec, n_blocks(self)
 
-        return blocked if n and not spec.groups else plain
+        def fill(d: DataFrame) -> DataFrame:
+            order = ("p", "q") if self.forward_first else ("q", "p")
+            near = neighbours(d, holes, spec, None, n)
+            return replace(near, {c: F.coalesce(*[F.col(f"_{k}_{c}")["x"] for k in order]) for c in holes}).select(*d.columns)
+
+        return fill
 
 
 class ImputerLOCF(_Carry):
@@ -178,16 +205,12 @@ def place(df: DataFrame, column: str | None, order: Column) -> Column:
     return F.unix_micros(column).cast("double") if isinstance(kind, T.TimestampType) else F.col(column).cast("double")
 
 
-def interpolated(df: DataFrame, columns: list[str], spec, method: str, at: str | None) -> DataFrame:
+def interpolated(df: DataFrame, columns: list[str], spec, method: str, at: str | None, n: int = 1) -> DataFrame:
     """Adds ``_i_<c>``: column c with holes filled between their neighbours, flat at the ends."""
-    w = spec.ordered("interpolation")
-    out = df.withColumn("_rn", F.row_number().over(w))
-    pos = place(out, at, F.col("_rn").cast("double"))
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    out = neighbours(df, columns, spec, at, n)
+    pos = place(df, at, F.col("_rn").cast("double"))
     new: dict[str, Column] = {}
     for c in columns:
-        seen = F.when(F.col(c).isNotNull(), F.struct(pos.alias("r"), F.col(c).alias("x")))
-        out = out.withColumns({f"_p_{c}": F.last(seen, True).over(before), f"_q_{c}": F.first(seen, True).over(after)})
         p, q = F.col(f"_p_{c}"), F.col(f"_q_{c}")
         if method in ("linear", "index", "values", "time", "slinear"):
             span = q["r"] - p["r"]
@@ -243,7 +266,8 @@ class ImputerInterpolation(Imputer):
         if method in degrees:
             return per_group(self, holes, lambda pdf, cols: _spline_group(pdf, cols, degrees[method], at if at in pdf else None))
         by_place = at if method in ("index", "values", "time") else None
-        return lambda d: replace(interpolated(d, holes, self.spec, method, by_place), {c: F.col(f"_i_{c}") for c in holes}).select(*d.columns)
+        n = n_blocks(self)
+        return lambda d: replace(interpolated(d, holes, self.spec, method, by_place, n), {c: F.col(f"_i_{c}") for c in holes}).select(*d.columns)
 
 
 def _spline_group(pdf: pd.DataFrame, columns: list[str], degree: int, at: str | None) -> pd.DataFrame:

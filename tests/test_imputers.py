@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lacuna.errors import AllMissingColumn, LacunaError, OrderRequired, SchemaChanged, TypeNotHandled
 from lacuna.operators import em, knn, lowrank, neural, regress, simple
@@ -174,3 +175,16 @@ def test_diffusion_epoch_walks_all_rows(monkeypatch):
     neural.ImputerDiffusion(epochs=2, num_noise_steps=1, beta_start=0.0, beta_end=0.0, num_sampling=1, **KW).impute(z, np.random.default_rng(1), None)
     for e in (0, 3):
         assert sorted(np.concatenate(steps[e : e + 3])[:, 0]) == pytest.approx(sorted(z[:, 0]))
+
+
+@pytest.mark.parametrize("make", [simple.ImputerLOCF, simple.ImputerNOCB, simple.ImputerInterpolation, lambda **k: simple.ImputerInterpolation(method="time", col_time="t", **k)])
+@pytest.mark.parametrize("groups", [["g"], []])
+def test_blocks_inside_groups_change_nothing(spark, make, groups):
+    """A hot group, a null group, a group without observations at its ends, and blocks that hold holes only."""
+    i = F.col("id")
+    g = F.when(i % 10 < 7, "hot").when(i % 10 < 9, "b")
+    x = F.when((i * 7919 % 100 >= 40) & ~i.between(200, 330) & (i > 12), (i * 31 % 97).cast("double"))
+    df = spark.range(600).select(i, (i * i).cast("timestamp").alias("t"), g.alias("g"), x.alias("x"))
+    keyed = {"groups": groups, "order_by": ["id"], "key": ["id"], "columns": ["x"]}
+    plain, cut = ({r["id"]: r["x"] for r in make(**keyed, n_blocks=n).fit_transform(df).collect()} for n in (1, 7))
+    assert plain.keys() == cut.keys() and all(abs(plain[k] - cut[k]) < 1e-9 for k in plain)
