@@ -19,5 +19,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_line_dedup": op01_line_dedup.SQL,
+    "op2_jaccard": op02_jaccard.SQL,
     "op6_exact_dedup": op06_exact_dedup.SQL,
 }

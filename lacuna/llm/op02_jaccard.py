@@ -4,8 +4,9 @@ Documents link when the sets of their five-word shingles have a Jaccard
 similarity of 0.8 or more; the result is exact but for collisions of 64-bit
 hashes.
 
-1. Documents with equal sets form one class; classes are joined, not documents,
-   so a group of copies costs what one document costs.
+1. Rows with equal sets form one class, named by a 64-bit digest of its set;
+   classes are joined, not rows, so a group of copies costs what one costs, and
+   rows with equal doc_id and different texts are told apart.
 2. A sketch counts shingles in a fixed number of buckets.  It only orders
    shingles, rare first; any order is right.  Of a set of n shingles the
    n - ceil(0.8 n) + c rarest hold at least c of those it shares with any partner.
@@ -27,10 +28,11 @@ hashes.
 5. Candidates are verified on whole sets, and components contracted.
 
 Defined cases: a null or empty text or one without words has an empty set and
-links with nothing; a text of one to four words has one shingle, its words.  Rows
-with a null doc_id form classes with rows of equal sets and else keep a null
-component; they never give a component its id.  Rows with equal doc_id and
-different texts are one vertex.  An empty table gives no rows.
+links with nothing; a text of one to four words has one shingle, its words.  Each
+row is a vertex of its own: rows with equal doc_id and different texts link by
+their texts only, each with its own component.  A component takes the smallest
+doc_id of its rows; a null doc_id gives no component its id, so it is null where
+all are.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -105,8 +107,14 @@ def sketch_of(docs: DataFrame, bits: int, k: int = K) -> np.ndarray:
     return np.concatenate([np.frombuffer(r["counts"], "<u2") for r in rows]) if rows else np.zeros(1 << bits, np.uint16)
 
 
+def digest(s: np.ndarray) -> np.uint64:
+    """The name of a class: a digest of its sorted set."""
+    with np.errstate(over="ignore"):
+        return tk.mix(s + np.uint64(1)).sum(dtype=np.uint64)
+
+
 def _describe(sketch, k: int, percent: int):
-    """(doc_id, n, d1, d2, common, scan): a set's size, digest, the commonness of its shingles, and the lengths of its prefix's lists."""
+    """(doc_id, text_hash, n, d1, d2, common, scan): a set's size, digest, the commonness of its shingles, and the lengths of its prefix's lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = np.uint64(64 - int(math.log2(len(sketch.value))))
@@ -116,17 +124,17 @@ def _describe(sketch, k: int, percent: int):
                 sets = tk.shingle_sets(raw, offs, k)
                 n = np.array([len(s) for s in sets], np.int64)
                 out = np.zeros((4, len(sets)))
-                digest = np.zeros((2, len(sets)), np.uint64)
+                d = np.zeros((2, len(sets)), np.uint64)
                 with np.errstate(over="ignore"):
                     for i, s in enumerate(sets):
                         if len(s):
-                            digest[0, i], digest[1, i] = tk.mix(s + np.uint64(1)).sum(dtype=np.uint64), tk.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
+                            d[0, i], d[1, i] = digest(s), tk.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
                             df = np.sort(sketch.value[(s >> shift).astype(np.int64)])
                             out[0, i] = np.log2(df + 1.0).mean()
                             out[1, i] = (df[: prefix_size(len(s), 1, percent)] - 1.0).sum()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, end - first), pa.array(n), *(pa.array(d.view(np.int64)) for d in digest), pa.array(out[0]), pa.array(out[1])],
-                    ["doc_id", "n", "d1", "d2", "common", "scan"],
+                    [*(batch.column(c).slice(first, end - first) for c in ("doc_id", "text_hash")), pa.array(n), *(pa.array(x.view(np.int64)) for x in d), pa.array(out[0]), pa.array(out[1])],
+                    ["doc_id", "text_hash", "n", "d1", "d2", "common", "scan"],
                 )
 
     return run
@@ -148,7 +156,7 @@ def boundary(sizes: list[tuple[int, int, float]], percent: int = PERCENT, per_li
 
 
 def _keys(sketch, k: int, percent: int, small: int):
-    """(doc_id, keys, at) of every set that can have a partner; ``at`` is the key's place (from 1) in the set's order.
+    """(id, rep, keys, at) of every set that can have a partner: its class, the row's ``rep``, its keys; ``at`` is the key's place (from 1) in the set's order.
 
     For a pair of shingles it is the place of the second one less one.
     """
@@ -159,9 +167,10 @@ def _keys(sketch, k: int, percent: int, small: int):
         for batch in batches:
             data, offsets = tk.buffers(batch.column("text"))
             for first, end, raw, offs in tk.chunks(data, offsets):
-                keys, places = [], []
+                keys, places, ids = [], [], []
                 for s in tk.shingle_sets(raw, offs, k):
                     n = len(s)
+                    ids.append(digest(s))
                     mine, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
                     if n > 1:
                         s = s[np.argsort(sketch.value[(s >> shift).astype(np.int64)], kind="stable")]  # by (count, hash)
@@ -180,7 +189,7 @@ def _keys(sketch, k: int, percent: int, small: int):
                 cuts = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
                 flat, order = pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(places).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(pa.array(cuts), x) for x in (flat, order)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first), *lists], ["doc_id", "keys", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.uint64).view(np.int64)), batch.column("rep").slice(first, end - first), *lists], ["id", "rep", "keys", "at"])
 
     return run
 
@@ -192,13 +201,14 @@ def _sets(k: int):
             for first, end, raw, offs in tk.chunks(data, offsets):
                 sets = tk.shingle_sets(raw, offs, k)
                 cuts = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, end - first), pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(sets).view(np.int64)))], ["id", "s"])
+                ids = pa.array(np.array([digest(s) for s in sets], np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([ids, batch.column("rep").slice(first, end - first), pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(sets).view(np.int64)))], ["id", "rep", "s"])
 
     return run
 
 
 def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, light: int = LIGHT, pivots: int = PIVOTS) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id."""
+    """Per row: doc_id, n_shingles, component_id; cluster names the component (null without words), text_hash the text."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select("doc_id", "text")
@@ -206,15 +216,22 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, light:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(size / 32 + 1))))
     sketch = spark.sparkContext.broadcast(sketch_of(docs, bits, k))
-    signed = scratch.save(docs.mapInArrow(_describe(sketch, k, percent), f"doc_id {kind}, n long, d1 long, d2 long, common double, scan double"), "signed")
+    signed = scratch.save(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_describe(sketch, k, percent), f"doc_id {kind}, text_hash long, n long, d1 long, d2 long, common double, scan double"), "signed")
+    rep = F.xxhash64("doc_id")
     classes = scratch.save(
-        signed.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"), F.max("common").alias("common"), F.max("scan").alias("scan"), F.count("*").alias("copies")), "classes"
+        signed.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.min(rep).alias("rep"), F.max("common").alias("common"), F.max("scan").alias("scan"), F.count("*").alias("copies")).withColumnRenamed("d1", "id"), "classes"
     )
-    joined = classes.where(F.col("id").isNotNull()).select("id", "n", "common").dropDuplicates(["id"])
+    joined = classes.select("id", "n", "common").dropDuplicates(["id"])
     sizes = classes.where(f"n between 2 and {MOST_SMALL}").groupBy("n").agg(F.count("*").alias("sets"), F.sum("scan").alias("scan")).collect()
     small = boundary([(r["n"], r["sets"], r["scan"]) for r in sizes], percent)
-    keyed = docs.mapInArrow(_keys(sketch, k, percent, small), f"doc_id {kind}, keys array<long>, at array<int>").where(F.size("keys") > 0)
-    keyed = scratch.save(keyed.join(classes.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "keys", "at"), "keys")
+    rows = docs.select(rep.alias("rep"), "text")
+
+    def one_each(of_rows: DataFrame, wanted: DataFrame) -> DataFrame:
+        """One row for each wanted class: of those whose ``rep`` is the class's smallest."""
+        return of_rows.join(wanted.select("id", "rep"), ["id", "rep"], "left_semi").drop("rep").dropDuplicates(["id"])
+
+    keyed = rows.mapInArrow(_keys(sketch, k, percent, small), "id long, rep long, keys array<long>, at array<int>").where(F.size("keys") > 0)
+    keyed = scratch.save(one_each(keyed, classes), "keys")
     keys = keyed.select(F.explode("keys").alias("key"), "id")
     lists = scratch.save(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "lists")
     placed = keyed.select("id", F.inline(F.arrays_zip(F.col("keys").alias("key"), "at")))
@@ -236,8 +253,9 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, light:
     pairs = scratch.save(a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & fits("na", "ata", "nb", "atb")).select("a", "b").distinct(), "pairs")
     heavy = members.where(F.col("c") > light)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionAll(heavy.select("id")).distinct()
-    texts = docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
-    sets = scratch.save(texts.mapInArrow(_sets(k), f"id {kind}, s array<long>"), "sets")
+    needed_rows = scratch.save(classes.join(ids, "id", "left_semi").select("id", "rep"), "wanted")
+    texts = rows.join(needed_rows.select("rep").distinct(), "rep", "left_semi").select("rep", "text")
+    sets = scratch.save(one_each(texts.mapInArrow(_sets(k), "id long, rep long, s array<long>"), needed_rows), "sets")
 
     def verified(candidates: DataFrame) -> DataFrame:
         left, right = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
@@ -263,11 +281,32 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, light:
         tried = scratch.save(meet.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct(), "tried")
         links = scratch.save(links.unionAll(verified(tried)), "links")
         labels = components(links, scratch)
-    mine = classes.join(labels, "id", "left").select(F.col("n").alias("n_"), F.col("d1").alias("d1_"), F.col("d2").alias("d2_"), F.coalesce("comp", "id").alias("comp"), "copies")
-    mine = mine.where((F.col("copies") > 1) | F.col("comp").isNotNull())
+    mine = scratch.save(classes.join(labels, "id", "left").select("id", "d2", "n", "doc_id", "copies", F.coalesce("comp", "id").alias("comp"), F.col("comp").isNotNull().alias("linked")), "components")
+    mine = mine.where("copies > 1 OR linked")
+    least = mine.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    mine = mine.join(least, "comp").select(F.col("n").alias("n_"), F.col("id").alias("d1_"), F.col("d2").alias("d2_"), "comp", "component_id")
     out = signed.join(mine, (F.col("d1") == F.col("d1_")) & (F.col("d2") == F.col("d2_")) & (F.col("n") == F.col("n_")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
+    cluster = F.when(F.col("n") > 0, F.coalesce("comp", "d1"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), cluster.alias("cluster"), "text_hash")
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("cluster", "text_hash")
+
+
+SQL = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM documents
+),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= {K} THEN list_distinct(list_transform(range(1, len(w) - {K} + 2), lambda i: array_to_string(w[i : i + {K} - 1], ' ')))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words
+),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {PERCENT} * (a.n + b.n - count(*))
+),
+reach AS (SELECT doc_id, doc_id AS root FROM sets UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.doc_id)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.root) AS component_id FROM sets s JOIN reach r USING (doc_id) GROUP BY s.doc_id, len(s.s)
+"""
