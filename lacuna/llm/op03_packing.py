@@ -7,8 +7,10 @@ is a power of two: no sequence crosses documents and none is padded.  Sequences
 of equal length form a bucket (column ``length``) from which batches are drawn.
 
 The ids are those of the public 50k byte-level BPE; its rank file is read by
-tiktoken, which gives the ids that the JSON form of the same vocabulary gives
-(tested).  Strings of special tokens are ordinary text.
+tiktoken, which gives the ids that the JSON form of the same vocabulary gives in
+tokenizers (tested).  The JSON adds one token, "<|endoftext|>", which its library
+finds in texts too; so does this operator, unless ``special`` is empty: then the
+string is ordinary text.
 
 Defined cases: a null or empty text has one token, the end id; a null doc_id
 stays null; rows with equal doc_id are packed each.  Ill-formed UTF-8 is
@@ -33,6 +35,8 @@ from .common import table
 
 LONGEST = 2048
 END_ID = 1
+#: The token that the JSON form adds to the ranks, and its id.
+SPECIAL = {"<|endoftext|>": 50256}
 
 
 def default_tokenizer() -> str:
@@ -42,14 +46,14 @@ def default_tokenizer() -> str:
 
 
 @functools.cache
-def encoding(path: str):
-    """The byte-level BPE of a rank file, loaded once in each worker."""
+def encoding(path: str, special: tuple[tuple[str, int], ...] = ()):
+    """The byte-level BPE of a rank file with its special tokens, loaded once in each worker."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict(special))
 
 
 def pieces(n: int, longest: int = LONGEST) -> list[int]:
@@ -58,9 +62,9 @@ def pieces(n: int, longest: int = LONGEST) -> list[int]:
     return out + [1 << b for b in range(longest.bit_length() - 2, -1, -1) if n % longest >> b & 1]
 
 
-def _packer(path: str, longest: int, end_id: int, with_ids: bool):
+def _packer(path: str, longest: int, end_id: int, with_ids: bool, special: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoding(path)
+        bpe = encoding(path, tuple(special.items()))
         sequence = TaskContext.get().partitionId() << 40
         for batch in batches:
             data, offsets = tk.buffers(batch.column("text"))
@@ -71,7 +75,8 @@ def _packer(path: str, longest: int, end_id: int, with_ids: bool):
                 held: list[np.ndarray] = []
                 for i in range(end - first):
                     text = raw[offs[i] : offs[i + 1]].tobytes().decode("utf-8", "replace")
-                    ids = np.array([*bpe.encode_ordinary(text), end_id], "<u4")
+                    plain = not any(token in text for token in special)
+                    ids = np.array([*(bpe.encode_ordinary(text) if plain else bpe.encode(text, allowed_special="all")), end_id], "<u4")
                     at = 0
                     for n in pieces(len(ids), longest):
                         part = ids[at : at + n]
@@ -97,13 +102,13 @@ def _packer(path: str, longest: int, end_id: int, with_ids: bool):
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, longest: int = LONGEST, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str | None = None, longest: int = LONGEST, end_id: int = END_ID, with_ids: bool = True, special: dict[str, int] | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, unless left out, its ids."""
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, " + ", ".join(f"{c} long" for c in NAMES[1:]) + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(_packer(tokenizer_path or default_tokenizer(), longest, end_id, with_ids), schema)
+    return docs.select("doc_id", "text").mapInArrow(_packer(tokenizer_path or default_tokenizer(), longest, end_id, with_ids, SPECIAL if special is None else special), schema)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
