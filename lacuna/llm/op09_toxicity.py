@@ -11,10 +11,11 @@ above 1 score these, every other token scores ``drift``.
 Search.  In a text's token scores the linear-time all-maximal-subsequences scan
 finds every maximal scoring passage.
 
-Calibration.  The best score of a clean document of n tokens follows an
-extreme-value law with location (ln K + ln n) / lambda; lambda and K are fitted
-to the sample's clean documents by moments of the score.  A passage is
-significant when its E-value K n exp(-lambda S) is below ``e_value``.  A
+Calibration.  Passages of clean documents have an exponential tail of scores, so
+the best one of n tokens follows an extreme-value law with location
+(ln K + ln n) / lambda.  Over the sample's clean documents, lambda is one over
+the mean excess of passages above their median score, and K their number a
+token, carried back to score 0.  A passage is significant when its E-value K n exp(-lambda S) is below ``e_value``.  A
 document's evidence is the sum over its significant passages of -ln E; a
 logistic curve fitted on the sample, each document scored by counts that leave
 it out, turns it into the score.
@@ -43,7 +44,8 @@ from .common import Scratch, held_out, table, thin
 #: Labelled rows of each class that the lexicon and the calibration are learned from, about.
 SAMPLE = 8_000
 THRESHOLD = 0.3
-#: Token forms in fewer toxic documents of the sample than this, and in few clean ones, count as unseen.
+#: Support of a token form: in fewer toxic documents of the sample than this, and in fewer than four times as many
+#: clean ones, it has no rate of its own and takes its prefix's.  A rate from one document would say who wrote it.
 LEAST = 2
 PREFIXES = (4, 6)
 #: Passages expected by chance in a clean document of the same length, below which one is significant.
@@ -97,27 +99,36 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring subsequences (start, end, score), in one left-to-right scan.
+    """All maximal scoring subsequences (start, end, score), in one left-to-right scan of linear time.
 
-    A stack holds disjoint candidates with the running totals before and after
-    each.  A new positive score joins the nearest candidate that starts lower
-    while no candidate in between reaches as high.
+    The candidates are disjoint and in order, each with the running totals before
+    and after it, and a link to the nearest one before that starts lower.  A new
+    positive score joins the nearest candidate that starts lower if that one does
+    not reach as high.  What a search passes over lies behind the new candidate's
+    link or inside it, so no later search visits it again.
     """
     total = np.concatenate(([0.0], np.cumsum(scores)))
-    stack: list[tuple[int, int, float, float]] = []
-    for i in np.flatnonzero(scores > 0).tolist():
-        start, end, low, high = i, i + 1, float(total[i]), float(total[i + 1])
-        j = len(stack) - 1
-        while True:
-            while j >= 0 and stack[j][2] >= low:
-                j -= 1
-            if j < 0 or stack[j][3] >= high:
-                break
-            start, low = stack[j][0], stack[j][2]
-            del stack[j:]
-            j -= 1
-        stack.append((start, end, low, high))
-    return [(a, b, high - low) for a, b, low, high in stack]
+    hits = np.flatnonzero(scores > 0)
+    starts: list[int] = []
+    ends: list[int] = []
+    lows: list[float] = []
+    highs: list[float] = []
+    links: list[int] = []
+    for i, low, high in zip(hits.tolist(), total[hits].tolist(), total[hits + 1].tolist()):
+        start, j = i, len(lows) - 1
+        while j >= 0 and lows[j] >= low:
+            j = links[j]
+        while j >= 0 and highs[j] < high:
+            start, low, link = starts[j], lows[j], links[j]
+            for column in (starts, ends, lows, highs, links):
+                del column[j:]
+            j = link
+        starts.append(start)
+        ends.append(i + 1)
+        lows.append(low)
+        highs.append(high)
+        links.append(j)
+    return [(a, b, high - low) for a, b, low, high in zip(starts, ends, lows, highs)]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
