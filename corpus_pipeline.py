@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lacuna.llm.common import Scratch, table
+from lacuna.llm.common import KeyMap, Scratch, table
 from lacuna.llm.op01_line_dedup import dedup_lines
 from lacuna.llm.op02_jaccard import near_duplicates
 from lacuna.llm.op03_packing import pack
@@ -37,19 +37,34 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest doc_id stays.
+    """Of each component of near duplicates one row stays: that with the smallest doc_id, of equals the smallest text hash.
 
-    Repeated rows of one doc_id count as one document; the row whose text hash is
-    smallest stays.  Documents without an id cannot be told apart and stay.
+    Rows with one doc_id and texts that are not near each other all stay; rows
+    equal in doc_id and text are one.  A row without an id comes after those with
+    one.  Null and empty texts, and those without words, are near nothing and stay.
+    Only rows that go, or that repeat, are shuffled with their texts.
     """
-    stays = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64("source", "lang"))
-    chosen = docs.join(stays, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    return chosen.select(*COLUMNS).unionAll(docs.where(F.col("doc_id").isNull()).select(*COLUMNS))
+    scratch = Scratch(spark)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    places = near_duplicates(docs).where("cluster IS NOT NULL").groupBy(order.alias("place")).agg(F.min("cluster").alias("cluster"), F.count("*").alias("n"))
+    places = scratch.save(places, "places")
+    first = places.groupBy("cluster").agg(F.min("place").alias("place")).select("place", F.lit(True).alias("stays"))
+    touched = scratch.save(places.join(first, "place", "left").where("stays IS NULL OR n > 1").select("place", F.coalesce("stays", F.lit(False)).alias("stays")), "touched")
+    rows = docs.select(*COLUMNS, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("text_hash")).alias("place"))
+    maybe = KeyMap(touched.select(F.xxhash64("place").alias("k")), "k").has(F.xxhash64("place"))
+    met = rows.where(maybe).join(touched, "place", "left")
+    once = Window.partitionBy("place").orderBy("source", "lang", "n_chars")
+    kept = met.where("stays").withColumn("nth", F.row_number().over(once)).where("nth = 1")
+    return rows.where(~maybe).select(*COLUMNS).unionAll(met.where("stays IS NULL").select(*COLUMNS)).unionAll(kept.select(*COLUMNS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document is repeated as often as the mix takes it; those it takes no time go."""
+    """Each document is repeated as often as the mix takes it; those it takes no time go.
+
+    Null and empty texts take part with size 0 and count nothing.  A null source is a
+    source of its own, the last.  Rows alike in id, source and size are told apart by
+    their texts; of those the one first in text hash is taken most.
+    """
     taken = mix_sources(docs).select("doc_id", "source", "size", "copies")
     by = ["doc_id", "source", "size"]
     sized = docs.select(*COLUMNS, n_words(F.col("text")).alias("size"))
@@ -62,7 +77,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of power-of-two lengths with their token ids."""
+    """Pieces of power-of-two lengths with their token ids; a null or empty text is one piece, the end id, and every row is packed."""
     return pack(docs)
 
 

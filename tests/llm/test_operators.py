@@ -193,6 +193,26 @@ def test_jaccard_equals_brute_force(spark, light, pivots):
     assert [got[i]["component_id"] for i in range(len(texts))] == want
 
 
+def test_jaccard_tells_rows_of_one_id_apart(spark):
+    """Rows that share a doc_id, or have none, link by their own texts only; no link is lost."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(4000)]
+    bases = [[rng.choice(words) for _ in range(70)] for _ in range(12)]
+    rows = []
+    for i, base in enumerate(bases):
+        copy = [*base[:30], "changed", *base[31:]]
+        rows += [(i % 4, " ".join(base)), (100 + i, " ".join(copy))]  # each of the ids 0 to 3 has three texts
+    rows += [(None, " ".join(bases[0])), (None, "all alone with no id here"), (7, None)]
+    rng.shuffle(rows)
+    comp, sizes = components_brute([t for _, t in rows])
+    least = {}
+    for (d, _), c in zip(rows, comp):
+        least[c] = min((x for x in (d, least.get(c)) if x is not None), default=None)
+    want = collections.Counter((d, n, least[c]) for (d, _), n, c in zip(rows, sizes, comp))
+    got = op2.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
+
+
 def test_boundary_follows_cost():
     assert op2.boundary([]) == 0
     assert op2.boundary([(4, 100, 0.0)]) == 4  # one pair instead of one shingle: no dearer, and stricter
@@ -202,14 +222,16 @@ def test_boundary_follows_cost():
 # -- packing ----------------------------------------------------------------------
 
 
-def test_packing_equals_the_json_tokenizer(spark, table):
+@pytest.mark.parametrize("plain", [False, True])
+def test_packing_equals_the_json_tokenizer(spark, plain):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     bpe = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    bpe.encode_special_tokens = True
-    texts = ["Hello world's end", " \n\n x", "naïve 漢字 😀", "<|endoftext|>", "a" * 300, None, "", LONG * 60, "don't  they'll 123 4567"]
-    rows = op3.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    bpe.encode_special_tokens = plain
+    mark = "<|endoftext|>"
+    texts = ["Hello world's end", " \n\n x", "naïve 漢字 😀", mark, f"{mark}Start", f"in the {mark} middle", f"the end.{mark}", f"twice {mark}{mark} and <|endoftext |>", "a" * 300, None, "", LONG * 60, "don't  they'll 123 4567"]
+    rows = op3.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), special={} if plain else None).collect()
     assert len({r["sequence_id"] for r in rows}) == len(rows)
     for i, text in enumerate(texts):
         want = [*bpe.encode(text or "", add_special_tokens=False).ids, 1]
@@ -289,9 +311,34 @@ def test_segments_equal_the_recursive_definition(xs):
         top = best(lo, hi)
         return [] if top is None else every(lo, top[0]) + [top] + every(top[1], hi)
 
-    got = op9.segments(np.array(xs, float))
-    assert sum(s for *_, s in got) == pytest.approx(sum(s for *_, s in every(0, len(xs))))
-    assert max((s for *_, s in got), default=0) == pytest.approx(max((s for *_, s in every(0, len(xs))), default=0))
+    got, want = op9.segments(np.array(xs, float)), every(0, len(xs))
+    assert sum(s for *_, s in got) == pytest.approx(sum(s for *_, s in want))
+    assert max((s for *_, s in got), default=0) == pytest.approx(max((s for *_, s in want), default=0))
+
+
+def maximal_brute(xs):
+    """Segments whose every proper part scores less and that no longer such segment holds."""
+
+    def rises(a, b):
+        t = list(itertools.accumulate(xs[a:b], initial=0))
+        return all(t[0] < x for x in t[1:]) and all(x < t[-1] for x in t[:-1])
+
+    found = [(a, b) for a in range(len(xs)) for b in range(a + 1, len(xs) + 1) if rises(a, b)]
+    return [(a, b, sum(xs[a:b])) for a, b in found if not any((c, d) != (a, b) and c <= a and b <= d for c, d in found)]
+
+
+@given(st.lists(st.integers(-4, 5), max_size=25))
+def test_segments_equal_the_definition_by_parts(xs):
+    assert op9.segments(np.array(xs, float)) == maximal_brute(xs)
+
+
+def test_segments_take_linear_time():
+    import time
+
+    for shape in (lambda n: [1.0, -2.0] * n, lambda n: [2.0, -1.0] * n, lambda n: [1.0, -1.5] * (n // 2) + [3.0, -2.0] * (n // 2), lambda n: [v for k in range(n) for v in (1.0, -1.0 - (k % 7 == 0))]):
+        t = time.time()
+        op9.segments(np.array(shape(100_000)))
+        assert time.time() - t < 5
 
 
 def test_language_hold_out_and_marginals(spark):

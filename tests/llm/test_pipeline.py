@@ -40,3 +40,39 @@ def test_stages(spark, tmp_path):
     packed = seen["packing"]
     assert packed["length"].sum() == packed.drop_duplicates(["doc_id", "sequence_id"])["length"].sum() and packed["sequence_id"].is_unique
     assert pipeline.run(spark, str(tmp_path)).count() == len(packed)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, place string, cluster long, n_lines long"
+
+
+def odd(spark):
+    """Repeated ids with equal, near and unrelated texts; null ids, texts and sources; a very long text; ties; clashing names."""
+    rng = random.Random(6)
+    say = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    a, b, c = say(60), say(60), say(60)
+    near = a.replace(a.split(" ")[20], "changed")
+    rows = [(1, a), (1, a), (1, b), (2, near), (3, b), (None, c), (None, c), (None, a), (4, c), (None, say(40)), (5, ""), (5, ""), (None, None), (6, None), (7, "one two"), (8, "ONE  two"), (9, "word " * 60_000)]
+    return spark.createDataFrame([(i, t, None, None if i == 9 else "s", 0, "p", 1, 2) for i, t in rows], SCHEMA), (a, b, c)
+
+
+def test_near_duplicate_stage_on_odd_rows(spark):
+    docs, (a, b, c) = odd(spark)
+    kept = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in pipeline.keep_one_of_near_duplicates(spark, docs, "").collect()))
+    assert [t for _, i, t in kept if i == 1] == sorted([a, b])  # one id, unrelated texts: both stay, the repeat goes
+    assert not [i for _, i, _ in kept if i in (2, 3, 8)] and [t for _, i, t in kept if i == 4] == [c]
+    assert [t for _, i, t in kept if i == 7] == ["one two"] and sum(i == 5 for _, i, _ in kept) == 2
+    assert sorted(len(t) > 0 for none, _, t in kept if none) == [False, True]  # of rows without id: the null text and the text of its own
+
+
+def test_stages_keep_odd_rows_and_empty_tables(spark, tmp_path):
+    docs, _ = odd(spark)
+    spark.createDataFrame([(i, 1, i % 2) for i in range(9)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        if name == "packing":
+            assert got.count() >= docs.count()
+        else:
+            assert tuple(got.columns) == pipeline.COLUMNS and got.count() > 0
+        if name == "line_dedup":
+            assert got.count() == docs.count()
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
