@@ -6,7 +6,8 @@ probability under a language is the product over its words of the sum over all
 segmentations of the word into pieces of the product of piece probabilities.
 That sum is the last value of a forward recursion over the word's bytes.
 
-Words are runs of letters (A-Z lower-cased); a word starts with the vocabulary's
+Words are runs of letters (A-Z lower-cased), which end at ASCII bytes that are no
+letters and at the punctuation of other scripts; a word starts with the vocabulary's
 space mark, which is dropped from pieces, so a piece means the same anywhere in a
 word.  Single bytes back every piece up, so each word has a segmentation.
 
@@ -16,8 +17,10 @@ forward and backward values of all distinct words give the expected number of
 uses of each piece, for words of any length.  The fitted model is one array
 (languages x pieces); every language that is taught has its column.
 
-Both use whole texts, whose words, in scripts without blanks whole sentences, are
-never cut.  In a batch each distinct word is scored once.
+Both use whole texts.  Words are of any length, in scripts without blanks a clause.
+Beyond ``WINDOW`` bytes the forward values are carried from window to window, so
+time is in proportion to the length and memory bounded; learning cuts such words
+into windows, all of which count.  In a batch each distinct word is scored once.
 
 Defined cases: a null or empty text or one without a letter gives ``und`` with
 score 0; with nothing to learn from, so does every text.  A null ``lang`` teaches
@@ -46,11 +49,37 @@ LINEAR = 24
 #: No piece of the vocabulary is longer, in bytes.
 LONGEST = 256
 
+#: Bytes of a word handled at once.
+WINDOW = 4096
+
 #: Bytes that end a word: everything but ASCII letters and bytes of other scripts.
 NO_LETTER = np.ones(256, bool)
 NO_LETTER[65:91] = NO_LETTER[97:123] = NO_LETTER[128:] = False
 
 
+#: Blocks of punctuation outside ASCII as first bytes and the range of the last one, in UTF-8.
+PUNCTUATION = [
+    (b"\xc2", 0x80, 0xA9), (b"\xc2", 0xAB, 0xB4), (b"\xc2", 0xB6, 0xB9), (b"\xc2", 0xBB, 0xBF), (b"\xe2\x80", 0x80, 0x8B), (b"\xe2\x80", 0x8E, 0xBF), (b"\xe2\x81", 0x80, 0xAF),
+    (b"\xe3\x80", 0x80, 0x84), (b"\xe3\x80", 0x88, 0xA0), (b"\xef\xbc", 0x81, 0x8F), (b"\xef\xbc", 0x9A, 0xA0), (b"\xef\xbc", 0xBB, 0xBF), (b"\xef\xbd", 0x9B, 0xA5),
+]
+
+
+def blanked(low: np.ndarray) -> np.ndarray:
+    """The bytes with punctuation of other scripts turned into blanks, as many."""
+    found = [(head, low_end, high_end, np.flatnonzero(low[: len(low) - len(head)] == head[0])) for head, low_end, high_end in PUNCTUATION]
+    out = low
+    for head, first, last, at in found:
+        for k, byte in enumerate(head[1:], 1):
+            at = at[low[at + k] == byte]
+        end = low[at + len(head)]
+        at = at[(end >= first) & (end <= last)]
+        if len(at):
+            out = low.copy() if out is low else out
+            for k in range(len(head) + 1):
+                out[at + k] = 32
+    return out
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -140,7 +169,15 @@ def word_scores(model: np.ndarray, vocabulary: tuple[np.ndarray, np.ndarray], da
     """Log-probability of each word under each language, summed over all segmentations."""
     out = np.zeros((len(starts), model.shape[1]))
     log_model = None
-    for n, part, ids, use in lattice(vocabulary, data, starts, ends, model.shape[1]):
+    long = np.flatnonzero(ends - starts > WINDOW)
+    if len(long):
+        with np.errstate(divide="ignore"):
+            log_model = np.log(model)
+        for w in long.tolist():
+            out[w] = long_word(log_model, vocabulary, data, int(starts[w]), int(ends[w]))
+    short = np.flatnonzero(ends - starts <= WINDOW)
+    for n, part, ids, use in lattice(vocabulary, data, starts[short], ends[short], model.shape[1]):
+        part = short[part]
         for cols in _blocks(np.arange(model.shape[1]), len(part) * (n + 1)):
             if n <= LINEAR:
                 alpha, log = forward(model[:, cols], ids, use)
@@ -153,6 +190,24 @@ def word_scores(model: np.ndarray, vocabulary: tuple[np.ndarray, np.ndarray], da
     return out
 
 
+def long_word(log_model: np.ndarray, vocabulary: tuple[np.ndarray, np.ndarray], data: np.ndarray, start: int, end: int) -> np.ndarray:
+    """Log-probability of one word under each language, window by window; what is carried are the last forward values."""
+    reach, langs = int(vocabulary[1][-1]), log_model.shape[1]
+    tail = np.full((reach, langs), -np.inf)
+    tail[-1] = 0
+    for a in range(start, end, WINDOW):
+        b, low = min(a + WINDOW, end), max(start, a - reach)
+        _, _, ids, use = lattice(vocabulary, data, np.array([low]), np.array([b]), langs)[0]
+        ids = ids[0, a - low :]
+        alpha = np.concatenate([tail, np.empty((b - a, langs))])
+        for i in range(b - a):
+            ways = alpha[reach + i - use] + log_model[ids[i]]
+            top = ways.max(axis=0)
+            alpha[reach + i] = top + np.log(np.exp(ways - top).sum(axis=0))
+        tail = alpha[-reach:]
+    return tail[-1]
+
+
 def expected(prob: np.ndarray, vocabulary: tuple[np.ndarray, np.ndarray], data: np.ndarray, starts: np.ndarray, ends: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Expected uses [piece, language] of each piece over all segmentations of the words, ``weight`` [word, language] being counts."""
     uses = np.zeros((len(prob), prob.shape[1]))
@@ -176,7 +231,7 @@ def expected(prob: np.ndarray, vocabulary: tuple[np.ndarray, np.ndarray], data:
 
 def distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased bytes; starts and ends of distinct words; for each word its distinct one; first word of each row (n + 1)."""
-    low = tk.LOWER[data]
+    low = blanked(tk.LOWER[data])
     starts, ends, rows = tk.words(low, offsets, NO_LETTER)
     _, first, inverse = np.unique(tk.spans_hash(low, starts, ends), return_index=True, return_inverse=True)
     return low, starts[first], ends[first], inverse, rows
@@ -207,8 +262,11 @@ def fit(counts: pa.Table, path: str, rounds: int = ROUNDS) -> tuple[list[str], n
     words, at = distinct.dictionary.to_pylist(), distinct.indices.to_numpy(zero_copy_only=False)
     weight = np.zeros((len(words), len(langs)))
     np.add.at(weight, (at, code), counts.column("n").to_numpy())
-    data = np.frombuffer(b"".join(words), np.uint8)
-    lens = np.array([len(w) for w in words], np.int64)
+    owner = np.array([i for i, w in enumerate(words) for _ in range(0, len(w), WINDOW)], np.int64)
+    parts = [w[a : a + WINDOW] for w in words for a in range(0, len(w), WINDOW)]
+    weight = weight[owner]
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    lens = np.array([len(w) for w in parts], np.int64)
     ends = np.cumsum(lens)
     size = len(vocabulary[0])
     prob = np.append(np.full((size, len(langs)), 1.0 / size), np.zeros((1, len(langs))), axis=0)

@@ -341,6 +341,24 @@ def test_segments_take_linear_time():
         assert time.time() - t < 5
 
 
+def test_language_words_end_at_punctuation_of_any_script():
+    texts = ["你好，世界。今天「天气」很好！", "naïve—café… l’été «oui»", "می\u200cخواهم، بله", "ありがとう　々・々", "©µª", "。", ""]
+    data, offsets = tk.buffers(pa.array(texts))
+    low, starts, ends, inverse, rows = op7.distinct_words(data, offsets)
+    words = [[low[starts[k] : ends[k]].tobytes().decode() for k in inverse[a:b]] for a, b in itertools.pairwise(rows)]
+    assert words == [["你好", "世界", "今天", "天气", "很好"], ["naïve", "café", "l", "été", "oui"], ["می\u200cخواهم،", "بله"], ["ありがとう", "々・々"], ["µª"], [], []]
+
+
+def test_language_long_words_by_windows(monkeypatch):
+    vocabulary = op7.pieces(op7.default_vocabulary())
+    rng = np.random.default_rng(3)
+    prob = np.append(rng.random((len(vocabulary[0]), 3)) / 1e4, np.zeros((1, 3)), axis=0)
+    word = np.frombuffer("".join(random.Random(3).choice(["ing", "the", "他们", "é", "q"]) for _ in range(150)).encode(), np.uint8)
+    whole = op7.word_scores(prob, vocabulary, word, np.array([0]), np.array([len(word)]))
+    monkeypatch.setattr(op7, "WINDOW", 50)
+    assert op7.word_scores(prob, vocabulary, word, np.array([0]), np.array([len(word)])) == pytest.approx(whole, rel=1e-9)
+
+
 def test_language_hold_out_and_marginals(spark):
     rng = random.Random(1)
     parts = {"xx": ["the", "ing", "er", "tion", "an"], "yy": ["sch", "ung", "keit", "ein", "ver"]}
