@@ -53,6 +53,22 @@ def fill_linear(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def fill_constant(x: np.ndarray, method: str = "zeros") -> np.ndarray:
+    """Missing cells take their column's ``mean`` or ``median``, or 0 (``zeros``); a column without values takes that of all."""
+    if method == "zeros":
+        return np.nan_to_num(x, nan=0.0)
+    if method not in ("mean", "median"):
+        raise ValueError(f"unknown method {method}")
+    of = np.nanmean if method == "mean" else np.nanmedian
+    seen = np.isfinite(x)
+    every = of(x) if seen.any() else 0.0
+    return np.where(seen, x, [of(x[:, j]) if seen[:, j].any() else every for j in range(x.shape[1])])
+
+
+def l1_norm(x: np.ndarray) -> float:
+    return float(np.abs(x).sum())
+
+
 def lag_matrices(x: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
     """(Z, Y): Z rows are 1 and the p rows before, nearest first."""
     n = len(x)

@@ -112,7 +112,7 @@ class PKLMTest:
     nb_projections: int = 100
     nb_projections_threshold: int = 200
     nb_permutation: int = 30
-    nb_trees_per_proj: int = 50
+    nb_trees_per_proj: int = 200
     compute_partial_p_values: bool = False
     seed: int = 0
     max_cells: int = 5_000_000

@@ -46,8 +46,8 @@ def header(lines: list[str]) -> tuple[list[tuple[str, str]], dict[str, str]]:
 def read_tsf(spark: SparkSession, path: str, value_column: str = "series_value", encoding: str = "iso-8859-1") -> DataFrame:
     """One row a series: its attributes and its values as an array of doubles with NULL for ``?``."""
     text = spark.read.option("encoding", encoding).option("header", False).option("quote", "").option("sep", "\x01").csv(path).select(F.col("_c0").alias("value"))
-    # The header is short and at the file's top; the rest stays distributed.
-    attributes, _ = header([r[0] or "" for r in text.limit(200).collect()])
+    # Only the header has lines that begin with @; the rest stays distributed.
+    attributes, _ = header([r[0] for r in text.where(F.col("value").rlike(r"^\s*@")).collect()])
     parts = F.split("value", ":", len(attributes) + 1)
     cols = []
     for i, (name, kind) in enumerate(attributes):

@@ -7,11 +7,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .errors import LacunaError
+
 
 class Scratch:
     """Tables written below the session's ``spark.checkpoint.dir``.
 
-    Where that is unset, as in tests, a local folder is made.  A saved table cuts
+    Where that is unset, a local session, as in tests, gets a local folder; on a
+    cluster it is an error, as other machines would not see it.  A saved table cuts
     the lineage, survives the loss of any executor, and knows its size, so that
     the planner can choose joins by it.
     """
@@ -20,6 +23,8 @@ class Scratch:
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise LacunaError("set spark.checkpoint.dir to a folder that all machines share")
             base = tempfile.mkdtemp(prefix="lacuna-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.base = f"{base}/lacuna-{uuid.uuid4().hex}"
