@@ -225,10 +225,12 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, light:
     sizes = classes.where(f"n between 2 and {MOST_SMALL}").groupBy("n").agg(F.count("*").alias("sets"), F.sum("scan").alias("scan")).collect()
     small = boundary([(r["n"], r["sets"], r["scan"]) for r in sizes], percent)
     rows = docs.select(rep.alias("rep"), "text")
+    repeats = bool(signed.groupBy(rep).agg(F.count("*").alias("c")).where("c > 1").limit(1).count())
 
     def one_each(of_rows: DataFrame, wanted: DataFrame) -> DataFrame:
-        """One row for each wanted class: of those whose ``rep`` is the class's smallest."""
-        return of_rows.join(wanted.select("id", "rep"), ["id", "rep"], "left_semi").drop("rep").dropDuplicates(["id"])
+        """One row for each wanted class: of those whose ``rep`` is the class's smallest; unless a doc_id repeats, that is one."""
+        found = of_rows.join(wanted.select("id", "rep"), ["id", "rep"], "left_semi").drop("rep")
+        return found.dropDuplicates(["id"]) if repeats else found
 
     keyed = rows.mapInArrow(_keys(sketch, k, percent, small), "id long, rep long, keys array<long>, at array<int>").where(F.size("keys") > 0)
     keyed = scratch.save(one_each(keyed, classes), "keys")
@@ -255,7 +257,8 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, light:
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionAll(heavy.select("id")).distinct()
     needed_rows = scratch.save(classes.join(ids, "id", "left_semi").select("id", "rep"), "wanted")
     texts = rows.join(needed_rows.select("rep").distinct(), "rep", "left_semi").select("rep", "text")
-    sets = scratch.save(one_each(texts.mapInArrow(_sets(k), "id long, rep long, s array<long>"), needed_rows), "sets")
+    sets = texts.mapInArrow(_sets(k), "id long, rep long, s array<long>")
+    sets = scratch.save(one_each(sets, needed_rows) if repeats else sets.drop("rep"), "sets")
 
     def verified(candidates: DataFrame) -> DataFrame:
         left, right = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
