@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import Scratch, table
+from .common import KeyMap, Scratch, table
 from .components import components
 
 K = 5
@@ -237,6 +237,8 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, light:
     keys = keyed.select(F.explode("keys").alias("key"), "id")
     lists = scratch.save(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "lists")
     placed = keyed.select("id", F.inline(F.arrays_zip(F.col("keys").alias("key"), "at")))
+    # Most keys are one set's only: a bounded map tells before the shuffle, the join exactly.
+    placed = KeyMap(lists, "key").found(placed, "key")
     members = scratch.save(placed.join(lists, "key").join(joined, "id"), "members")
     scratch.drop(keyed)
 
@@ -256,9 +258,10 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, light:
     heavy = members.where(F.col("c") > light)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionAll(heavy.select("id")).distinct()
     needed_rows = scratch.save(classes.join(ids, "id", "left_semi").select("id", "rep"), "wanted")
-    texts = rows.join(needed_rows.select("rep").distinct(), "rep", "left_semi").select("rep", "text")
+    # Texts stay where they are read; what the map lets through is shingled, and only the wanted classes' sets go on.
+    texts = KeyMap(needed_rows, "rep").found(rows, "rep")
     sets = texts.mapInArrow(_sets(k), "id long, rep long, s array<long>")
-    sets = scratch.save(one_each(sets, needed_rows) if repeats else sets.drop("rep"), "sets")
+    sets = scratch.save(one_each(sets, needed_rows), "sets")
 
     def verified(candidates: DataFrame) -> DataFrame:
         left, right = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
