@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_line_dedup, op02_jaccard, op03_packing, op04_quality, op05_media, op06_exact_dedup, op07_language, op08_pii, op09_toxicity, op10_mixing
+from . import op01_line_dedup, op02_jaccard, op03_packing, op04_quality, op05_media, op06_exact_dedup, op07_language, op08_pii, op09_toxicity, op10_mixing, op11_spelling, op12_filter_audit, op13_tokens
 
 QUERIES = {
     "op1_line_dedup": op01_line_dedup.op1_line_dedup,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_pii": op08_pii.op8_pii,
     "op9_toxicity": op09_toxicity.op9_toxicity,
     "op10_mixing": op10_mixing.op10_mixing,
+    "op11_spelling": op11_spelling.op11_spelling,
+    "op12_filter_audit": op12_filter_audit.op12_filter_audit,
+    "op13_tokens": op13_tokens.op13_tokens,
 }
 
 ORACLE_SQL = {
     "op1_line_dedup": op01_line_dedup.SQL,
     "op2_jaccard": op02_jaccard.SQL,
     "op6_exact_dedup": op06_exact_dedup.SQL,
+    "op11_spelling": op11_spelling.SQL,
+    "op12_filter_audit": op12_filter_audit.SQL,
 }
