@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import EstimatorNotDefined
+from ..errors import EstimatorNotDefined, LacunaError
 from ..frame import numeric_columns
 from ..functions import rand
-from ..storage import Scratch
 from .base import Imputer, join_groups, replace
+from .chained import chained
 from .simple import per_group
 
 Fill = Callable[[DataFrame], DataFrame]
@@ -208,65 +208,44 @@ class Bagged:
 
 
 class ImputerMICE(Imputer):
-    """Chained equations: holes start at the mean, then each column in turn, fewest holes first, is regressed on all others.
+    """Chained equations: holes start at the group's mean, then each column in turn, fewest holes first, is regressed on all others.
 
-    ``estimator``: bayes (default), ols or ridge run over the whole table, one
-    aggregate a column and sweep, the state stored once a sweep; with groups, or
-    for trees, each group is one task.  Stops when no cell moves by more than
-    ``tolerance`` times the largest absolute value, or after ``max_iter`` sweeps.
+    ``estimator``: bayes (default), ols or ridge run over all groups at once, one
+    aggregate a column and sweep, the state stored once a sweep; for trees each
+    group is one task.  Stops when no cell moves by more than ``tolerance`` times
+    the largest absolute value, or after ``max_iter`` sweeps.
+
+    ``sample_posterior`` draws coefficients and cells from their posterior laws in
+    place of means, in each of ``max_iter`` sweeps (10 unless given); draws are keyed
+    by row, so ``key`` is needed.  Different seeds give multiple imputations.
     """
 
     def _fit(self, df: DataFrame, holes: list[str], targets: list[str]) -> Fill:
-        kind, most, tol = self.param("estimator", default="bayes"), int(self.param("max_iter", default=100)), float(self.param("tolerance", default=1e-3))
+        kind, draws = self.param("estimator", default="bayes"), bool(self.param("sample_posterior", default=False))
+        most, tol = int(self.param("max_iter", default=10 if draws else 100)), float(self.param("tolerance", default=1e-3))
         numbers = [c for c in numeric_columns(df) if c in targets]
-        cols = [c for c in holes if c in numbers]
-        if self.spec.groups or kind not in ("bayes", "ols", "ridge"):
-            return per_group(self, cols, lambda pdf, c: _chain_group(pdf, c, numbers, kind, most, tol, self.seed))
-
-        def fill(d: DataFrame) -> DataFrame:
-            scratch = Scratch(d.sparkSession)
-            counts = d.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in cols], *[F.avg(c).alias(f"_m_{c}") for c in cols], *[F.max(F.abs(c)).alias(f"_x_{c}") for c in numbers]).first()
-            order = sorted(cols, key=lambda c: (counts[c], c))
-            top = max((counts[f"_x_{c}"] or 0.0 for c in numbers), default=0.0)
-            state = d.select(*[F.coalesce(F.col(c).cast("double"), F.lit(counts[f"_m_{c}"])).alias(c) if c in cols else F.col(c) for c in d.columns], *[F.col(c).isNull().alias(f"_h_{c}") for c in cols])
-            state = scratch.save(state, "start")
-            for sweep in range(most):
-                now = state.select("*", *[F.col(c).alias(f"_o_{c}") for c in cols])
-                for c in order:
-                    features = [x for x in numbers if x != c]
-                    coef = solve(now.agg(*gram_columns(features, c, ~F.col(f"_h_{c}"))).first().asDict(), len(features), 1.0 if kind == "ridge" else 0.0, kind == "bayes")
-                    now = now.withColumn(c, F.when(F.col(f"_h_{c}"), linear(features, coef)).otherwise(F.col(c)))
-                now = scratch.save(now, f"sweep{sweep}")
-                moved = now.agg(*[F.max(F.abs(F.col(c) - F.col(f"_o_{c}"))) for c in cols]).first()
-                scratch.drop(state)
-                state = now.drop(*[f"_o_{c}" for c in cols])
-                state._scratch_path = now._scratch_path
-                if max((m or 0.0 for m in moved), default=0.0) < tol * top:
-                    break
-            return state.select(*d.columns)
-
-        return fill
-
-
-def _chain_group(pdf: pd.DataFrame, columns: list[str], numbers: list[str], kind: str, most: int, tol: float, seed: int) -> pd.DataFrame:
+        cols, keys = [c for c in holes if c in numbers], self.spec.key or self.spec.order_by
+        if kind not in ("bayes", "ols", "ridge"):
+            if draws:
+                raise EstimatorNotDefined(f"{kind} has no posterior to draw from")
+            return per_group(self, cols, lambda pdf, c: _chain_group(pdf, c, numbers, most, tol, self.seed))
+        if draws and not keys:
+            raise LacunaError("draws are keyed by row: give key")
+        return lambda d: chained(d, cols, numbers, self.spec.groups, kind, most, tol, draws, keys, self.seed)
+
+
+def _chain_group(pdf: pd.DataFrame, columns: list[str], numbers: list[str], most: int, tol: float, seed: int) -> pd.DataFrame:
+    """Chained equations of one group by bagged trees."""
     x = pdf[numbers].to_numpy(float)
     hole = np.isnan(x)
-    seen = np.where(hole, np.nan, x)
-    means = np.array([np.nanmean(seen[:, j]) if (~hole[:, j]).any() else 0.0 for j in range(len(numbers))])
+    means = np.array([np.nanmean(v) if not h.all() else 0.0 for v, h in zip(x.T, hole.T)])
     z = np.where(hole, means, x)
     order = sorted((j for j in range(len(numbers)) if hole[:, j].any() and not hole[:, j].all()), key=lambda j: hole[:, j].sum())
     for _ in range(most):
         before = z.copy()
         for j in order:
             rest = np.delete(z, j, axis=1)
-            if kind == "trees":
-                z[hole[:, j], j] = Bagged(seed=seed, n_trees=20).fit(rest[~hole[:, j]], z[~hole[:, j], j]).predict(rest[hole[:, j]])
-                continue
-            full = np.concatenate([np.ones((len(z), 1)), rest], axis=1)
-            a, y = full[~hole[:, j]], z[~hole[:, j], j]
-            g, b = a.T @ a, a.T @ y
-            row = {f"g_{p}_{q}": g[p, q] for p in range(len(g)) for q in range(p, len(g))} | {f"b_{p}": b[p] for p in range(len(g))} | {"yy": float(y @ y)}
-            z[hole[:, j], j] = full[hole[:, j]] @ solve(row, len(numbers) - 1, 1.0 if kind == "ridge" else 0.0, kind == "bayes")
+            z[hole[:, j], j] = Bagged(seed=seed, n_trees=20).fit(rest[~hole[:, j]], z[~hole[:, j], j]).predict(rest[hole[:, j]])
         if np.abs(z - before).max(initial=0) < tol * np.abs(x[~hole]).max(initial=0):
             break
     pdf[numbers] = z

@@ -232,6 +232,36 @@ def _regressed(name: str, make: Callable[[], object]) -> None:
 
 _regressed("impute_em_mle", lambda: em.ImputerEM(tolerance=1e-12, max_iter_em=500, **_XU))
 _regressed("impute_mice_full", lambda: regress.ImputerMICE(estimator="ols", max_iter=10, **_XU))
+
+
+@query("impute_mice_draws", f"""WITH {EV}, f AS (SELECT g, regr_slope(x, user_id) AS b, regr_intercept(x, user_id) AS a, count(x) AS n, count(*) - count(x) AS holes  FROM ev GROUP BY g)
+SELECT g, holes AS n_holes, round(a + b * 100, 3) + 0.0 AS fit_at_100, true AS mean_holds, true AS spread_holds FROM f""")
+def impute_mice_draws(s, d):
+    """Four imputations drawn from the posterior of each group's regression on user_id, against its closed form.
+
+    The fit is the library's own, at user_id = 100. Over the holes the draws' distance from
+    their conditional means, in units of the residual deviation, must have mean 0 within five
+    standard errors (of coefficients and cells) and mean square 1 within a tenth and five more.
+    """
+    e = events(s, d).select("event_id", "g", F.col("user_id").cast("double").alias("u"), "x")
+    kw = {"estimator": "ols", "groups": ["g"], "key": ["event_id"], "columns": ["u", "x"]}
+    probes = e.groupBy("g").agg(F.lit(-1).cast("long").alias("event_id")).select("event_id", "g", F.lit(100.0).alias("u"), F.lit(None).cast("double").alias("x"))
+    mean = regress.ImputerMICE(max_iter=1, **kw).fit_transform(e.unionAll(probes))
+    at = mean.where("event_id = -1").select("g", F.round("x", 3).alias("fit_at_100"))
+    seen = e.where("x IS NOT NULL").groupBy("g").agg(F.regr_sxx("x", "u").alias("sxx"), F.regr_syy("x", "u").alias("syy"), F.regr_sxy("x", "u").alias("sxy"), F.count("*").alias("n"))
+    scale = seen.select("g", "n", F.sqrt((F.col("syy") - F.col("sxy") ** 2 / F.col("sxx")) / (F.col("n") - 2)).alias("s"))
+    runs, seeds = None, 4
+    for seed in range(seeds):
+        one = regress.ImputerMICE(sample_posterior=True, max_iter=1, seed=seed, **kw).fit_transform(e).select("event_id", F.col("x").alias("drawn"))
+        runs = one if runs is None else runs.unionAll(one)
+    holes_ = mean.where("event_id >= 0").join(e.where("x IS NULL").select("event_id"), "event_id").select("event_id", "g", F.col("x").alias("fit"))
+    r = holes_.join(runs, "event_id").join(scale, "g").withColumn("r", (F.col("drawn") - F.col("fit")) / F.col("s"))
+    r = r.groupBy("g").agg(F.count("*").alias("k"), F.max("n").alias("n"), F.avg("r").alias("m"), F.avg(F.col("r") ** 2).alias("v"))
+    cells = F.col("k") / seeds
+    good = r.select("g", cells.cast("long").alias("n_holes"), (F.abs("m") < 5 * F.sqrt(1 / F.col("k") + 1 / (seeds * F.col("n")))).alias("mean_holds"), (F.abs(F.col("v") - 1) < 0.1 + 5 * F.sqrt(2 / F.col("k") + 2 / (seeds * F.col("n")))).alias("spread_holds"))
+    return good.join(at, "g").select("g", "n_holes", F.col("fit_at_100") + 0.0, "mean_holds", "spread_holds").toDF("g", "n_holes", "fit_at_100", "mean_holds", "spread_holds")
+
+
 _numeric("impute_em_sample", lambda: em.ImputerEM(method="sample", seed=1, **_XU))
 _numeric("impute_var", lambda: em.ImputerEM(model="VAR", p=1, max_iter_em=10, **_XU))
 

@@ -30,16 +30,18 @@ class Scratch:
         self.base = f"{base}/lacuna-{uuid.uuid4().hex}"
         self._n = 0
 
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def save(self, df: DataFrame, name: str = "t", tidy: bool = True) -> DataFrame:
         """Writes ``df`` and returns the stored rows.
 
         What its plan shuffled is of no more use then; a collection in the JVM
-        lets Spark delete those files now and not at some later time.
+        lets Spark delete those files now and not at some later time.  Where a plan
+        shuffles little, as small steps of a loop do, ``tidy=False`` saves that time.
         """
         self._n += 1
         path = f"{self.base}/{self._n}-{name}"
         df.write.parquet(path)
-        self.spark._jvm.System.gc()
+        if tidy:
+            self.spark._jvm.System.gc()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
