@@ -1,7 +1,9 @@
 """Low-rank imputation: principal component pursuit, noisy robust PCA, and soft-thresholded ALS.
 
-The engines are numpy on one group's matrix; a group is held in one task, so it
-must fit there.  ``decompose_on_basis`` works row by row once a basis is known.
+The imputers work on rows in many tasks (see ``rowwise``).  Only lag penalties
+(``list_periods``) couple rows with each other: with them a group's matrix is held
+in one task and must fit there.  The classes of one matrix in numpy are for such
+groups, and for matrices of one's own.
 """
 
 from __future__ import annotations
@@ -11,12 +13,16 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..errors import LacunaError
 from ..frame import numeric_columns
 from ..functions import linalg
 from ..functions.linalg import soft_threshold, svd_threshold
-from .base import Imputer
+from ..functions.ranks import ranked
+from ..storage import Scratch
+from . import rowwise
+from .base import Imputer, Model
 from .simple import per_group
 
 
@@ -162,46 +168,142 @@ class SoftImpute:
 
 
 class _LowRank(Imputer):
-    needs_order = True
+    """Holes take the low-rank part of the standardised matrix; ``period`` folds a series into one, ``columnwise`` gives each column its own."""
+
     leaves_none = False
 
     def engine(self, column: str | None):
+        """The decomposition of one matrix in numpy."""
+        raise NotImplementedError
+
+    def fitted(self, rows: DataFrame, width: int, n_groups: int, column: str | None, scratch: Scratch) -> DataFrame | None:
+        """What a fit keeps for each group; None where a table is decomposed as a whole at each transform."""
         raise NotImplementedError
 
+    def solved(self, rows: DataFrame, model: DataFrame | None, width: int, n_groups: int, column: str | None, scratch: Scratch) -> DataFrame:
+        """(gid, i, m): the low-rank part of the rows."""
+        return rowwise.solved_on_basis(rows, model, width)
+
+    def coupled(self, column: str | None) -> bool:
+        return False
+
+    def fit(self, df: DataFrame) -> Model:
+        if any(int(self.param("period", c, 1)) > 1 or self.coupled(c) for c in (None, *self.targets(df))):
+            self.spec.ordered(type(self).__name__)
+        return super().fit(df)
+
     def _fit(self, df: DataFrame, holes: list[str], targets: list[str]) -> Callable[[DataFrame], DataFrame]:
         cols = [c for c in numeric_columns(df) if c in targets]
         by_column, asked = self.param("columnwise", default=False), [c for c in holes if c in cols]
-
-        def run(pdf: pd.DataFrame, _: list[str]) -> pd.DataFrame:
-            for part in [[c] for c in asked] if by_column else [cols]:
-                name = part[0] if by_column else None
-                x = pdf[part].to_numpy(float)
-                if np.isnan(x).all():
-                    continue
-                m = linalg.fold(x, int(self.param("period", name, 1)))
-                known = ~np.isnan(m)
-                centre = np.nan_to_num([np.nanmean(c) if np.isfinite(c).any() else np.nanmean(m) for c in m.T])
-                spread = np.array([np.nanstd(c) if np.isfinite(c).any() else 1.0 for c in m.T])
-                spread[spread == 0] = 1
-                fitted = self.engine(name).decompose((m - centre) / spread, known)[0]
-                pdf[part] = linalg.unfold(fitted * spread + centre, x.shape)
-            return pdf
-
-        return per_group(self, asked, run)
+        parts = [([c], c) for c in asked] if by_column else [(cols, None)]
+        if any(self.coupled(name) for _, name in parts):
+            return per_group(self, asked, lambda pdf, _: self._one_matrix(pdf, parts))
+        scratch = Scratch(df.sparkSession)
+        models = [self._learn(df, part, name, scratch) for part, name in parts]
+
+        def fill(d: DataFrame) -> DataFrame:
+            out = d
+            for (part, name), (groups, model, n_groups) in zip(parts, models):
+                out = self._apply(out, part, [c for c in asked if c in part], name, groups, model, n_groups)
+            return out
+
+        return fill
+
+    def _rows(self, d: DataFrame, part: list[str], name: str | None, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+        """The table's rows with their group, matrix row ``i`` and place ``k`` in it; and the matrix rows (g, i, x)."""
+        period, by = int(self.param("period", name, 1)), self.spec.groups
+        group = F.struct(*[F.col(c).alias(f"g{i}") for i, c in enumerate(by)]) if by else F.struct(F.lit(0).alias("g0"))
+        rows = d.select(F.struct(*d.columns).alias("row"), group.alias("g"), F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in part]).alias("v"))
+        if period == 1:
+            kept = scratch.save(rows.select("row", "g", "v", F.monotonically_increasing_id().alias("i"), F.lit(0).alias("k")), "rows")
+            return kept, kept.select("g", "i", F.col("v").alias("x"))
+        order = F.struct(*[F.col("row")[c] for c in self.spec.order_by])
+        placed = ranked(rows.withColumn("_order", order), "g", "_order", scratch).drop("_order")
+        kept = scratch.save(placed.select("row", "g", "v", F.floor(F.col("i") / period).alias("i"), (F.col("i") % period).cast("int").alias("k")), "rows")
+        cells = kept.groupBy("g", "i").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("v"))  # at most a period each
+        gap = F.array_repeat(F.lit(float("nan")), len(part))
+        return kept, cells.select("g", "i", F.flatten(F.transform(F.sequence(F.lit(0), F.lit(period - 1)), lambda k: F.coalesce(F.element_at("v", k), gap))).alias("x"))
+
+    def _scaled(self, matrix: DataFrame, groups: DataFrame, width: int) -> DataFrame:
+        """(gid, i, x): matrix rows in units of their columns' deviation, about their means."""
+        known = matrix.join(groups, "g")
+        return known.select("gid", "i", F.array(*[(F.col("x")[j] - F.col("centre")[j]) / F.col("spread")[j] for j in range(width)]).alias("x"))
+
+    def _learn(self, df: DataFrame, part: list[str], name: str | None, scratch: Scratch) -> tuple[DataFrame, DataFrame | None, int]:
+        width = len(part) * int(self.param("period", name, 1))
+        _, matrix = self._rows(df, part, name, scratch)
+        cell = [F.when(~F.isnan(F.col("x")[j]), F.col("x")[j]) for j in range(width)]
+        stats = matrix.groupBy("g").agg(F.array(*[F.avg(c) for c in cell]).alias("m"), F.array(*[F.stddev_pop(c) for c in cell]).alias("s"))
+        # A column without values takes the mean of the others.
+        seen = F.filter("m", lambda v: v.isNotNull())
+        others = F.try_divide(F.aggregate(seen, F.lit(0.0), lambda t, v: t + v), F.size(seen))
+        stats = stats.where(others.isNotNull()).select("g", F.monotonically_increasing_id().alias("gid"), F.transform("m", lambda v: F.coalesce(v, others)).alias("centre"), F.transform("s", lambda v: F.when(v > 0, v).otherwise(1.0)).alias("spread"))
+        groups = scratch.save(stats, "groups", tidy=False)
+        n_groups = groups.count()
+        rows = scratch.save(self._scaled(matrix, groups, width), "scaled")
+        return groups, self.fitted(rows, width, n_groups, name, scratch), n_groups
+
+    def _apply(self, d: DataFrame, part: list[str], asked: list[str], name: str | None, groups: DataFrame, model: DataFrame | None, n_groups: int) -> DataFrame:
+        scratch = Scratch(d.sparkSession)
+        width = len(part) * int(self.param("period", name, 1))
+        rows, matrix = self._rows(d, part, name, scratch)
+        fit = self.solved(self._scaled(matrix, groups, width), model, width, n_groups, name, scratch)
+        fit = fit.join(groups, "gid").select("g", "i", "m", "centre", "spread")
+        met = rows.select("row", "k", F.col("g").alias("rg"), F.col("i").alias("ri")).join(fit, F.col("rg").eqNullSafe(F.col("g")) & (F.col("ri") == F.col("i")), "left")
+        place = lambda c: F.col("k") * len(part) + part.index(c)
+        value = lambda c: F.coalesce(F.col("row")[c].cast("double"), F.get("m", place(c)) * F.get("spread", place(c)) + F.get("centre", place(c)))
+        return met.select(*[value(c).alias(c) if c in asked else F.col("row")[c].alias(c) for c in d.columns])
+
+    def _one_matrix(self, pdf: pd.DataFrame, parts: list[tuple[list[str], str | None]]) -> pd.DataFrame:
+        for part, name in parts:
+            x = pdf[part].to_numpy(float)
+            if np.isnan(x).all():
+                continue
+            m = linalg.fold(x, int(self.param("period", name, 1)))
+            known = ~np.isnan(m)
+            centre = np.nan_to_num([np.nanmean(c) if np.isfinite(c).any() else np.nanmean(m) for c in m.T])
+            spread = np.array([np.nanstd(c) if np.isfinite(c).any() else 1.0 for c in m.T])
+            spread[spread == 0] = 1
+            fitted = self.engine(name).decompose((m - centre) / spread, known)[0]
+            pdf[part] = linalg.unfold(fitted * spread + centre, x.shape)
+        return pdf
 
 
 class ImputerRpcaPcp(_LowRank):
-    """Holes take the low-rank part; ``period`` folds a series into a matrix."""
+    """Principal component pursuit, of each table that is transformed as a whole."""
 
     def engine(self, c):
         return RpcaPcp(self.param("mu", c), self.param("lam", c), int(self.param("max_iterations", c, 1000)), float(self.param("tolerance", c, 1e-6)))
 
+    def fitted(self, rows, width, n_groups, c, scratch):
+        return None
+
+    def solved(self, rows, model, width, n_groups, c, scratch):
+        return rowwise.pursue(rows, width, n_groups, self.param("mu", c), self.param("lam", c), int(self.param("max_iterations", c, 200)), float(self.param("tolerance", c, 1e-5)), scratch)
+
 
 class ImputerRpcaNoisy(_LowRank):
+    """A basis is learned by ``fit``; ``transform`` solves the rows of any table on it, anomalies set apart.
+
+    ``rank``, ``tau``, ``lam`` as in ``RpcaNoisy``.  There is no weight ``mu`` between
+    the low-rank part and its factors: the part is their product, exactly.
+    """
+
     def engine(self, c):
         return RpcaNoisy(self.param("rank", c), self.param("tau", c), self.param("lam", c), self.param("list_periods", c, ()), self.param("list_etas", c, ()), int(self.param("max_iterations", c, 500)), float(self.param("tolerance", c, 1e-6)), self.param("norm", c, "L2"))
 
+    def coupled(self, c):
+        return bool(self.param("list_periods", c, ()))
+
+    def fitted(self, rows, width, n_groups, c, scratch):
+        return rowwise.fit_basis(rows, width, n_groups, self.param("rank", c), self.param("tau", c), self.param("lam", c), int(self.param("max_iterations", c, 50)), float(self.param("tolerance", c, 1e-5)), scratch)
+
 
 class ImputerSoftImpute(_LowRank):
+    """As the noisy decomposition, without anomalies."""
+
     def engine(self, c):
         return SoftImpute(self.param("rank", c), self.param("tau", c), int(self.param("max_iterations", c, 100)), float(self.param("tolerance", c, 1e-5)))
+
+    def fitted(self, rows, width, n_groups, c, scratch):
+        return rowwise.fit_basis(rows, width, n_groups, self.param("rank", c), self.param("tau", c), float("inf"), int(self.param("max_iterations", c, 50)), float(self.param("tolerance", c, 1e-5)), scratch)
