@@ -25,6 +25,7 @@ import json
 import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +38,7 @@ from .common import table
 #: A document with more tokens is over the limit.
 LIMIT = 512
 #: Units, and parts of units, whose counts a task remembers; longer ones than LONGEST characters it does not.
-REMEMBERED, LONGEST = 1 << 18, 48
+REMEMBERED, LONGEST = 1 << 20, 48
 
 #: Unicode white space, as the pattern of the pre-tokeniser means it.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -51,18 +52,22 @@ def default_tokenizer() -> str:
 
 
 class Remembered(dict):
-    """Counts by text, worked out when missing and kept while there is room."""
+    """Counts by text, worked out when missing; when full, those not met since the last time it was full are forgotten."""
 
     def __init__(self, count):
         super().__init__()
-        self.count = count
+        self.count, self.older = count, {}
 
     def __missing__(self, text: str) -> int:
-        n = self.count(text)
-        if len(text) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[text] = n
+        n = self.older.get(text)
+        if n is None:
+            n = self.count(text)
+            if len(text) > LONGEST:
+                return n
+        if 2 * len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[text] = n
         return n
 
 
@@ -73,42 +78,51 @@ class Merges:
         with open(path, encoding="utf-8") as f:
             parsed = json.load(f)
         self.ids = ids = parsed["model"]["vocab"]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.bits = max(ids.values()).bit_length()
+        #: Rank by pair (two ids in one number), and the symbol that a rank's merge makes.
+        self.ranks: dict[int, int] = {}
+        self.made: list[int] = []
         for rank, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in parsed["model"]["merges"]):
-            self.merges[ids[a], ids[b]] = rank, ids[a + b]
-        self.special = [t["content"] for t in parsed["added_tokens"]]
-        self.at_special = re.compile("|".join(map(re.escape, self.special))) if self.special else None
+            self.ranks[ids[a] << self.bits | ids[b]] = rank
+            self.made.append(ids[a + b])
+        special = [t["content"] for t in parsed["added_tokens"]]
+        self.at_special = re.compile("|".join(map(re.escape, special))) if special else None
         # Which characters are letters or digits is for the library to say: its Unicode tables may be older than ours.
-        parts = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
-        self.part_counts = Remembered(self.merge)
-        self.unit_counts = Remembered(lambda unit: sum(self.part_counts[part] for part, _ in parts(unit)))
+        self.parts = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+        self.part_counts, self.unit_counts = Remembered(self.merge), Remembered(self.unit)
+
+    def unit(self, unit: str) -> int:
+        """Tokens of one unit; it may hold several pre-tokens, such as a word and its comma."""
+        parts = self.parts(unit)
+        return self.merge(parts[0][0]) if len(parts) == 1 else sum(self.part_counts[part] for part, _ in parts)
 
     def merge(self, part: str) -> int:
         """Tokens of one pre-token, given as the vocabulary writes its bytes: a printable character for each."""
-        symbols = [self.ids[c] for c in part]
+        ids, rank_of, bits = self.ids, self.ranks.get, self.bits
+        symbols = [ids[c] for c in part]
         n = count = len(symbols)
-        if n < 2:
-            return n
-        merges = self.merges
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(*found, i) for i in range(n - 1) if (found := merges.get((symbols[i], symbols[i + 1])))]
-        heap = [(rank, i, new) for rank, new, i in heap]
+        # A heap entry is rank and place in one number, so that lower ranks, then earlier places come first.
+        heap = [rank << 32 | i for i, (a, b) in enumerate(pairwise(symbols)) if (rank := rank_of(a << bits | b)) is not None]
+        if not heap:
+            return count
         heapify(heap)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         while heap:
-            rank, i, new = heappop(heap)
+            entry = heappop(heap)
+            rank, i = entry >> 32, entry & 0xFFFFFFFF
             j = after[i]
-            if symbols[i] < 0 or j >= n or merges.get((symbols[i], symbols[j]), (-1,))[0] != rank:
+            if j >= n or symbols[i] < 0 or rank_of(symbols[i] << bits | symbols[j]) != rank:
                 continue  # one of the two has been merged since
-            symbols[i], symbols[j] = new, -1
+            symbols[i], symbols[j] = new, _ = self.made[rank], -1
             count -= 1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if found := merges.get((new, symbols[k])):
-                    heappush(heap, (found[0], i, found[1]))
+                if (rank := rank_of(new << bits | symbols[k])) is not None:
+                    heappush(heap, rank << 32 | i)
             h = before[i]
-            if h >= 0 and (found := merges.get((symbols[h], new))):
-                heappush(heap, (found[0], h, found[1]))
+            if h >= 0 and (rank := rank_of(symbols[h] << bits | new)) is not None:
+                heappush(heap, rank << 32 | h)
         return count
 
     def tokens(self, text: str) -> int:
