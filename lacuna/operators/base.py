@@ -20,6 +20,10 @@ from ..errors import SchemaChanged
 from ..frame import Spec, canonical, check_not_all_missing, check_types, is_numeric, observed_counts
 
 
+#: The column that holds a user's columns while an imputer works.
+REST = "_lacuna_rest"
+
+
 class Model:
     """A fitted imputer."""
 
@@ -34,8 +38,11 @@ class Model:
                 raise SchemaChanged(f"column {name} is {now.get(name)}; it was {kind} when the imputer was fitted")
         if not self.columns:
             return df
-        filled = self._fill(canonical(df, self.columns))
-        return filled if self._whole else fallback(filled, self.columns)
+        rest = self.imputer.passengers(df)
+        rows = df.select(*[F.col(c) for c in df.columns if c not in rest], F.struct(*rest).alias(REST)) if rest else df
+        filled = self._fill(canonical(rows, self.columns))
+        filled = filled if self._whole else fallback(filled, self.columns)
+        return filled.select(*[F.col(REST)[c].alias(c) if c in rest else F.col(c) for c in df.columns]) if rest else filled
 
 
 class Imputer:
@@ -67,12 +74,17 @@ class Imputer:
     def targets(self, df: DataFrame) -> list[str]:
         return list(self.columns) if self.columns is not None else [c for c in df.columns if c not in self.spec.reserved]
 
+    def passengers(self, df: DataFrame) -> list[str]:
+        """Columns that the imputer does not use and whose names might be those of its own inner columns; they travel as one struct."""
+        used = {*self.targets(df), *self.spec.reserved, *[v for v in self.hyper.values() if isinstance(v, str)]}
+        return [c for c in df.columns if c.startswith("_") and c not in used] if self.columns is not None else []
+
     def fit(self, df: DataFrame) -> Model:
         if self.needs_order:
             self.spec.ordered(type(self).__name__)
         targets = self.targets(df)
         check_types(df, targets)
-        clean = canonical(df, targets)
+        clean = canonical(df.drop(*self.passengers(df)), targets)
         rows, seen, least = observed_counts(clean, targets, self.spec.groups)
         check_not_all_missing(rows, seen)
         holes, self.rows = [c for c in targets if seen[c] < rows], rows

@@ -2,7 +2,8 @@
 
 Gaussian: one scan gives, for each missingness pattern, the number of rows and
 the sums and products of the observed columns.  These are all that exact EM needs,
-so its iterations touch no row.  VAR(p) runs in one task for each group.
+so its iterations touch no row.  VAR(p) smooths series in blocks of rows (see
+``varblocks``).
 """
 
 from __future__ import annotations
@@ -16,10 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import LacunaError
-from ..frame import canonical, numeric_columns, pattern
-from ..functions import linalg, rand
+from ..frame import Spec, canonical, numeric_columns, pattern
+from ..functions import rand
+from ..functions.ranks import ranked
+from ..storage import Scratch
+from . import varblocks
 from .base import Imputer, join_groups
-from .simple import per_group
+from .simple import interpolated
 
 Fill = Callable[[DataFrame], DataFrame]
 
@@ -95,75 +99,13 @@ def conditional(x: np.ndarray, mu: np.ndarray, sigma: np.ndarray, noise: np.ndar
     return out
 
 
-def fit_var(z: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients B ((1 + p d) x d) and noise covariance of a complete series."""
-    a, y = linalg.lag_matrices(z, p)
-    b = np.linalg.pinv(a.T @ a, rcond=1e-10) @ (a.T @ y)
-    e = y - a @ b
-    return b, e.T @ e / max(len(y), 1)
-
-
-def smooth_var(z: np.ndarray, hole: np.ndarray, b: np.ndarray, s: np.ndarray, p: int, steps: int = 200) -> np.ndarray:
-    """Missing cells at the most likely values given the others, by conjugate gradients on the quadratic form."""
-    inv = np.linalg.pinv(s + 1e-9 * np.trace(s) / len(s) * np.eye(len(s)) + 1e-12 * np.eye(len(s)))
-    d = z.shape[1]
-
-    def gradient(x: np.ndarray, affine: bool) -> np.ndarray:
-        e = x[p:] - sum(x[p - k : len(x) - k] @ b[1 + (k - 1) * d : 1 + k * d] for k in range(1, p + 1)) - (b[0] if affine else 0)
-        w = e @ inv
-        g = np.zeros_like(x)
-        g[p:] += w
-        for k in range(1, p + 1):
-            g[p - k : len(x) - k] -= w @ b[1 + (k - 1) * d : 1 + k * d].T
-        return np.where(hole, g, 0)
-
-    r = -gradient(z, True)
-    x, q, rr = z.copy(), r.copy(), (r * r).sum()
-    for _ in range(min(steps, int(hole.sum()) + 2)):
-        if rr < 1e-18:
-            break
-        aq = gradient(q, False)
-        den = (q * aq).sum()
-        if den <= 0:
-            break
-        x += rr / den * q
-        r -= rr / den * aq
-        new = (r * r).sum()
-        q, rr = r + new / rr * q, new
-    return x
-
-
-def var_em(x: np.ndarray, p: int | None, most: int, tol: float, max_lag: int = 2) -> np.ndarray:
-    """A series with its holes at the VAR's most likely values; the lag, if not given, by AIC."""
-    z, hole = linalg.fill_linear(x), np.isnan(x)
-    if p is None:
-        def aic(k: int) -> float:
-            _, s = fit_var(z, k)
-            n = len(z) - k
-            return n * np.linalg.slogdet(s + 1e-12 * np.eye(len(s)))[1] + 2 * k * z.shape[1] ** 2
-        p = min((k for k in range(1, max_lag + 1) if len(z) > k + 2), key=aic, default=1)
-    if len(z) < p + 3:
-        return z
-    # Rows before the first full observation keep the interpolation.
-    full = ~hole.any(axis=1)
-    start = int(full.argmax()) if full.any() else 0
-    free = hole.copy()
-    free[:start] = False
-    last = None
-    for _ in range(most):
-        b, s = fit_var(z, p)
-        z = smooth_var(z, free, b, s, p)
-        if last is not None and max(np.abs(b - last[0]).max(), np.abs(s - last[1]).max()) < tol:
-            break
-        last = (b, s)
-    return z
-
-
 class ImputerEM(Imputer):
-    """``model``: multinormal (i.i.d. rows) or VAR (``p`` lags, None for AIC).
+    """``model``: multinormal (i.i.d. rows) or VAR (``p`` lags, None for AIC over all groups).
 
-    ``method``: mle fills conditional means; sample adds a draw from the
-    conditional law, keyed by row and seed.  Each group has its own model.
+    ``method``: mle fills conditional means; sample draws from the conditional
+    law of all missing cells, keyed by seed and row (VAR: by group and block).  Each
+    group has its own model.  VAR: cells before a group's first full row keep the
+    interpolation; ``period`` folds rows; series of less than p + 3 rows have no model.
     """
 
     leaves_none = False
@@ -173,14 +115,7 @@ class ImputerEM(Imputer):
         cols = [c for c in numeric_columns(df) if c in targets]
         if self.param("model", default="multinormal") == "VAR":
             self.spec.ordered("an autoregressive model")
-            p, period = self.param("p"), int(self.param("period", default=1))
-
-            def run(pdf: pd.DataFrame, _: list[str]) -> pd.DataFrame:
-                x = linalg.fold(pdf[cols].to_numpy(float), period)
-                pdf[cols] = linalg.unfold(var_em(x, p, most, tol), (len(pdf), len(cols)))
-                return pdf
-
-            return per_group(self, [c for c in holes if c in cols], run)
+            return self._fit_var(df, cols, [c for c in holes if c in cols])
         moments, d = pattern_moments(df, cols, groups), len(cols)
         if groups:
             kinds = {f.name: f.dataType.simpleString() for f in moments.schema}
@@ -228,3 +163,58 @@ class ImputerEM(Imputer):
             return canonical(out.mapInPandas(run, schema), cols)
 
         return fill
+
+    def _series(self, d: DataFrame, cols: list[str], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+        """The table's rows with group, series row ``i`` and place ``k`` in it; and the series rows (g, i, v, z)."""
+        period, nan = int(self.param("period", default=1)), F.lit(float("nan"))
+        group = F.struct(*[F.col(c).alias(f"g{i}") for i, c in enumerate(self.spec.groups)]) if self.spec.groups else F.struct(F.lit(0).alias("g0"))
+        rows = d.select(F.struct(*d.columns).alias("row"), group.alias("g"), F.struct(*self.spec.order_by).alias("order"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+        names = [f"x{i}" for i in range(len(cols))]
+        placed = scratch.save(ranked(rows, "g", "order", scratch), "placed")
+        guessed = interpolated(placed.select("g", "i", *names), names, Spec.of(["i"], [], ["g"]), "linear", None, max(1, placed.count() // 1_000_000))
+        guessed = guessed.select("g", "i", F.array(*[F.coalesce(n, nan) for n in names]).alias("v"), F.array(*[F.coalesce(n, f"_i_{n}", F.lit(0.0)) for n in names]).alias("z"))
+        kept = placed.select("row", "g", F.floor(F.col("i") / period).alias("i"), (F.col("i") % period).cast("int").alias("k"))
+        if period == 1:
+            return kept, scratch.save(guessed, "series")
+        cells = guessed.groupBy("g", F.floor(F.col("i") / period).alias("i")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("i") % period).cast("int"), F.struct("v", "z")))).alias("m"))
+        lines = F.transform(F.sequence(F.lit(0), F.lit(period - 1)), lambda k: F.element_at("m", k))
+        side = lambda c, gap: F.flatten(F.transform(lines, lambda r: F.coalesce(r[c], F.array_repeat(gap, len(cols))))).alias(c)
+        return kept, scratch.save(cells.select("g", "i", side("v", nan), side("z", F.lit(0.0))), "series")
+
+    def _fit_var(self, df: DataFrame, cols: list[str], asked: list[str]) -> Fill:
+        scratch, most, tol = Scratch(df.sparkSession), int(self.param("max_iter_em", default=20)), float(self.param("tolerance", default=1e-4))
+        period, lags, length = int(self.param("period", default=1)), self.param("p"), self.param("block")
+        d = period * len(cols)
+        _, rows = self._series(df, cols, scratch)
+        if lags is None:
+            lags = min(range(1, int(self.param("max_lag", default=2)) + 1), key=lambda k: _aic(varblocks.Series(rows, d, k, scratch, length), k))
+        series = varblocks.Series(rows, d, int(lags), scratch, length)
+        fitted = scratch.save(series.fit(most, tol).join(series.groups, "gid").select(F.col("g").alias("fg"), "p"), "fitted", tidy=False)
+        seed = self.seed if self.param("method", default="mle") == "sample" else None
+
+        def fill(d0: DataFrame) -> DataFrame:
+            scratch = Scratch(d0.sparkSession)
+            placed, rows = self._series(d0, cols, scratch)
+            now = varblocks.Series(rows, d, int(lags), scratch, length)
+            params = scratch.save(now.groups.join(fitted, F.col("g") == F.col("fg")).select("gid", "p"), "parameters", tidy=False)
+            seen = rows.groupBy("g").agg(*[F.max(F.exists(F.array(*[~F.isnan(F.col("v")[k * len(cols) + j]) for k in range(period)]), lambda x: x)).alias(f"seen{j}") for j in range(len(cols))])
+            filled = now.filled(params, seed).join(now.groups.select("gid", "g"), "gid").join(seen, "g")
+            filled = filled.select(F.col("g").alias("fg"), F.col("i").alias("fi"), "m", *[f"seen{j}" for j in range(len(cols))])
+            met = placed.join(filled, (F.col("g") == F.col("fg")) & (F.col("i") == F.col("fi")), "left")
+            # A column without any value in a group has no law there.
+            value = lambda c: F.coalesce(F.col("row")[c].cast("double"), F.when(F.col(f"seen{cols.index(c)}"), F.get("m", F.col("k") * len(cols) + cols.index(c))))
+            return met.select(*[value(c).alias(c) if c in asked else F.col("row")[c].alias(c) for c in d0.columns])
+
+        return fill
+
+
+def _aic(series: varblocks.Series, lags: int) -> float:
+    """Over all groups, of the model with so many lags on the starting values."""
+    d = series.d
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"aic": [n * float(np.linalg.slogdet(np.reshape(p[-d * d :], (d, d)))[1]) + 2 * lags * d * d for n, p in zip(pdf["n"], pdf["p"])]})
+
+    fitted = series.fit(0, 0.0).join(series.groups, "gid").select((F.col("n") - lags).cast("double").alias("n"), "p")
+    return fitted.mapInPandas(run, "aic double").agg(F.sum("aic")).first()[0] or 0.0

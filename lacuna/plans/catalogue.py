@@ -263,7 +263,18 @@ def impute_mice_draws(s, d):
 
 
 _numeric("impute_em_sample", lambda: em.ImputerEM(method="sample", seed=1, **_XU))
-_numeric("impute_var", lambda: em.ImputerEM(model="VAR", p=1, max_iter_em=10, **_XU))
+_numeric("impute_var", lambda: em.ImputerEM(model="VAR", p=1, max_iter_em=2, **_XU))
+
+
+@query("impute_var_blocks", f"WITH {EV} SELECT count(*) AS n, count(*) FILTER (x IS NULL) AS n_holes, 0::BIGINT AS n_moved_by_cuts, 0::BIGINT AS n_seen_changed FROM ev")
+def impute_var_blocks(s, d):
+    """The smoother's fills do not depend on where series are cut: short blocks against long ones, after one round of EM."""
+    e = events(s, d).select("event_id", "g", "x", F.col("user_id").cast("double").alias("u"))
+    short, long = (em.ImputerEM(model="VAR", p=1, max_iter_em=1, block=n, **_XU).fit_transform(e).select("event_id", F.col("x").alias(f"x{n}")) for n in (37, 350))
+    met = e.select("event_id", "x").join(short, "event_id").join(long, "event_id")
+    count = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    far = F.coalesce(F.abs(F.col("x37") - F.col("x350")) > 1e-6 * (1 + F.abs("x37")), F.lit(True))
+    return met.agg(F.count("*").alias("n"), count(F.col("x").isNull(), "n_holes"), count(far, "n_moved_by_cuts"), count(F.col("x") != F.col("x37"), "n_seen_changed"))
 
 
 _CUBIC = "round((i - 30) * (i - 30) * (i - 30) / 1000.0 + i / 7.0, 4) + 0.0"

@@ -1,6 +1,9 @@
+import os
 import sys
 from pathlib import Path
 
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")  # small matrices; threads of their own only get in Spark's way
+
 import pytest
 from pyspark.sql import SparkSession
 
