@@ -258,18 +258,21 @@ def pseudonym(key: str, m: Column) -> Column:
 def pseudonymise(docs: DataFrame, key: str = TEST_KEY) -> DataFrame:
     """``docs`` with the items in ``text`` replaced; n_items counts those that changed."""
     text = F.col("text")
+    # Inner columns take names that the input does not have.
+    taken = max(map(len, docs.columns))
+    found, cut, made = (name.ljust(taken + 1, "_") for name in ("_p", "_parts", "_new"))
     pieces = F.when(text.rlike(ANY), F.struct(F.split(text, ANY, -1).alias("between"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("found")))
     is_run = lambda p: p["item"] & p["text"].rlike(f"^(?:{PATTERNS['card']})$") & ~p["text"].rlike(f"^(?:{IN_RUN})$")
-    parts = F.flatten(F.transform(_parts(F.col("_p.between"), F.col("_p.found")), lambda p: F.when(is_run(p), run_parts(p["text"])).otherwise(F.array(p))))
+    parts = F.flatten(F.transform(_parts(F.col(found)["between"], F.col(found)["found"]), lambda p: F.when(is_run(p), run_parts(p["text"])).otherwise(F.array(p))))
     # The generators keep what they make from being computed again wherever it is read.
-    a = docs.select("*", F.inline(F.array(F.struct(pieces.alias("_p")))))
-    a = a.select("*", F.inline(F.array(F.struct(F.when(F.col("_p").isNotNull(), parts).alias("_parts")))))
-    new = F.transform("_parts", lambda p: F.when(p["item"], pseudonym(key, p["text"])).otherwise(p["text"]))
-    b = a.select("*", F.inline(F.array(F.struct(new.alias("_new")))))
-    changed = F.size(F.filter(F.zip_with("_parts", "_new", lambda p, new: p["text"] != new), lambda c: c))
-    out = F.when(F.col("_p").isNull(), text).otherwise(F.array_join("_new", ""))
+    a = docs.select("*", F.inline(F.array(F.struct(pieces.alias(found)))))
+    a = a.select("*", F.inline(F.array(F.struct(F.when(F.col(found).isNotNull(), parts).alias(cut)))))
+    new = F.transform(cut, lambda p: F.when(p["item"], pseudonym(key, p["text"])).otherwise(p["text"]))
+    b = a.select("*", F.inline(F.array(F.struct(new.alias(made)))))
+    changed = F.size(F.filter(F.zip_with(cut, made, lambda p, new: p["text"] != new), lambda c: c))
+    out = F.when(F.col(found).isNull(), text).otherwise(F.array_join(made, ""))
     kept = [out.alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "n_items"]
-    return b.select(*kept, F.when(F.col("_p").isNull(), 0).otherwise(changed).cast("long").alias("n_items"))
+    return b.select(*kept, F.when(F.col(found).isNull(), 0).otherwise(changed).cast("long").alias("n_items"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
