@@ -17,7 +17,7 @@ from ..errors import LacunaError, TypeNotHandled
 from ..frame import canonical, numeric_columns
 from ..functions import rand, special
 from .em import gaussian_em, pattern_moments, unpack
-from .regress import Bagged
+from .forest import Forest
 
 
 @dataclass(frozen=True)
@@ -140,9 +140,8 @@ class PKLMTest:
                     features, target = chosen[int(i)]
                     ok = ~hole[:, list(features)].any(axis=1)
                     a = x[np.ix_(ok, features)]
-                    forest = Bagged(trees, depth=6, least=10, seed=seed + int(i))
                     y = hole[ok, target].astype(float)
-                    p = forest.fit(a, y).out_of_bag()
+                    p = Forest(trees, seed=seed + int(i)).out_of_bag(a, y)
                     us = []
                     for labels in [y] + [hole[o][ok, target].astype(float) for o in orders]:
                         both = ~np.isnan(p)
