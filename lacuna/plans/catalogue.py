@@ -328,7 +328,7 @@ def _low_rank(name: str, make: Callable[[], object]) -> None:
 
 
 _ROWS = {"order_by": ["id"], "key": ["id"], "columns": ["x"]}
-_EXACT = _ROWS | {"rank": 1, "tau": 1e-3, "period": 5}
+_EXACT = _ROWS | {"rank": 1, "tau": 1e-3, "period": 5, "max_iterations": 12}
 _low_rank("impute_rpca_pcp", lambda: lowrank.ImputerRpcaPcp(max_iterations=40, period=5, **_ROWS))
 _low_rank_values("impute_rpca_noisy", lambda: lowrank.ImputerRpcaNoisy(lam=100.0, **_EXACT))
 _low_rank_values("impute_softimpute", lambda: lowrank.ImputerSoftImpute(**_EXACT))
