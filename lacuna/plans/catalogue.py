@@ -189,6 +189,16 @@ def impute_knn(s, d):
     return knn.ImputerKNN(n_neighbors=5, key=["id"], groups=["g"]).fit_transform(_parts(s, d)).select("id", r6("a").alias("a"))
 
 
+@query("impute_knn_global", f"""WITH {PARTS}, c AS (SELECT l.id, r.id AS donor, r.a, sqrt(2 * (l.b - r.b) * (l.b - r.b)) AS dist FROM pt l JOIN pt r ON l.a IS NULL AND r.a IS NOT NULL AND l.b IS NOT NULL AND r.b IS NOT NULL),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, donor) AS n FROM c),
+v AS (SELECT id, coalesce(avg(a) FILTER (dist = 0), sum(a / nullif(dist, 0)) / sum(1 / nullif(dist, 0))) AS a FROM k WHERE n <= 7 GROUP BY id)
+SELECT pt.id, round(coalesce(pt.a, v.a, avg(pt.a) OVER ()), 6) AS a FROM pt LEFT JOIN v USING (id)""")
+def impute_knn_global(s, d):
+    """Without groups and without the plain join: neighbours by the search through cells."""
+    parts = _parts(s, d).drop("g")
+    return knn.ImputerKNN(n_neighbors=7, key=["id"], most_pairs=0).fit_transform(parts).select("id", r6("a").alias("a"))
+
+
 query("impute_shuffle_hash")(lambda s, d: _invariants(events(s, d), simple.ImputerShuffle(seed=3, **BY).fit_transform(events(s, d))))
 
 
