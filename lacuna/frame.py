@@ -88,9 +88,31 @@ def check_not_all_missing(rows: int, observed: dict[str, int]) -> None:
             raise AllMissingColumn(c)
 
 
-def pattern(columns: Sequence[str]) -> Column:
-    """The missingness pattern of a row as a long: bit i is set where column i is missing."""
+def bits(flags: Sequence[Column]) -> Column:
+    """Flags as one key: a long with bit i for flag i, or for more than 63 flags a string of 0 and 1."""
+    if len(flags) > 63:
+        return F.concat(*[F.when(f, "1").otherwise("0") for f in flags])
     out = F.lit(0).cast("long")
-    for i, c in enumerate(columns):
-        out = out + F.when(F.col(c).isNull(), F.lit(1 << i).cast("long")).otherwise(0)
+    for i, f in enumerate(flags):
+        out = out + F.when(f, F.lit(1 << i).cast("long")).otherwise(0)
     return out
+
+
+def no_bits(n: int) -> Column:
+    """The key of ``n`` flags that are all false."""
+    return F.lit("0" * n) if n > 63 else F.lit(0).cast("long")
+
+
+def bit_set(key: int | str, i: int) -> bool:
+    return key[i] == "1" if isinstance(key, str) else bool(int(key) >> i & 1)
+
+
+def pattern(columns: Sequence[str]) -> Column:
+    """The missingness pattern of a row: flag i is set where column i is missing."""
+    return bits([F.col(c).isNull() for c in columns])
+
+
+def about_means(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[float]]:
+    """``df`` with columns less their means, as doubles, and the means: sums of products then do not cancel."""
+    means = [m or 0.0 for m in df.agg(*[F.avg(c) for c in columns]).first()] if columns else []
+    return df.withColumns({c: F.col(c).cast("double") - m for c, m in zip(columns, means)}), means

@@ -2,7 +2,10 @@
 
 Gaussian: one scan gives, for each missingness pattern, the number of rows and
 the sums and products of the observed columns.  These are all that exact EM needs,
-so its iterations touch no row.  VAR(p) smooths series in blocks of rows (see
+so its iterations touch no row.  Patterns may be as many as rows once there are many
+columns, so beyond ``WIDE`` columns each iteration is one pass over the rows instead,
+which adds up their expected sums and products.  Columns are taken about their means.
+VAR(p) smooths series in blocks of rows (see
 ``varblocks``).
 """
 
@@ -17,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import LacunaError
-from ..frame import Spec, canonical, numeric_columns, pattern
+from ..frame import Spec, about_means, bit_set, canonical, numeric_columns, pattern
 from ..functions import rand
 from ..functions.ranks import ranked
 from ..storage import Scratch
@@ -28,6 +31,10 @@ from .simple import interpolated
 Fill = Callable[[DataFrame], DataFrame]
 
 
+#: Columns beyond which a Gaussian is fitted by passes over the rows.
+WIDE = 20
+
+
 def pattern_moments(df: DataFrame, columns: list[str], groups: tuple[str, ...] = ()) -> DataFrame:
     """(groups, _p, n, s_i, q_i_j) by pattern: count, sums, and sums of products of columns observed there."""
     x = [F.col(c).cast("double") for c in columns]
@@ -38,7 +45,7 @@ def pattern_moments(df: DataFrame, columns: list[str], groups: tuple[str, ...] =
 
 def unpack(row: dict, d: int) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
     """Observed columns, rows, sums and products of a pattern."""
-    o = np.array([i for i in range(d) if not int(row["_p"]) >> i & 1], int)
+    o = np.array([i for i in range(d) if not bit_set(row["_p"], i)], int)
     s = np.array([row[f"s_{i}"] for i in o], float)
     q = np.array([[row[f"q_{min(i, j)}_{max(i, j)}"] for j in o] for i in o], float).reshape(len(o), len(o))
     return o, float(row["n"]), s, q
@@ -81,13 +88,69 @@ def gaussian_em(rows: list[dict], d: int, most: int = 200, tol: float = 1e-4) ->
     return mu, sigma, it
 
 
+def alike(hole: np.ndarray) -> list[np.ndarray]:
+    """Positions of the rows of each missingness pattern."""
+    if not len(hole):
+        return []
+    _, which = np.unique(np.packbits(hole, axis=1), axis=0, return_inverse=True)
+    which = which.ravel()
+    order = np.argsort(which, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(which[order])) + 1)
+
+
+def gaussian_em_rows(rows: DataFrame, d: int, most: int = 200, tol: float = 1e-4) -> tuple[np.ndarray, np.ndarray, int]:
+    """As ``gaussian_em``, from stored rows of ``d`` double columns about their means: one pass an iteration.
+
+    A batch gives the sums of its rows' expected values and products, which Spark
+    adds up by place; d x (d + 3) / 2 + 1 numbers reach the driver.
+    """
+    upper = np.triu_indices(d)
+
+    def step(mu: np.ndarray, sigma: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def run(batches):
+            n, t1, t2 = 0, np.zeros(d), np.zeros((d, d))
+            for pdf in batches:
+                x = pdf.to_numpy(float)
+                hole = np.isnan(x)
+                n += len(x)
+                y = conditional(x, mu, sigma)
+                t1 += y.sum(axis=0)
+                t2 += y.T @ y
+                for at in alike(hole):
+                    h, o = np.flatnonzero(hole[at[0]]), np.flatnonzero(~hole[at[0]])
+                    if len(h):
+                        w = sigma[np.ix_(h, o)] @ np.linalg.pinv(sigma[np.ix_(o, o)], rcond=1e-12) if len(o) else np.zeros((len(h), 0))
+                        t2[np.ix_(h, h)] += len(at) * (sigma[np.ix_(h, h)] - w @ sigma[np.ix_(o, h)])
+            v = np.concatenate([[n], t1, t2[upper]])
+            yield pd.DataFrame({"i": np.arange(len(v)), "v": v})
+
+        v = np.array([r["v"] for r in rows.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()])
+        t2 = np.zeros((d, d))
+        t2[upper] = v[1 + d :]
+        return v[0], v[1 : 1 + d], t2 + np.triu(t2, 1).T
+
+    spread = rows.agg(*[F.avg(F.col(c) * F.col(c)) for c in rows.columns]).first()
+    mu, sigma = np.zeros(d), np.diag(np.maximum([v or 0.0 for v in spread], 1e-12))
+    for it in range(1, most + 1):
+        n, t1, t2 = step(mu, sigma)
+        if n < 2:
+            raise LacunaError("one row does not make a covariance")
+        new_mu = t1 / n
+        new_sigma = t2 / n - np.outer(new_mu, new_mu)
+        moved = max(np.abs(new_mu - mu).max(), np.abs(new_sigma - sigma).max())
+        mu, sigma = new_mu, (new_sigma + new_sigma.T) / 2
+        if moved < tol and it >= 3:
+            break
+    return mu, sigma, it
+
+
 def conditional(x: np.ndarray, mu: np.ndarray, sigma: np.ndarray, noise: np.ndarray | None = None) -> np.ndarray:
     """Rows with holes filled by the conditional mean, plus, with ``noise``, a draw from the conditional law."""
     out = x.copy()
     hole = np.isnan(x)
-    code = hole @ (1 << np.arange(x.shape[1]))
-    for p in np.unique(code[code > 0]):
-        rows = np.flatnonzero(code == p)
+    for rows in alike(hole):
+        if not hole[rows[0]].any():
+            continue
         h = np.flatnonzero(hole[rows[0]])
         o = np.flatnonzero(~hole[rows[0]])
         w = sigma[np.ix_(h, o)] @ np.linalg.pinv(sigma[np.ix_(o, o)], rcond=1e-12) if len(o) else np.zeros((len(h), 0))
@@ -116,8 +179,10 @@ class ImputerEM(Imputer):
         if self.param("model", default="multinormal") == "VAR":
             self.spec.ordered("an autoregressive model")
             return self._fit_var(df, cols, [c for c in holes if c in cols])
-        moments, d = pattern_moments(df, cols, groups), len(cols)
+        d = len(cols)
+        about, middle = about_means(df, cols)
         if groups:
+            moments = pattern_moments(about, cols, groups)
             kinds = {f.name: f.dataType.simpleString() for f in moments.schema}
             schema = ", ".join(f"`{g}` {kinds[g]}" for g in groups) + ", _mu array<double>, _sigma array<double>"
 
@@ -127,30 +192,37 @@ class ImputerEM(Imputer):
                 if sum(r["n"] for r in rows) < 2:
                     return out.assign(_mu=[None], _sigma=[None])
                 mu, sigma, _ = gaussian_em(rows, d, most, tol)
-                return out.assign(_mu=[mu.tolist()], _sigma=[sigma.ravel().tolist()])
+                return out.assign(_mu=[(mu + middle).tolist()], _sigma=[sigma.ravel().tolist()])
 
             models = moments.groupBy(*groups).applyInPandas(solve, schema)
         else:
-            mu, sigma, _ = gaussian_em([r.asDict() for r in moments.collect()], d, most, tol)  # at most 2 ** d rows
-            models = (mu.tolist(), sigma.ravel().tolist())
+            if d > WIDE:
+                mu, sigma, _ = gaussian_em_rows(Scratch(df.sparkSession).save(about.select(*cols), "rows", tidy=False), d, most, tol)
+            else:
+                mu, sigma, _ = gaussian_em([r.asDict() for r in pattern_moments(about, cols).collect()], d, most, tol)  # at most 2 ** WIDE rows
+            models = (mu + middle, sigma)
         draw, keys = self.param("method", default="mle") == "sample", self.spec.key or self.spec.order_by
         if draw and not keys:
             raise LacunaError("draws are keyed by row: give key")
 
         def fill(d0: DataFrame) -> DataFrame:
             if isinstance(models, tuple):
-                out = d0.withColumns({"_mu": F.array(*map(F.lit, models[0])), "_sigma": F.array(*map(F.lit, models[1]))})
+                out = d0
             else:
                 out = join_groups(d0, models, groups)
             if draw:
                 out = out.withColumns({f"_z_{i}": rand.normal(keys, self.seed, i) for i in range(d)})
 
-            names = list(d0.columns)
+            names, one = list(d0.columns), models if isinstance(models, tuple) else None
 
             def run(batches):
                 for pdf in batches:
                     x = pdf[cols].to_numpy(float)
                     z = pdf[[f"_z_{i}" for i in range(d)]].to_numpy(float) if draw else None
+                    if one:
+                        pdf[cols] = conditional(x, *one, z)
+                        yield pdf[names]
+                        continue
                     tag = pd.Series([None if m is None else bytes(np.array([*m, *s])) for m, s in zip(pdf["_mu"], pdf["_sigma"])], dtype=object)
                     y = x.copy()
                     for _, rows in tag.groupby(tag).indices.items():

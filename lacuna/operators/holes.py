@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..errors import LacunaError, SubsetIsAString
-from ..frame import Spec
+from ..frame import Spec, no_bits, pattern
 from ..functions import rand
 
 MASK = "m_"
@@ -41,15 +41,15 @@ def run_lengths(df: DataFrame, column: str, spec: Spec) -> DataFrame:
 
 
 def state(columns: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a + b, [F.when(F.col(c).isNull(), F.lit(1 << i).cast("long")).otherwise(0) for i, c in enumerate(columns)])
+    return pattern(columns)
 
 
 def transition_counts(df: DataFrame, columns: Sequence[str], spec: Spec) -> DataFrame:
     """(state, next, n) over consecutive rows of each group, which an all-observed row opens and closes."""
-    w = spec.ordered("transitions")
+    w, none = spec.ordered("transitions"), no_bits(len(columns))
     rows = df.select(*spec.groups, *spec.order_by, state(columns).alias("state"))
-    step = rows.select("state", F.coalesce(F.lead("state").over(w), F.lit(0)).alias("next"))
-    opens = rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(F.lit(0).cast("long").alias("state"), F.col("state").alias("next"))
+    step = rows.select("state", F.coalesce(F.lead("state").over(w), none).alias("next"))
+    opens = rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(none.alias("state"), F.col("state").alias("next"))
     return step.unionAll(opens).groupBy("state", "next").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import LacunaError, TypeNotHandled
-from ..frame import canonical, numeric_columns
+from ..frame import about_means, bit_set, canonical, numeric_columns, pattern
 from ..functions import rand, special
-from .em import gaussian_em, pattern_moments, unpack
+from ..storage import Scratch
+from .em import WIDE, gaussian_em, gaussian_em_rows, pattern_moments, unpack
 from .forest import Forest
 
 
@@ -25,6 +26,8 @@ class LittleTest:
     """Means of missingness patterns against the Gaussian maximum-likelihood mean: a chi-squared statistic.
 
     One aggregate over the rows; the rest is algebra on one row for each pattern.
+    Beyond ``em.WIDE`` columns patterns may be as many as rows: EM passes over the rows
+    then, and each pattern's term is computed where its sums are.
     """
 
     columns: Sequence[str] | None = None
@@ -33,8 +36,11 @@ class LittleTest:
 
     def statistic(self, df: DataFrame) -> tuple[float, int]:
         cols = list(self.columns or numeric_columns(df))
-        rows = [r.asDict() for r in pattern_moments(canonical(df, cols), cols).collect()]
         d = len(cols)
+        about, _ = about_means(canonical(df, cols), cols)
+        if d > WIDE:
+            return self._wide(Scratch(df.sparkSession).save(about.select(*cols), "rows", tidy=False), d)
+        rows = [r.asDict() for r in pattern_moments(about, cols).collect()]
         mu, sigma, _ = gaussian_em(rows, d, self.max_iter, self.tolerance)
         n = sum(r["n"] for r in rows)
         sigma, d2, free = sigma * n / (n - 1), 0.0, 0
@@ -46,6 +52,26 @@ class LittleTest:
                 free += len(o)
         return d2, free - d
 
+    def _wide(self, rows: DataFrame, d: int) -> tuple[float, int]:
+        mu, sigma, _ = gaussian_em_rows(rows, d, self.max_iter, self.tolerance)
+        n = rows.count()
+        sigma = sigma * n / (n - 1)
+        sums = rows.groupBy(pattern(rows.columns).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(c) for c in rows.columns]).alias("s"))
+
+        def run(batches):
+            for pdf in batches:
+                d2, free = 0.0, 0
+                for p, m, s in zip(pdf["p"], pdf["n"], pdf["s"]):
+                    o = np.array([i for i in range(d) if not bit_set(p, i)], int)
+                    if len(o):
+                        gap = np.array(s, float)[o] / m - mu[o]
+                        d2 += m * float(gap @ np.linalg.pinv(sigma[np.ix_(o, o)]) @ gap)
+                        free += len(o)
+                yield pd.DataFrame({"d2": [d2], "free": [free]})
+
+        got = sums.mapInPandas(run, "d2 double, free long").agg(F.sum("d2"), F.sum("free")).first()
+        return got[0] or 0.0, (got[1] or 0) - d
+
     def test(self, df: DataFrame) -> float:
         """The p-value."""
         d2, free = self.statistic(df)

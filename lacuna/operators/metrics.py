@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..errors import LacunaError, NotEnoughSamples
+from ..frame import about_means, bit_set, bits
 from ..functions import linalg, special
 
 SUFFIX, MASK = "_imputed", "m_"
@@ -197,6 +198,7 @@ def anova(rows: list[tuple[float, float, float]]) -> tuple[float, float]:
 def mixed_difference(df: DataFrame, categories: Sequence[str], numbers: Sequence[str], use_p_value: bool = True) -> dict[str, float]:
     """By categorical column the mean difference of one-way ANOVA tests against the numeric columns."""
     full, out = _full_rows(df, [*categories, *numbers]), {}
+    full, _ = about_means(full, [c + s for s in ("", SUFFIX) for c in numbers])
     for a in categories:
         got = []
         for s in ("", SUFFIX):
@@ -208,7 +210,11 @@ def mixed_difference(df: DataFrame, categories: Sequence[str], numbers: Sequence
 
 
 def mask_pattern(columns: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a + b, [F.when(F.col(MASK + c), F.lit(1 << i).cast("long")).otherwise(0) for i, c in enumerate(columns)])
+    return bits([F.col(MASK + c) for c in columns])
+
+
+def any_masked(columns: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.coalesce(F.col(MASK + c), F.lit(False)) for c in columns])
 
 
 def moments(df: DataFrame, columns: Sequence[str], groups: Sequence[str] = ()) -> pd.DataFrame:
@@ -226,12 +232,12 @@ def _gauss(row, k: int, cols: list[int]) -> tuple[np.ndarray, np.ndarray]:
 
 def _by_pattern(df: DataFrame, columns: Sequence[str], least: int, score: Callable[[pd.Series, list[int]], float]) -> float:
     """Mean over mask patterns with enough rows, weighted by their rows, of a score of the masked columns' moments."""
-    m = moments(df.withColumn("_p", mask_pattern(columns)).where("_p <> 0"), columns, ["_p"])
+    m = moments(df.withColumn("_p", mask_pattern(columns)).where(any_masked(columns)), columns, ["_p"])
     good = m[m["n"] >= least]
     if not len(good):
         raise NotEnoughSamples(int(m["n"].max()) if len(m) else 0, least)
     total = m["n"].sum()
-    return float(sum(score(r, [i for i in range(len(columns)) if int(r["_p"]) >> i & 1]) * r["n"] / total for _, r in good.iterrows()))
+    return float(sum(score(r, [i for i in range(len(columns)) if bit_set(r["_p"], i)]) * r["n"] / total for _, r in good.iterrows()))
 
 
 def kl_gaussian(df: DataFrame, columns: Sequence[str], least: int = 10) -> float:
@@ -249,7 +255,7 @@ def _frechet(r, cols: list[int]) -> float:
 
 def frechet(df: DataFrame, columns: Sequence[str]) -> float:
     """Frechet distance of the two samples of rows with any masked cell, jointly standardised, divided by the columns."""
-    row = moments(df.where(mask_pattern(columns) != 0), columns).iloc[0]
+    row = moments(df.where(any_masked(columns)), columns).iloc[0]
     return _frechet(row, list(range(len(columns))))
 
 
@@ -270,7 +276,7 @@ def distance_anticorrelation(x: np.ndarray, y: np.ndarray) -> float:
 
 def dist_corr_pattern(df: DataFrame, columns: Sequence[str], least: int = 10, most_rows: int = 5_000) -> float:
     """By mask pattern; quadratic in a pattern's rows, so more than ``most_rows`` is an error and not a sample."""
-    rows = df.withColumn("_p", mask_pattern(columns)).where("_p <> 0")
+    rows = df.withColumn("_p", mask_pattern(columns)).where(any_masked(columns))
     sizes = {r["_p"]: r["count"] for r in rows.groupBy("_p").count().collect()}
     if max(sizes.values(), default=0) > most_rows:
         raise LacunaError(f"a pattern has {max(sizes.values())} rows; distance correlation takes at most {most_rows}")
@@ -279,11 +285,11 @@ def dist_corr_pattern(df: DataFrame, columns: Sequence[str], least: int = 10, mo
         raise NotEnoughSamples(max(sizes.values(), default=0), least)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = int(pdf["_p"].iloc[0])
-        cols = [c for i, c in enumerate(columns) if p >> i & 1]
+        p = pdf["_p"].iloc[0]
+        cols = [c for i, c in enumerate(columns) if bit_set(p, i)]
         return pd.DataFrame({"_p": [p], "v": [distance_anticorrelation(pdf[cols].to_numpy(float), pdf[[c + SUFFIX for c in cols]].to_numpy(float))]})
 
-    got = rows.where(F.col("_p").isin(list(good))).groupBy("_p").applyInPandas(run, "_p long, v double").collect()
+    got = rows.where(F.col("_p").isin(list(good))).groupBy("_p").applyInPandas(run, f"_p {dict(rows.dtypes)['_p']}, v double").collect()
     return float(sum(r["v"] * good[r["_p"]] for r in got) / sum(sizes.values()))
 
 
