@@ -178,7 +178,8 @@ class ImputerDiffusion(_Neural):
             for t in range(steps - 1, -1, -1):
                 cur = np.where(known, np.sqrt(alpha[t]) * x + np.sqrt(1 - alpha[t]) * rng.normal(size=x.shape), cur)
                 e = net(np.concatenate([cur, known, np.repeat(embed[t : t + 1], n, axis=0)], axis=1))
-                cur = (cur - beta[t] / np.sqrt(1 - alpha[t]) * e) / np.sqrt(1 - beta[t])
+                pull = beta[t] / np.sqrt(1 - alpha[t]) if beta[t] > 0 else 0.0  # a step without noise moves nothing
+                cur = (cur - pull * e) / np.sqrt(1 - beta[t])
                 if t:
                     cur += np.sqrt(beta[t]) * rng.normal(size=x.shape)
             total += cur

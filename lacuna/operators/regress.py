@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import EstimatorNotDefined, LacunaError
-from ..frame import numeric_columns
+from ..frame import about_means, numeric_columns
 from ..functions import rand
 from .base import Imputer, join_groups, replace
 from .chained import chained
@@ -59,12 +59,12 @@ def solve(row: dict, k: int, ridge: float = 0.0, bayes: bool = False) -> np.ndar
     return np.concatenate([[my - mean @ coef], coef])
 
 
-def linear(features: Sequence[str], coef: Column | Sequence[float]) -> Column:
-    """Intercept plus coefficients times features; NULL where a feature is."""
+def linear(features: Sequence[str], coef: Column | Sequence[float], means: dict[str, float]) -> Column:
+    """Intercept plus coefficients times features less their means; NULL where a feature is."""
     get = (lambda i: coef[i]) if isinstance(coef, Column) else (lambda i: F.lit(float(coef[i])))
     out = get(0)
     for i, c in enumerate(features):
-        out = out + get(i + 1) * F.col(c).cast("double")
+        out = out + get(i + 1) * (F.col(c).cast("double") - means.get(c, 0.0))
     return out
 
 
@@ -90,12 +90,14 @@ class ImputerRegressor(Imputer):
             make = (lambda: Bagged(seed=self.seed)) if kind == "trees" else (lambda: kind)
             return per_group(self, [c for c in holes if c in numbers], lambda pdf, cols: _regress_group(pdf, cols, numbers, make, handler))
         plans = []
+        about, middle = about_means(df, [c for c in numbers if c not in groups])
+        means = dict(zip([c for c in numbers if c not in groups], middle))
         for c in [c for c in holes if c in numbers]:
             features = [x for x in numbers if x != c and (handler != "column" or x not in holes)]
             rows = F.col(c).isNotNull()
             for x in features:
                 rows = rows & F.col(x).isNotNull()
-            sums = df.groupBy(*groups).agg(*gram_columns(features, c, rows))
+            sums = about.groupBy(*groups).agg(*gram_columns(features, c, rows))
             if groups:
                 plans.append((c, features, _solved_by_group(sums, groups, len(features), ridge, kind == "bayes", c)))
             else:
@@ -107,9 +109,9 @@ class ImputerRegressor(Imputer):
             for c, features, model in plans:
                 if isinstance(model, DataFrame):
                     out = join_groups(out, model, groups)
-                    values[c] = linear(features, F.col(f"_c_{c}"))
+                    values[c] = linear(features, F.col(f"_c_{c}"), means) + means.get(c, 0.0)
                 elif model is not None:
-                    values[c] = linear(features, model)
+                    values[c] = linear(features, model, means) + means.get(c, 0.0)
             return replace(out, values).select(*d.columns)
 
         return fill

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lacuna.frame import Spec, bit_set, pattern
-from lacuna.operators import em, holes, mcar, metrics
+from lacuna.operators import em, holes, mcar, metrics, neural, regress
 
 
 def table(spark, x):
@@ -84,3 +84,22 @@ def test_wide_patterns(spark):
     assert steps.agg(F.sum("n")).first()[0] == 61
     scored = df.fillna(0.0).withColumns({f"c{i}_imputed": F.col(f"c{i}") for i in range(70)} | {f"m_c{i}": F.lit(i == 66) for i in range(70)})
     assert metrics.dist_corr_pattern(scored, cols) == pytest.approx(0.0, abs=1e-9)
+
+
+def test_regression_far_from_zero(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 2))
+    y = 3 * x[:, 0] - 2 * x[:, 1]
+    full = np.column_stack([x, y]) + 1e9
+    z = full.copy()
+    z[::9, 2] = np.nan
+    got = regress.ImputerRegressor(key=["id"], columns=["c0", "c1", "c2"]).fit_transform(table(spark, z)).toPandas().sort_values("id")["c2"].to_numpy()
+    assert np.abs(got - full[:, 2]).max() < 1e-4
+
+
+def test_diffusion_without_noise_is_finite():
+    z = np.random.default_rng(0).normal(size=(60, 2))
+    z[::5, 1] = np.nan
+    for most in (0.0, 0.02):
+        out = neural.ImputerDiffusion(epochs=2, num_noise_steps=3, beta_start=0.0, beta_end=most, num_sampling=1, key=["i"], order_by=["i"]).impute(z, np.random.default_rng(1), None)
+        assert np.isfinite(out).all()
