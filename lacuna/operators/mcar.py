@@ -15,10 +15,11 @@ from pyspark.sql import types as T
 
 from ..errors import LacunaError, TypeNotHandled
 from ..frame import about_means, bit_set, canonical, numeric_columns, pattern
-from ..functions import rand, special
+from ..functions import rand, select, special
+from ..functions.ranks import ranked
 from ..storage import Scratch
 from .em import WIDE, gaussian_em, gaussian_em_rows, pattern_moments, unpack
-from .forest import Forest
+from .forest import Forest, draws
 
 
 @dataclass(frozen=True)
@@ -98,41 +99,155 @@ def most_draws(p: int) -> int:
 
 def u_hat(p: np.ndarray, y: np.ndarray) -> float:
     """Mean log-odds of being missing among the missing less that among the observed."""
+    a, n, b, m = _odds_sums(p, y)
+    return a / n - b / m
+
+
+def _odds_sums(p: np.ndarray, y: np.ndarray) -> tuple[float, int, float, int]:
+    """Sums of log-odds and numbers of rows, of the missing and of the observed."""
     q = np.clip(p, 1e-9, 1 - 1e-9)
     odds = np.log(q / (1 - q))
-    return float(odds[y == 1].mean() - odds[y == 0].mean())
+    return float(odds[y == 1].sum()), int((y == 1).sum()), float(odds[y == 0].sum()), int((y == 0).sum())
+
+
+#: A missing cell among the bin codes.
+HOLE = 255
 
 
-def _projections(hole: np.ndarray, most: int, threshold: int, rng: np.random.Generator) -> list[tuple[tuple[int, ...], int]]:
-    """(features, target) such that among rows complete on the features the target is both missing and observed."""
-    p = hole.shape[1]
+def _cut_ranks(n: int, bins: int) -> list[int]:
+    """Places in order of the values that end a bin, of ``n`` values."""
+    return sorted({n * k // bins for k in range(1, bins)}) if n else []
 
-    def valid(features: tuple[int, ...], target: int) -> bool:
-        rows = ~hole[:, list(features)].any(axis=1)
-        return rows.sum() >= 10 and 0 < hole[rows, target].sum() < rows.sum()
 
+def cut_points(rows: DataFrame, bins: int, block_rows: int) -> tuple[int, dict[str, list[float]]]:
+    """Rows, and by column the values that end a bin: all but the largest where these are fewer than ``bins``, else even ranks.
+
+    Columns of few values are told by a sketch of distinct counts, which does not depend
+    on the partitioning; cuts come from exact order statistics by counting, whose driver
+    side is bins x columns numbers.  A table of one block is sorted in its one task later,
+    with the same cuts, so nothing is asked here but its size.
+    """
+    names = rows.columns
+    n = rows.count()
+    if n <= block_rows:
+        return n, {}
+    seen = rows.agg(*[f(F.col(f"`{c}`")) for c in names for f in (F.count, F.approx_count_distinct)]).first()
+    cuts: dict[str, list[float]] = {}
+    for k, c in enumerate(names):
+        if seen[2 * k + 1] <= 2 * bins:
+            values = sorted(r[0] for r in rows.select(F.col(f"`{c}`").alias("v")).where("v IS NOT NULL").distinct().limit(4 * bins).collect())
+            if len(values) <= bins:
+                cuts[c] = values[:-1]
+    ranks = {c: _cut_ranks(seen[2 * k], bins) for k, c in enumerate(names) if c not in cuts}
+    return n, cuts | {c: sorted(set(v)) for c, v in select.order_statistics(rows, ranks).items()}
+
+
+def _block_cuts(v: np.ndarray, bins: int) -> np.ndarray:
+    """The cuts of ``cut_points`` from all known values of a column."""
+    v = np.sort(v + 0.0)
+    seen = np.unique(v)
+    return seen[:-1] if len(seen) <= bins else np.unique(v[_cut_ranks(len(v), bins)])
+
+
+def coded_blocks(coded: DataFrame, scratch: Scratch, bins: int, block_rows: int) -> DataFrame:
+    """Stored blocks (block, place array, codes: bytes by column) of at most ``block_rows`` rows each.
+
+    Rows take their place in the order of a hash of their cells, so neither the order
+    nor the partitioning of the input matters; equal rows are interchangeable.  Blocks
+    deal the places out in turn, so each is like the whole table.
+    """
+    names = [f"c{i}" for i in range(len(coded.columns))]
+    rows = coded.toDF(*names)
+    n, cuts = cut_points(rows, bins, block_rows)
+    schema = "block int, place binary, codes array<binary>"
+
+    def packed(block: int, place: np.ndarray, values: pd.DataFrame) -> pd.DataFrame:
+        codes = []
+        for c in names:
+            v = values[c].to_numpy(float, na_value=np.nan)
+            known = ~np.isnan(v)
+            at = np.full(len(v), HOLE, np.uint8)
+            at[known] = np.searchsorted(cuts[c] if cuts else _block_cuts(v[known], bins), v[known], side="left")
+            codes.append(at.tobytes())
+        return pd.DataFrame({"block": [block], "place": [place.astype(np.int64).tobytes()], "codes": [codes]})
+
+    hashed = rows.withColumn("h", F.xxhash64(*names))
+    if n <= block_rows:
+        def one(batches):
+            got = list(batches)
+            if got:
+                pdf = pd.concat(got).sort_values(["h", *names], kind="stable")
+                yield packed(0, np.arange(len(pdf)), pdf)
+
+        return scratch.save(hashed.coalesce(1).mapInPandas(one, schema), "blocks", tidy=False)
+    n_blocks = -(-n // block_rows)
+    # Equal rows, which may be a third of all, spread over ranges by the salt.
+    placed = ranked(hashed.select(F.lit(0).alias("g"), F.struct("h", *names, F.rand(0).alias("salt")).alias("o")), "g", "o", scratch)
+    placed = placed.select("i", (F.col("i") % n_blocks).cast("int").alias("block"), *[f"o.{c}" for c in names])
+
+    def one_block(key, pdf):
+        pdf = pdf.sort_values("i")
+        return packed(int(key[0]), pdf["i"].to_numpy(), pdf)
+
+    return scratch.save(placed.groupBy("block").applyInPandas(one_block, schema), "blocks")
+
+
+def _draw(p: int, rng: np.random.Generator) -> tuple[tuple[int, ...], int]:
+    k, pick = int(rng.integers(1, p)), rng.permutation(p)
+    return tuple(sorted(pick[:k].tolist())), int(pick[k])
+
+
+def _valid(blocks: DataFrame, asked: list[tuple[tuple[int, ...], int]]) -> list[tuple[tuple[int, ...], int]]:
+    """Those (features, target) such that 10 rows or more are complete on the features and the target is both missing and observed among them."""
+    def count(batches):
+        for pdf in batches:
+            for codes in pdf["codes"]:
+                hole = np.array([np.frombuffer(c, np.uint8) == HOLE for c in codes])
+                got = []
+                for f, t in asked:
+                    ok = ~hole[list(f)].any(axis=0)
+                    got.append((ok.sum(), (ok & hole[t]).sum()))
+                yield pd.DataFrame({"i": np.arange(len(asked)), "n": [int(a) for a, _ in got], "m": [int(b) for _, b in got]})
+
+    sums = blocks.select("codes").mapInPandas(count, "i int, n long, m long").groupBy("i").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    good = {r["i"] for r in sums.where("n >= 10 AND m > 0 AND m < n").collect()}
+    return [x for i, x in enumerate(asked) if i in good]
+
+
+def _projections(blocks: DataFrame, p: int, most: int, threshold: int, rng: np.random.Generator) -> list[tuple[tuple[int, ...], int]]:
+    """All valid (features, target) where they are at most ``threshold``, else the first ``most`` valid ones of random draws."""
     if most_draws(p) <= threshold:
-        every = [(f, t) for t in range(p) for k in range(1, p) for f in itertools.combinations([i for i in range(p) if i != t], k)]
-        return [x for x in every if valid(*x)]
+        return _valid(blocks, [(f, t) for t in range(p) for k in range(1, p) for f in itertools.combinations([i for i in range(p) if i != t], k)])
     out: list[tuple[tuple[int, ...], int]] = []
-    for _ in range(50 * most):
-        k = int(rng.integers(1, p))
-        pick = rng.permutation(p)
-        x = (tuple(sorted(pick[:k].tolist())), int(pick[k]))
-        if valid(*x):
-            out.append(x)
-        if len(out) == most:
+    for _ in range(25):
+        out += _valid(blocks, [_draw(p, rng) for _ in range(2 * most)])
+        if len(out) >= most:
             break
-    return out
+    return out[:most]
+
+
+def _arrays(place: bytes, target: bytes, features: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, label, place) of the rows complete on the features, and which rows of the block these are."""
+    codes = np.array([np.frombuffer(c, np.uint8) for c in features])
+    ok = ~(codes == HOLE).any(axis=0)
+    return codes[:, ok], (np.frombuffer(target, np.uint8) == HOLE)[ok].astype(np.int64), np.frombuffer(place, np.int64)[ok], ok
 
 
 @dataclass(frozen=True)
 class PKLMTest:
     """Can missingness be told from values?  Random projections, bagged trees out of bag, and permuted patterns.
 
-    Each projection is a row of a table and one task's work; the encoded matrix,
-    at most ``max_cells`` cells, travels with the function.  Larger tables are an
-    error and not a sample.
+    Rows lie as bytes of bin codes in blocks of ``block_rows``; a unit of work is a
+    projection on a block.  A table of one block grows each forest in the projection's
+    task.  With more blocks the forests grow level by level: every unit counts its cells
+    (tree, node, feature, bin, label), one aggregate adds them up, and the splits of ten
+    trees are chosen in a task; forests are tables, of a size that only the parameters
+    set.  Trees do not depend on the blocks.  Patterns are permuted within blocks, each
+    of which is like the whole table: the statistics of permuted patterns, and nothing
+    else, change with the blocks.  Only sums by projection come to the driver.
+
+    NaN counts as missing; constant columns split nothing; without rows, or where no
+    target is both missing and observed, the test raises.
     """
 
     nb_projections: int = 100
@@ -141,52 +256,144 @@ class PKLMTest:
     nb_trees_per_proj: int = 200
     compute_partial_p_values: bool = False
     seed: int = 0
-    max_cells: int = 5_000_000
+    block_rows: int = 250_000
 
     def test(self, df: DataFrame) -> float | tuple[float, dict[str, float]]:
+        names, target, u = self._statistics(df)
+
+        def p_value(part: np.ndarray) -> float:
+            mean = part.mean(axis=0)
+            return float((1 + (mean[1:] >= mean[0]).sum()) / len(mean))
+
+        p = p_value(u)
+        if not self.compute_partial_p_values:
+            return p
+        return p, {n: p_value(u[target != j]) if (target != j).any() else math.nan for j, n in enumerate(names)}
+
+    def statistics(self, df: DataFrame) -> np.ndarray:
+        """By projection the observed statistic and then those of permuted patterns."""
+        return self._statistics(df)[2]
+
+    def _statistics(self, df: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
         coded = canonical(encode(df))
-        cells = coded.count() * len(coded.columns)
-        if cells > self.max_cells:
-            raise LacunaError(f"{cells} cells; at most {self.max_cells} are tested")
-        names = coded.columns
-        x = coded.toPandas().to_numpy(float)
-        x = x[np.lexsort(np.nan_to_num(x, nan=np.inf).T)]  # row order must not matter
-        hole = np.isnan(x)
-        rng = rand.generator("pklm", self.seed)
-        chosen = _projections(hole, self.nb_projections, self.nb_projections_threshold, rng)
+        scratch, forest = Scratch(df.sparkSession), Forest(self.nb_trees_per_proj)
+        blocks = coded_blocks(coded, scratch, forest.bins, self.block_rows)
+        p = len(coded.columns)
+        chosen = _projections(blocks, p, self.nb_projections, self.nb_projections_threshold, rand.generator("pklm", self.seed)) if p > 1 else []
         if not chosen:
             raise LacunaError("no projection has a target that is both missing and observed")
-        orders = [rng.permutation(len(x)) for _ in range(self.nb_permutation)]
-        trees, seed = self.nb_trees_per_proj, self.seed
+        units, n_blocks = self._units(blocks, chosen)
+        if n_blocks == 1:
+            probabilities = units.withColumn("model", F.lit(None).cast(_MODEL))
+        else:
+            probabilities = units.join(self._grow(units, chosen, scratch), "i")
+        sums = self._sums(probabilities)
+        u = np.zeros((len(chosen), self.nb_permutation + 1))
+        for r in sums.collect():
+            if r["n"] and r["m"]:
+                u[r["i"], r["k"]] = r["a"] / r["n"] - r["b"] / r["m"]
+        return coded.columns, np.array([t for _, t in chosen]), u
+
+    def _units(self, blocks: DataFrame, chosen: list[tuple[tuple[int, ...], int]]) -> tuple[DataFrame, int]:
+        """Each block's columns that a projection needs, a row for each (projection, block), spread over tasks."""
+        n_blocks = blocks.count()
+        plan = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("t"), F.array(*[F.lit(j) for j in f]).alias("f")) for i, (f, t) in enumerate(chosen)])
+        each = blocks.select("block", "place", "codes", F.explode(plan).alias("x"))
+        units = each.select("x.i", "block", "place", F.col("codes")[F.col("x.t")].alias("target"), F.transform("x.f", lambda j: F.col("codes")[j]).alias("features"))
+        tasks = min(len(chosen) * n_blocks, max(2000, n_blocks)) if n_blocks > 1 else len(chosen)
+        return units.repartition(tasks), n_blocks
+
+    def _forest(self, i: int) -> Forest:
+        return Forest(self.nb_trees_per_proj, seed=self.seed * 1_000_003 + i)
+
+    def _grow(self, units: DataFrame, chosen: list, scratch: Scratch) -> DataFrame:
+        """(i, model): the forests of all projections, their levels as bytes."""
+        width = {i: len(f) for i, (f, _) in enumerate(chosen)}
+        stored, depth, trees = scratch.save(units, "units"), Forest().depth, self.nb_trees_per_proj
+        grown = None
+        for level in range(depth + 1):
+            known = stored.withColumn("model", F.lit(None).cast(_MODEL)) if grown is None else stored.join(self._models(grown), "i")
+
+            def count(batches):
+                for pdf in batches:
+                    for i, place, target, features, model in zip(pdf["i"], pdf["place"], pdf["target"], pdf["features"], pdf["model"]):
+                        forest, (codes, y, at, _) = self._forest(i), _arrays(place, target, features)
+                        levels = _levels(model, trees)
+                        for part in forest.portions(len(y)):
+                            node, _ = forest.walk(codes, [tuple(v[part] for v in lv) for lv in levels], len(part))
+                            cell, n = forest.cells(codes, y, draws(at, part, forest.seed), node, level)
+                            size = (1 << level) * (len(codes) if level < depth else 1) * forest.bins * 2
+                            tree = part[0] + cell // size
+                            yield pd.DataFrame({"i": i, "part": tree // 10, "cell": tree % 10 * size + cell % size, "n": n})
+
+            def choose(key, pdf):
+                i, part = int(key[0]), int(key[1])
+                t = min(10, trees - 10 * part)
+                feature, place, rate = self._forest(i).choose(pdf["cell"].to_numpy(), pdf["n"].to_numpy(float), t, width[i], level)
+                return pd.DataFrame({"i": [i], "part": [part], "level": [level], "feature": [feature.astype(np.int16).tobytes()], "place": [place.astype(np.int16).tobytes()], "rate": [rate.astype(float).tobytes()]})
+
+            cells = known.select("i", "place", "target", "features", "model").mapInPandas(count, "i int, part int, cell long, n long")
+            summed = cells.groupBy("i", "part", "cell").agg(F.sum("n").alias("n"))
+            split = scratch.save(summed.groupBy("i", "part").applyInPandas(choose, "i int, part int, level int, feature binary, place binary, rate binary"), f"level{level}")
+            grown = split if grown is None else grown.unionAll(split)
+        return self._models(grown)
+
+    @staticmethod
+    def _models(grown: DataFrame) -> DataFrame:
+        return grown.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("level", "part", "feature", "place", "rate"))).alias("model"))
+
+    def _sums(self, units: DataFrame) -> DataFrame:
+        """(i, k, a, n, b, m): sums of log-odds and rows of the missing and the observed, k = 0 as they are, then permuted."""
+        trees, n_perm, seed = self.nb_trees_per_proj, self.nb_permutation, self.seed
 
         def run(batches):
             for pdf in batches:
-                rows = []
-                for i in pdf["i"]:
-                    features, target = chosen[int(i)]
-                    ok = ~hole[:, list(features)].any(axis=1)
-                    a = x[np.ix_(ok, features)]
-                    y = hole[ok, target].astype(float)
-                    p = Forest(trees, seed=seed + int(i)).out_of_bag(a, y)
-                    us = []
-                    for labels in [y] + [hole[o][ok, target].astype(float) for o in orders]:
-                        both = ~np.isnan(p)
+                for i, block, place, target, features, model in zip(pdf["i"], pdf["block"], pdf["place"], pdf["target"], pdf["features"], pdf["model"]):
+                    forest, (codes, y, at, ok) = self._forest(i), _arrays(place, target, features)
+                    if model is None:
+                        p = forest.out_of_bag(codes, y, at)
+                    else:
+                        levels, total, count = _levels(model, trees), np.zeros(len(y)), np.zeros(len(y))
+                        for part in forest.portions(len(y)):
+                            out = draws(at, part, forest.seed) == 0
+                            _, rate = forest.walk(codes, [tuple(v[part] for v in lv) for lv in levels], len(part))
+                            total += np.where(out, rate, 0).sum(axis=0)
+                            count += out.sum(axis=0)
+                        with np.errstate(invalid="ignore", divide="ignore"):
+                            p = total / count
+                    both, hidden = ~np.isnan(p), np.frombuffer(target, np.uint8) == HOLE
+                    rows = []
+                    for k in range(n_perm + 1):
                         # The same projection with permuted patterns keeps the forest's partition of rows.
-                        us.append(u_hat(p[both], labels[both]) if 0 < labels[both].sum() < both.sum() else 0.0)
-                    rows.append([int(i), *us])
-                yield pd.DataFrame(rows, columns=["i", *[f"u{k}" for k in range(len(orders) + 1)]])
+                        label = y if not k else hidden[rand.generator("pklm", seed, int(block), k).permutation(len(hidden))][ok]
+                        rows.append((i, k, *_odds_sums(p[both], label[both])))
+                    yield pd.DataFrame(rows, columns=["i", "k", "a", "n", "b", "m"])
 
-        spark = df.sparkSession
-        table = spark.range(len(chosen)).withColumnRenamed("id", "i").repartition(min(len(chosen), spark.sparkContext.defaultParallelism))
-        schema = "i long, " + ", ".join(f"u{k} double" for k in range(len(orders) + 1))
-        got = table.mapInPandas(run, schema).toPandas().sort_values("i").to_numpy()[:, 1:]
+        got = units.select("i", "block", "place", "target", "features", "model").mapInPandas(run, "i int, k int, a double, n long, b double, m long")
+        return got.groupBy("i", "k").agg(*[F.sum(c).alias(c) for c in "anbm"])
 
-        def p_value(part: np.ndarray) -> float:
-            u = part.mean(axis=0)
-            return float((1 + (u[1:] >= u[0]).sum()) / (1 + len(u) - 1))
 
-        p = p_value(got)
-        if not self.compute_partial_p_values:
-            return p
-        target = np.array([t for _, t in chosen])
-        return p, {n: p_value(got[target != j]) if (target != j).any() else math.nan for j, n in enumerate(names)}
+#: Levels of a projection's forest, ten trees a part.
+_MODEL = "array<struct<level: int, part: int, feature: binary, place: binary, rate: binary>>"
+
+
+def _levels(model, trees: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(feature, last bin that goes left, rate) by level, each by tree and node."""
+    if model is None:
+        return []
+    by: dict[int, list] = {}
+    for m in model:
+        by.setdefault(m["level"], []).append(m)
+    kinds = (("feature", np.int16), ("place", np.int16), ("rate", float))
+    out = []
+    for level in sorted(by):
+        parts = {m["part"]: m for m in by[level]}
+        made = []
+        for name, kind in kinds:
+            whole = np.full((trees, 1 << level), -1 if name == "feature" else 0, kind)
+            for part, m in parts.items():
+                v = np.frombuffer(m[name], kind).reshape(-1, 1 << level)
+                whole[10 * part : 10 * part + len(v)] = v
+            made.append(whole)
+        out.append(tuple(made))
+    return out

@@ -1,46 +1,84 @@
-"""The level-wise forest against trees grown one node at a time, and out of bag."""
+"""The level-wise forest against trees grown one node at a time, out of bag, and over blocks."""
 
 import numpy as np
 import pytest
 
 from lacuna.operators import forest
-from lacuna.operators.regress import Bagged
+from lacuna.operators.forest import Forest, draws
 
 
-def by_node(codes, y, rows, f, depth, at):
-    """A tree by recursion on the same bootstrap, asked for rows ``at``."""
-    grower = Bagged(depth=depth, least=f.least, bins=f.bins)
-    tree = grower._grow(codes[rows], y[rows], depth)
-    return grower._ask(tree, codes[at])
+def by_node(codes, y, f, depth):
+    """A tree by recursion over drawn rows: a function of one row's codes."""
+    m, p = len(y), y.sum()
+    best, rule = -np.inf, None
+    if depth and m >= f.least and 0 < p < m:
+        for j in range(len(codes)):
+            for cut in range(f.bins - 1):
+                left = codes[j] <= cut
+                a, b = left.sum(), y[left].sum()
+                if 0 < a < m and b * b / a + (p - b) ** 2 / (m - a) > best:
+                    best, rule = b * b / a + (p - b) ** 2 / (m - a), (j, cut)
+    if rule is None:
+        return lambda row: p / m
+    left = codes[rule[0]] <= rule[1]
+    low, high = by_node(codes[:, left], y[left], f, depth - 1), by_node(codes[:, ~left], y[~left], f, depth - 1)
+    return lambda row: low(row) if row[rule[0]] <= rule[1] else high(row)
 
 
-def test_equals_trees_by_node():
+@pytest.fixture(scope="module")
+def sample():
     rng = np.random.default_rng(0)
-    n, t = 150, 5
-    x = rng.normal(size=(n, 3))
-    y = (x[:, 0] + 0.5 * rng.normal(size=n) > 0).astype(float)
-    f = forest.Forest(depth=4)
-    codes = f.codes(x)
-    drawn = rng.integers(0, n, (t, n))
-    weight = np.concatenate([np.bincount(d, minlength=n) for d in drawn]).astype(float)
-    rates = f._rates(codes, y, weight, t).reshape(t, n)
-    for k in range(t):
-        assert rates[k] == pytest.approx(by_node(codes.T, y, drawn[k], f, 4, np.arange(n)))
-
-
-def test_out_of_bag(monkeypatch):
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(400, 2))
-    y = (x[:, 1] > 0).astype(float)
-    p = forest.Forest(50).out_of_bag(x, y)
-    assert np.isfinite(p).all() and ((p > 0.5) == (y > 0)).mean() > 0.95
-    noise = forest.Forest(50).out_of_bag(x, rng.permutation(y))
-    assert abs(np.corrcoef(noise, y)[0, 1]) < 0.25
+    x = rng.normal(size=(150, 3))
+    y = (x[:, 0] + 0.5 * rng.normal(size=150) > 0).astype(int)
+    codes = np.array([np.searchsorted(np.quantile(v, np.linspace(0, 1, 9)[1:-1]), v) for v in x.T], np.uint8)
+    return codes, y
+
+
+def test_equals_trees_by_node(sample):
+    codes, y = sample
+    f = Forest(n_trees=4, depth=4, bins=8, seed=3)
+    w = draws(np.arange(len(y)), np.arange(4), f.seed)
+    rates = f.rates(codes, y, w)
+    for k in range(4):
+        tree = by_node(np.repeat(codes, w[k], axis=1), np.repeat(y, w[k]), f, 4)
+        assert rates[k] == pytest.approx([tree(row) for row in codes.T])
+
+
+def test_blocks_change_nothing(sample):
+    codes, y = sample
+    f, t, place = Forest(n_trees=6, depth=4, bins=8), 6, np.arange(len(y))
+    whole = f.rates(codes, y, draws(place, np.arange(t), f.seed))
+    levels = []
+    for level in range(f.depth + 1):
+        total = {}
+        for at in np.array_split(place, 4):
+            node, _ = f.walk(codes[:, at], levels, t)
+            for c, n in zip(*f.cells(codes[:, at], y[at], draws(at, np.arange(t), f.seed), node, level)):
+                total[c] = total.get(c, 0) + n
+        levels.append(f.choose(np.array(list(total), np.int64), np.array(list(total.values()), float), t, len(codes), level) if total else tuple(np.full((t, 1 << level), v) for v in (-1, 0, 0.0)))
+    assert (f.walk(codes, levels, t)[1] == whole).all()
+
+
+def test_draws_are_poisson():
+    w = draws(np.arange(20_000), np.arange(10), 7)
+    assert w.mean() == pytest.approx(1, abs=0.01) and w.var() == pytest.approx(1, abs=0.02) and (w == 0).mean() == pytest.approx(np.exp(-1), abs=0.005)
+    assert abs(np.corrcoef(w[0], w[1])[0, 1]) < 0.03 and abs(np.corrcoef(w[0][:-1], w[0][1:])[0, 1]) < 0.03
+    assert (draws(np.arange(50, 60), np.arange(3, 5), 7) == w[3:5, 50:60]).all()
+
+
+def test_out_of_bag(monkeypatch, sample):
+    codes, y = sample
+    place, rng = np.arange(len(y)), np.random.default_rng(1)
+    told = (codes[1] > 3).astype(int)
+    p = Forest(50, bins=8).out_of_bag(codes, told, place)
+    assert np.isfinite(p).all() and ((p > 0.5) == (told > 0)).mean() > 0.95
+    noise = Forest(50, bins=8).out_of_bag(codes, rng.permutation(told), place)
+    assert abs(np.corrcoef(noise, told)[0, 1]) < 0.4
     monkeypatch.setattr(forest, "ENTRIES", 1000)  # trees in several portions
-    assert ((forest.Forest(50).out_of_bag(x, y) > 0.5) == (y > 0)).mean() > 0.95
+    assert Forest(50, bins=8).out_of_bag(codes, told, place) == pytest.approx(p)
 
 
 def test_small_and_constant():
-    assert np.isnan(forest.Forest(0).out_of_bag(np.zeros((3, 1)), np.array([0.0, 1, 0]))).all()
-    flat = forest.Forest(30).out_of_bag(np.zeros((20, 2)), np.r_[np.zeros(10), np.ones(10)])
+    assert np.isnan(Forest(0).out_of_bag(np.zeros((1, 3), np.uint8), np.array([0, 1, 0]), np.arange(3))).all()
+    flat = Forest(30).out_of_bag(np.zeros((2, 20), np.uint8), np.r_[np.zeros(10, int), np.ones(10, int)], np.arange(20))
     assert np.nanmean(flat) == pytest.approx(0.5, abs=0.1)
