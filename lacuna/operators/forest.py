@@ -15,8 +15,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Rows times trees grown at once, at most: bounds a task's memory.
-ENTRIES = 2_000_000
+#: Rows times trees grown at once, at most: bounds a task's memory, and keeps its arrays near the processor.
+ENTRIES = 200_000
 
 #: P(Poisson(1) <= k) of 64 bits, k from 0.
 _UPTO = [int(2.0**64 * c) for c in np.cumsum([np.exp(-1) / f for f in np.cumprod([1, 1, 2, 3, 4, 5, 6, 7, 8])])]

@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 from ..errors import LacunaError, NotEnoughSamples
 from ..frame import about_means, bit_set, bits
 from ..functions import linalg, special
+from . import distances
 
 SUFFIX, MASK = "_imputed", "m_"
 EPS = 2.220446049250313e-16
@@ -274,23 +275,29 @@ def distance_anticorrelation(x: np.ndarray, y: np.ndarray) -> float:
     return float((1 - np.sqrt(max((a * b).mean(), 0) / var)) / 2) if var > 0 else 0.5
 
 
-def dist_corr_pattern(df: DataFrame, columns: Sequence[str], least: int = 10, most_rows: int = 5_000) -> float:
-    """By mask pattern; quadratic in a pattern's rows, so more than ``most_rows`` is an error and not a sample."""
+def dist_corr_pattern(df: DataFrame, columns: Sequence[str], least: int = 10, task_rows: int = 5_000) -> float:
+    """By mask pattern, weighted by rows; patterns of up to ``task_rows`` rows in a task each, larger ones over all tasks.
+
+    Both ways are exact: ``distances`` has the plan of the larger ones.
+    """
     rows = df.withColumn("_p", mask_pattern(columns)).where(any_masked(columns))
     sizes = {r["_p"]: r["count"] for r in rows.groupBy("_p").count().collect()}
-    if max(sizes.values(), default=0) > most_rows:
-        raise LacunaError(f"a pattern has {max(sizes.values())} rows; distance correlation takes at most {most_rows}")
     good = {p: n for p, n in sizes.items() if n >= least}
     if not good:
         raise NotEnoughSamples(max(sizes.values(), default=0), least)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf["_p"].iloc[0]
-        cols = [c for i, c in enumerate(columns) if bit_set(p, i)]
-        return pd.DataFrame({"_p": [p], "v": [distance_anticorrelation(pdf[cols].to_numpy(float), pdf[[c + SUFFIX for c in cols]].to_numpy(float))]})
+    def masked(p) -> list[str]:
+        return [c for i, c in enumerate(columns) if bit_set(p, i)]
 
-    got = rows.where(F.col("_p").isin(list(good))).groupBy("_p").applyInPandas(run, f"_p {dict(rows.dtypes)['_p']}, v double").collect()
-    return float(sum(r["v"] * good[r["_p"]] for r in got) / sum(sizes.values()))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        cols = masked(pdf["_p"].iloc[0])
+        return pd.DataFrame({"_p": pdf["_p"].iloc[:1], "v": [distance_anticorrelation(pdf[cols].to_numpy(float), pdf[[c + SUFFIX for c in cols]].to_numpy(float))]})
+
+    small = [p for p, n in good.items() if n <= task_rows]
+    got = {p: distances.distance_anticorrelation(rows.where(F.col("_p") == p), masked(p), [c + SUFFIX for c in masked(p)]) for p in good if good[p] > task_rows}
+    if small:
+        got |= {r["_p"]: r["v"] for r in rows.where(F.col("_p").isin(small)).groupBy("_p").applyInPandas(run, f"_p {dict(rows.dtypes)['_p']}, v double").collect()}
+    return float(sum(v * good[p] for p, v in got.items()) / sum(sizes.values()))
 
 
 def _each(f: Callable[..., DataFrame]) -> Callable[[DataFrame, Sequence[str]], dict[str, float]]:
