@@ -171,7 +171,8 @@ def coded_blocks(coded: DataFrame, scratch: Scratch, bins: int, block_rows: int)
             codes.append(at.tobytes())
         return pd.DataFrame({"block": [block], "place": [place.astype(np.int64).tobytes()], "codes": [codes]})
 
-    hashed = rows.withColumn("h", F.xxhash64(*names))
+    # Hashes skip NULL, so the flags tell rows apart that hold the same numbers in other columns.
+    hashed = rows.withColumn("h", F.xxhash64(*names, *[F.col(c).isNull() for c in names]))
     if n <= block_rows:
         def one(batches):
             got = list(batches)

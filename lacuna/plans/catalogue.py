@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..frame import Spec, pattern
-from ..operators import em, holes, knn, lowrank, mcar, metrics, neural, preprocessing, regress, simple
+from ..operators import distances, em, holes, knn, lowrank, mcar, metrics, neural, preprocessing, regress, simple
 from ..functions import series
 from ..sources import datasets
 from .comparator import Comparator
@@ -533,10 +533,46 @@ def little_decision(s, d):
     return s.createDataFrame([(mcar.LittleTest().test(free) > 0.01, mcar.LittleTest().test(tied) < 0.01)], "accepts_mcar boolean, rejects_mar boolean")
 
 
-@query("pklm_decision", "SELECT true AS rejects_mar")
+@query("pklm_decision", "SELECT true AS rejects_mar, true AS accepts_mcar")
 def pklm_decision(s, d):
-    e = read(s, d, "supplier").select(F.col("s_acctbal").alias("a"), F.when(F.col("s_acctbal") < F.median("s_acctbal").over(Window.partitionBy()), F.col("s_nationkey")).cast("double").alias("b"))
-    return s.createDataFrame([(mcar.PKLMTest(nb_permutation=20, nb_trees_per_proj=20).test(e) < 0.1,)], "rejects_mar boolean")
+    """Default trees, projections and permutations: holes told by another column are rejected, holes by an integer hash are not."""
+    e = read(s, d, "customer").select(F.col("c_acctbal").cast("double").alias("a"), F.col("c_nationkey").cast("double").alias("b"), "c_custkey")
+    tied = e.select("a", F.when(F.col("a") < F.median("a").over(Window.partitionBy()), F.col("b")).alias("b"))
+    free = e.select("a", F.when((F.col("c_custkey") * 7919 + 104729) % 1000 >= 300, F.col("b")).alias("b"))
+    test = mcar.PKLMTest()
+    return s.createDataFrame([(test.test(tied) < 0.05, test.test(free) > 0.05)], "rejects_mar boolean, accepts_mcar boolean")
+
+
+@query("pklm_blocks", "SELECT 0.0::DOUBLE AS gap, 9::BIGINT AS n")
+def pklm_blocks(s, d):
+    """Forests grown over blocks of rows have the statistics of forests grown on the whole table: the largest gap, and how many."""
+    c = read(s, d, "customer").select(F.col("c_acctbal").cast("double").alias("a"), F.col("c_nationkey").cast("double").alias("b"), F.col("c_custkey").cast("double").alias("c"))
+    c = c.select(F.when(F.col("c") % 7 != 3, F.col("a")).alias("a"), F.when(F.col("a") < 5000, F.col("b")).alias("b"), F.when(F.col("c") % 5 != 2, F.col("c")).alias("c"))
+    many = max(60, c.count() // 4)
+    whole, blocks = (mcar.PKLMTest(nb_permutation=1, nb_trees_per_proj=20, block_rows=r).statistics(c)[:, 0] for r in (10**7, many))
+    return s.createDataFrame([(round(float(abs(whole - blocks).max()), 6) + 0.0, len(whole))], "gap double, n long")
+
+
+_DISTANCES = """SELECT '{kind}' AS kind, round((1 - sqrt(greatest(ab, 0) / sqrt(aa * bb))) / 2, 6) + 0.0 AS v FROM (
+ SELECT any_value(mab) / any_value(n * n) + sum(a) * sum(b) / any_value(n * n * n * n) - 2 * sum(a * b) / any_value(n * n * n) AS ab, any_value(maa) / any_value(n * n) + sum(a) * sum(a) / any_value(n * n * n * n) - 2 * sum(a * a) / any_value(n * n * n) AS aa,
+ any_value(mbb) / any_value(n * n) + sum(b) * sum(b) / any_value(n * n * n * n) - 2 * sum(b * b) / any_value(n * n * n) AS bb FROM (
+ SELECT i, sum(dx) AS a, sum(dy) AS b, sum(sum(dx * dy)) OVER () AS mab, sum(sum(dx * dx)) OVER () AS maa, sum(sum(dy * dy)) OVER () AS mbb, (count(*) OVER ())::DOUBLE AS n FROM (
+ SELECT p.i, {dx} AS dx, {dy} AS dy FROM t_{kind} p, t_{kind} q) GROUP BY i))"""
+
+
+@query(
+    "metric_distance_correlation",
+    "WITH t_line AS (SELECT p_partkey AS i, p_size::DOUBLE AS x, p_retailprice::DOUBLE AS y FROM part), t_tiles AS (SELECT s_suppkey AS i, s_acctbal::DOUBLE AS x, s_nationkey::DOUBLE AS x2, (s_suppkey % 11)::DOUBLE AS y, s_acctbal::DOUBLE AS y2 FROM supplier) "
+    + _DISTANCES.format(kind="line", dx="abs(p.x - q.x)", dy="abs(p.y - q.y)")
+    + " UNION ALL "
+    + _DISTANCES.format(kind="tiles", dx="sqrt((p.x - q.x) ** 2 + (p.x2 - q.x2) ** 2)", dy="sqrt((p.y - q.y) ** 2 + (p.y2 - q.y2) ** 2)"),
+)
+def metric_distance_correlation(s, d):
+    """One column a side by rank blocks, two by tiles; blocks small enough that there are several."""
+    line = distances.distance_anticorrelation(read(s, d, "part"), ["p_size"], ["p_retailprice"], 500)
+    supplier = read(s, d, "supplier").select("s_acctbal", "s_nationkey", (F.col("s_suppkey") % 11).alias("r"), F.col("s_acctbal").alias("again"))
+    tiles = distances.distance_anticorrelation(supplier, ["s_acctbal", "s_nationkey"], ["r", "again"], 40)
+    return s.createDataFrame([("line", round(line, 6) + 0.0), ("tiles", round(tiles, 6) + 0.0)], "kind string, v double")
 
 
 @query("bins_snap", "WITH k AS (SELECT DISTINCT (10 * p_size)::DOUBLE AS v FROM part), q AS (SELECT event_id, value AS x FROM events), n AS (SELECT event_id, x, v, row_number() OVER (PARTITION BY event_id ORDER BY abs(x - v), v DESC) AS r FROM q, k) SELECT event_id, v AS x FROM n WHERE r = 1")

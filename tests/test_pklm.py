@@ -57,6 +57,9 @@ def test_codes_do_not_depend_on_blocks(spark):
 
     whole = codes(1000)
     assert sorted(whole) == list(range(200)) and whole == codes(60)
+    swapped = [(float(i), None) if j else (None, float(i)) for i in range(40) for j in (0, 1)]
+    df = spark.createDataFrame(swapped, "a double, b double")
+    assert codes(1000) == codes(30)  # the same numbers in other columns are other rows
 
 
 def test_decisions(spark):
