@@ -227,27 +227,82 @@ def interpolated(df: DataFrame, columns: list[str], spec, method: str, at: str |
     return out.withColumns(new).drop(*[f"_{k}_{c}" for c in columns for k in "pq"])
 
 
+def solve_band(first: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Solves A c = y, row i of A holding ``rows[i]`` in columns ``first[i]`` and on, these with column i among them.
+
+    Short blocks are solved at once, each for its own part and for the borders it
+    shares with its neighbours; the chain of borders is a small block-tridiagonal
+    system.  Work and memory are linear in the rows.  Splines' matrices are totally
+    positive, so blocks on the diagonal are not singular.
+    """
+    n, k = len(y), rows.shape[1] - 1
+    if not k:
+        return y / rows[:, 0]
+    m = max(16, 4 * k)
+    nb = -(-n // m)
+    i = np.repeat(np.arange(n), k + 1)
+    at = (first[:, None] + np.arange(k + 1)).ravel()
+    b, r, v = i // m, i % m, rows.ravel()
+    local = at - b * m
+    own, right = np.zeros((nb, m, m)), np.zeros((nb, m, 1 + 2 * k))  # right: y, then the last k unknowns before and the first k after
+    own[:, range(m), range(m)] = np.arange(nb * m).reshape(nb, m) >= n
+    right.reshape(nb * m, -1)[:n, 0] = y
+    for keep, put in (((local >= 0) & (local < m), None), (local < 0, 1 + k), (local >= m, 1 + k - m)):
+        if put is None:
+            own[b[keep], r[keep], local[keep]] = v[keep]
+        else:
+            inside = keep & (v != 0)
+            right[b[inside], r[inside], local[inside] + put] = v[inside]
+    part = np.linalg.solve(own, right)
+    ends = np.concatenate([part[:, :k], part[:, -k:]], axis=1)
+    known, after = np.zeros((nb, 2 * k)), np.zeros((nb, 2 * k, k))  # borders = known - after x first unknowns of the next block
+    for j in range(nb):
+        before, lhs, rhs = ends[j, :, 1 : 1 + k], np.eye(2 * k), ends[j, :, 0]
+        if j:
+            lhs[:, :k] -= before @ after[j - 1, k:]
+            rhs = rhs - before @ known[j - 1, k:]
+        got = np.linalg.solve(lhs, np.column_stack([rhs, ends[j, :, 1 + k :]]))
+        known[j], after[j] = got[:, 0], got[:, 1:]
+    border = known.copy()
+    for j in range(nb - 2, -1, -1):
+        border[j] -= after[j] @ border[j + 1, :k]
+    low, high = np.zeros((nb, k)), np.zeros((nb, k))
+    low[1:], high[:-1] = border[:-1, k:], border[1:, :k]
+    out = part[:, :, 0] - (part[:, :, 1 : 1 + k] @ low[:, :, None])[:, :, 0] - (part[:, :, 1 + k :] @ high[:, :, None])[:, :, 0]
+    return out.ravel()[:n]
+
+
+def basis(knots: np.ndarray, k: int, n: int, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of the k + 1 B-splines of degree k that may differ from 0 at each place, and their values."""
+    span = np.clip(np.searchsorted(knots, t, side="right") - 1, k, n - 1)
+    v = np.ones((len(t), 1))
+    for d in range(1, k + 1):
+        low, high = knots[span[:, None] + np.arange(1 - d, 1)], knots[span[:, None] + np.arange(1, d + 1)]
+        share = v / (high - low)
+        v = np.zeros((len(t), d + 1))
+        v[:, :-1] += share * (high - t[:, None])
+        v[:, 1:] += share * (t[:, None] - low)
+    return span - k, v
+
+
 def spline(x: np.ndarray, y: np.ndarray, at: np.ndarray, degree: int) -> np.ndarray:
-    """Interpolating B-spline with knots at the data (averaged), evaluated inside the data's range."""
-    k = min(degree, len(x) - 1)
+    """Interpolating B-spline with knots at the data (averaged), flat outside the data's range; of equal places the mean counts.
+
+    Linear in the rows.
+    """
+    x, which = np.unique(x, return_inverse=True)
+    y = np.bincount(which, y) / np.bincount(which)
+    n = len(x)
+    k = min(degree, n - 1)
     if k < 1:
-        return np.full(len(at), y[0] if len(y) else np.nan)
-    inner = np.array([x[i : i + k].mean() for i in range(1, len(x) - k)]) if len(x) > k + 1 else np.zeros(0)
+        return np.full(len(at), y[0] if n else np.nan)
+    middle, scale = (x[0] + x[-1]) / 2, x[-1] - x[0]
+    x, at = (x - middle) / scale, (np.clip(at, x[0], x[-1]) - middle) / scale
+    inner = np.lib.stride_tricks.sliding_window_view(x[1:-1], k).mean(axis=1) if n > k + 1 else np.zeros(0)
     knots = np.concatenate([np.full(k + 1, x[0]), inner, np.full(k + 1, x[-1])])
-
-    def basis(t: np.ndarray) -> np.ndarray:
-        n = len(knots) - 1
-        b = ((knots[:-1] <= t[:, None]) & (t[:, None] < knots[1:])).astype(float)
-        b[t >= knots[-1], n - k - 1] = 1.0
-        for d in range(1, k + 1):
-            left, right = knots[d:n] - knots[: n - d], knots[d + 1 :] - knots[1 : n - d + 1]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                a = np.where(left > 0, (t[:, None] - knots[: n - d]) / left, 0)
-                c = np.where(right > 0, (knots[d + 1 :] - t[:, None]) / right, 0)
-            b = a * b[:, : n - d] + c * b[:, 1 : n - d + 1]
-        return b
-
-    return basis(np.clip(at, x[0], x[-1])) @ np.linalg.lstsq(basis(x), y, rcond=None)[0]
+    c = solve_band(*basis(knots, k, n, x), y)
+    first, v = basis(knots, k, n, at)
+    return (v * c[first[:, None] + np.arange(k + 1)]).sum(axis=1)
 
 
 class ImputerInterpolation(Imputer):

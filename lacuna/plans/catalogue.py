@@ -16,7 +16,8 @@ from pyspark.sql.window import Window
 from ..frame import Spec, pattern
 from ..operators import distances, em, holes, knn, lowrank, mcar, metrics, neural, preprocessing, regress, simple
 from ..functions import series
-from ..sources import datasets
+from ..sources import datasets, tsf
+from ..storage import Scratch
 from .comparator import Comparator
 from .search import minimize, objective_of
 
@@ -287,19 +288,36 @@ def impute_var_blocks(s, d):
     return met.agg(F.count("*").alias("n"), count(F.col("x").isNull(), "n_holes"), count(far, "n_moved_by_cuts"), count(F.col("x") != F.col("x37"), "n_seen_changed"))
 
 
-_CUBIC = "round((i - 30) * (i - 30) * (i - 30) / 1000.0 + i / 7.0, 4) + 0.0"
+_CURVES = {"cubic": "(i - 30) * (i - 30) * (i - 30) / 1000.0 + i / 7.0", "quadratic": "(i - 20) * (i - 20) / 50.0 - i / 3.0"}
 
 
-@query("impute_spline", f"WITH p AS (SELECT p_partkey AS id, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) % 60 AS i FROM part) SELECT id, {_CUBIC} AS x FROM p")
-def impute_spline(s, d):
-    """A cubic of the rank, in stretches of 60 rows by brand: the spline of degree 3 gives it back in the holes."""
-    n = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1
-    p = read(s, d, "part").select(F.col("p_partkey").alias("id"), "p_brand", n.alias("n"))
-    p = p.select("id", "p_brand", F.floor(F.col("n") / 60).alias("k"), (F.col("n") % 60).alias("i"), F.max("n").over(Window.partitionBy("p_brand")).alias("last"), "n")
-    value = (F.col("i") - 30) * (F.col("i") - 30) * (F.col("i") - 30) / 1000.0 + F.col("i") / 7.0
-    hole = (F.col("i") % 7 == 3) & (F.col("n") < F.col("last")) & (F.col("i") < 59)
-    e = p.select("id", "p_brand", "k", F.when(~hole, value).alias("x"))
-    return simple.ImputerInterpolation(method="cubic", groups=["p_brand", "k"], order_by=["id"], key=["id"], columns=["x"]).fit_transform(e).select("id", (F.round("x", 4) + 0.0).alias("x"))
+def _spline(method: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        n = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1
+        p = read(s, d, "part").select(F.col("p_partkey").alias("id"), "p_brand", n.alias("n"))
+        p = p.select("id", "p_brand", F.floor(F.col("n") / 60).alias("k"), (F.col("n") % 60).alias("i"), F.max("n").over(Window.partitionBy("p_brand")).alias("last"), "n")
+        hole = (F.col("i") % 7 == 3) & (F.col("n") < F.col("last")) & (F.col("i") < 59)
+        e = p.select("id", "p_brand", "k", F.when(~hole, F.expr(_CURVES[method]).cast("double")).alias("x"))
+        return simple.ImputerInterpolation(method=method, groups=["p_brand", "k"], order_by=["id"], key=["id"], columns=["x"]).fit_transform(e).select("id", (F.round("x", 4) + 0.0).alias("x"))
+
+    run.__doc__ = f"""A {method} curve of the rank, in stretches of 60 rows by brand: the spline gives it back in the holes."""
+    return run
+
+
+for _name, _method in (("impute_spline", "cubic"), ("impute_quadratic", "quadratic")):
+    query(_name, f"WITH p AS (SELECT p_partkey AS id, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) % 60 AS i FROM part) SELECT id, round({_CURVES[_method]}, 4) + 0.0 AS x FROM p")(_spline(_method))
+
+
+@query("tsf_source", "SELECT p_brand AS series_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i, CASE WHEN p_partkey % 5 <> 2 THEN p_retailprice::DOUBLE END AS v FROM part")
+def tsf_source(s, d):
+    """Prices by brand written as .tsf files and read back by the data source, in byte ranges that cut the files."""
+    value = F.struct("p_partkey", F.when(F.col("p_partkey") % 5 != 2, F.col("p_retailprice").cast("double")).alias("v"))
+    series = read(s, d, "part").groupBy(F.col("p_brand").alias("series_name")).agg(F.transform(F.sort_array(F.collect_list(value)), lambda x: x["v"]).alias("series_value"))
+    scratch = Scratch(s)
+    tsf.write_tsf(series, f"{scratch.base}/series")
+    tsf.register(s)
+    got = s.read.format("tsf").option("split_bytes", 1_000).load(f"{scratch.base}/series")
+    return got.select("series_name", F.posexplode("series_value").alias("i", "v")).withColumn("i", F.col("i").cast("long"))
 
 
 def _planted(s: SparkSession, d: str) -> DataFrame:

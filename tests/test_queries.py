@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 
 WHERE = Path("/root/testdata/sf0.001")
 FAST = ["impute_linear", "impute_mean", "impute_mode", "impute_locf_global", "impute_knn", "impute_mice_one_sweep", "hole_transition_probs", "metric_ks", "metric_energy", "little_d2_monotone", "bins_snap", "daily_resample",
-        "impute_time_linear", "impute_em_mle", "impute_mice_full", "impute_spline", "impute_rpca_pcp", "impute_rpca_noisy", "impute_softimpute", "holes_grouped", "metric_anova_f", "metric_chi2_stat", "nan_mean_cov", "fold_signal", "acf", "pklm_decision", "metric_distance_correlation"]
+        "impute_time_linear", "impute_em_mle", "impute_mice_full", "impute_spline", "impute_quadratic", "tsf_source", "impute_rpca_pcp", "impute_rpca_noisy", "impute_softimpute", "holes_grouped", "metric_anova_f", "metric_chi2_stat", "nan_mean_cov", "fold_signal", "acf", "pklm_decision", "metric_distance_correlation"]
 
 
 @pytest.fixture(scope="module")
