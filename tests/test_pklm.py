@@ -24,8 +24,8 @@ def test_order_statistics(spark):
     assert order_statistics(spark.createDataFrame(pdf), {"a": []}) == {"a": []}
 
 
-def table(spark, n, tied):
-    rng = np.random.default_rng(3)
+def table(spark, n, tied, seed=3):
+    rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, 4))
     hidden = x[:, 0] > 0.8 if tied else rng.random(n) < 0.2
     pdf = pd.DataFrame(x, columns=list("abcd"))
@@ -66,7 +66,8 @@ def test_decisions(spark):
     quick = {"nb_permutation": 39, "nb_trees_per_proj": 25}
     p, by = mcar.PKLMTest(**quick, compute_partial_p_values=True).test(table(spark, 400, True))
     assert p < 0.06 and list(by) == list("abcd") and by["b"] > p
-    assert mcar.PKLMTest(**quick).test(table(spark, 400, False)) > 0.06
+    # One table missing at random may be rejected, at the level's rate (seed 3 has p = 0.05); most must not be.
+    assert np.median([mcar.PKLMTest(**quick).test(table(spark, 400, False, seed)) for seed in range(3, 8)]) > 0.06
 
 
 def test_u_hat():
