@@ -1,6 +1,7 @@
 """Metrics, holes, tests of missingness, preprocessing, selection, sources, streaming."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -179,3 +180,34 @@ def test_stream(spark, tmp_path):
     finally:
         q.stop()
     assert got == {("a", 1): 1.0, ("a", 2): 1.0, ("b", 1): N, ("a", 3): 1.0, ("b", 2): 5.0, ("b", 3): 5.0}
+
+
+@pytest.mark.parametrize("make", GEN[1:])
+def test_masks_over_blocks(spark, make):
+    """A group in several blocks keeps its share; holes stay apart and as long as they were drawn; nothing is placed by a search over all rows."""
+    n = 40_000
+    rows = spark.range(n).select("id", (F.col("id") % 2).alias("g"), F.when(F.col("id") % 40 > 3, 1.0).alias("_x"))
+    gen = make(seed=1, subset=["_x"], ratio_masked=0.1, order_by=["id"], groups=["g"], **{"block_rows": 1024})
+    got = gen.split(rows).toPandas().sort_values(["g", "id"], ignore_index=True)
+    assert len(got) == n and not (got["m__x"] & got["_x"].isna()).any()
+    assert (got.groupby("g")["m__x"].sum() - n / 20).abs().max() <= 1
+    by_block = got["m__x"].to_numpy().reshape(-1, 500).mean(axis=1)
+    assert by_block.min() > 0.02 and by_block.max() < 0.25
+    if make is holes.EmpiricalHoleGenerator:  # holes of two rows a group
+        m = np.r_[False, got["m__x"].to_numpy(), False].astype(int)
+        edges = np.flatnonzero(np.diff(m))
+        assert np.mean(edges[1::2] - edges[::2] == 2) > 0.99
+
+
+def test_every_free_cell_is_hidden_if_asked(spark):
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 7 != 3, 1.0).alias("x"))
+    for ratio, want in ((1.0, 2571), (0.8, 2400)):
+        got = holes.GeometricHoleGenerator(subset=["x"], ratio_masked=ratio, order_by=["id"], block_rows=256).split(rows)
+        assert got.where("m_x").count() == want
+
+
+def test_placing_takes_one_search_a_length():
+    free = np.ones(400_000, bool)
+    start = time.process_time()
+    mask = holes.place(free, {1: 30_000, 2: 5_000}, np.random.default_rng(0))
+    assert mask.sum() == 40_000 and time.process_time() - start < 10
