@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.base import Imputer
-from ..operators.holes import MASK, HoleGenerator, hide
-from ..operators.metrics import POINTWISE, SUFFIX, get_metric, long_scores
+from ..operators.holes import MASK, HoleGenerator
+from ..operators.metrics import POINTWISE, get_metric, long_scores
 from ..storage import Scratch
-from .search import optimize
+from .search import optimize, refilled
 
 
 class Comparator:
@@ -33,11 +33,7 @@ class Comparator:
 
     def errors(self, model: Imputer, fold: DataFrame, columns: Sequence[str]) -> DataFrame:
         """(metric, column, value) of one imputer on one masked table."""
-        key = list(model.spec.key or model.spec.order_by)
-        source = [c for c in fold.columns if not c.startswith(MASK) and c != "fold"]
-        filled = model.fit_transform(hide(fold, columns).select(*source))
-        made = filled.select(*[F.col(k).alias(f"_k_{k}") for k in key], *[F.col(c).alias(c + SUFFIX) for c in columns])
-        both = fold.join(made, [fold[k].eqNullSafe(F.col(f"_k_{k}")) for k in key]).drop(*[f"_k_{k}" for k in key])
+        both = refilled(model, fold, columns)
         point = [m for m in self.metrics if m in POINTWISE]
         rows = long_scores(both, columns, point) if point else None
         rest = [(m, c, None if v is None else float(v)) for m in self.metrics if m not in POINTWISE for c, v in get_metric(m)(both, columns).items()]

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions import rand
 from ..operators.base import Imputer
-from ..operators.holes import hide
+from ..operators.holes import MASK, hide
 from ..operators.metrics import SUFFIX, get_metric
 
+#: The column in which the truth and the masks travel through an imputer.
+KEPT = "_lacuna_kept"
+
 #: A parameter's space: ("uniform", low, high), ("loguniform", low, high), ("int", low, high) or ("choice", values).
 Space = dict[str, tuple]
 
@@ -60,19 +63,32 @@ def minimize(objective: Callable[[dict], float], space: Space, max_evals: int =
     return min(tried, key=lambda t: t[1])
 
 
+def refilled(imputer: Imputer, fold: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``fold`` with what the imputer makes of its columns, masked cells hidden, as ``c<suffix>``.
+
+    An imputer that is told its columns takes truth and masks along on their rows, so
+    no join brings them back; else rows meet by their key.
+    """
+    source = [c for c in fold.columns if not c.startswith(MASK) and c != "fold"]
+    made = [F.col(c).alias(c + SUFFIX) for c in columns]
+    if imputer.columns is not None:
+        kept = [*columns, *[c for c in fold.columns if c.startswith(MASK)]]
+        hidden = hide(fold.withColumn(KEPT, F.struct(*kept)), columns).select(*source, KEPT)
+        rest = [c for c in source if c not in set(columns)]
+        return imputer.fit_transform(hidden).select(*rest, *[F.col(KEPT)[c].alias(c) for c in kept], *made)
+    key = list(imputer.spec.key or imputer.spec.order_by)
+    filled = imputer.fit_transform(hide(fold, columns).select(*source)).select(*[F.col(k).alias(f"_k_{k}") for k in key], *made)
+    return fold.join(filled, [fold[k].eqNullSafe(F.col(f"_k_{k}")) for k in key]).drop(*[f"_k_{k}" for k in key])
+
+
 def objective_of(imputer: Imputer, masked: DataFrame, columns: Sequence[str], metric: str) -> Callable[[dict], float]:
     """The mean over folds and columns of a metric, as a function of parameters."""
-    key = list(imputer.spec.key or imputer.spec.order_by)
     folds = [r["fold"] for r in masked.select("fold").distinct().orderBy("fold").collect()]
 
     def value(params: dict) -> float:
         got = []
         for f in folds:
-            fold = masked.where(F.col("fold") == f)
-            source = [c for c in fold.columns if not c.startswith("m_") and c != "fold"]
-            filled = imputer.with_params(**params).fit_transform(hide(fold, columns).select(*source))
-            made = filled.select(*[F.col(k).alias(f"_k_{k}") for k in key], *[F.col(c).alias(c + SUFFIX) for c in columns])
-            both = fold.join(made, [fold[k].eqNullSafe(F.col(f"_k_{k}")) for k in key])
+            both = refilled(imputer.with_params(**params), masked.where(F.col("fold") == f), columns)
             got += [v for v in get_metric(metric)(both, columns).values() if v is not None]
         return float(np.mean(got))
 

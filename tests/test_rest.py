@@ -12,7 +12,7 @@ from lacuna.frame import Spec
 from lacuna.functions import linalg, special
 from lacuna.operators import holes, mcar, metrics, preprocessing, simple
 from lacuna.plans.comparator import Comparator, rank_imputers
-from lacuna.plans.search import minimize, optimize
+from lacuna.plans.search import minimize, optimize, refilled
 from lacuna.sources import datasets, tsf
 from lacuna.streaming.carry import stream_locf
 
@@ -211,3 +211,14 @@ def test_placing_takes_one_search_a_length():
     start = time.process_time()
     mask = holes.place(free, {1: 30_000, 2: 5_000}, np.random.default_rng(0))
     assert mask.sum() == 40_000 and time.process_time() - start < 10
+
+
+def test_scores_need_no_join_by_key(series):
+    """Truth and masks travel with their rows, and give what a join by key gives."""
+    masked = series.withColumns({"m_y": (F.col("i") % 11 == 2) & F.col("y").isNotNull(), "fold": F.lit(0)})
+    kw = {"order_by": ["i"], "key": ["i"], "groups": ["g"]}
+    told, untold = refilled(simple.ImputerLOCF(columns=["x", "y"], **kw), masked, ["y"]), refilled(simple.ImputerLOCF(**kw), masked, ["y"])
+    names = ["i", "g", "x", "y", "m_y", "y_imputed"]
+    assert sorted(map(str, told.select(names).collect())) == sorted(map(str, untold.select(names).collect()))
+    plan = refilled(simple.ImputerSimple(strategy="constant", columns=["y"], key=["i"]), masked, ["y"])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
