@@ -22,6 +22,8 @@ from ..storage import Scratch
 
 #: Rows of a rank block, and of a tile's side; and the most rank blocks, whose cells in two dimensions come to the driver.
 LINE_ROWS, TILE_ROWS, MOST_BLOCKS = 100_000, 2_000, 512
+#: The most blocks of which each two make a tile, and the rows by rows whose distances a task holds at once.
+MOST_TILES, HELD_ROWS = 64, 1_000
 
 
 def dominated(u: np.ndarray, v: np.ndarray, x: np.ndarray, y: np.ndarray) -> float:
@@ -113,11 +115,15 @@ def _line(rows: DataFrame, scratch: Scratch, block_rows: int) -> float:
 
 
 def _tiles(rows: DataFrame, d: int, scratch: Scratch, tile_rows: int) -> float:
-    """Any number of columns a side: tiles of two blocks give their part of the row sums and of the sums of products."""
+    """Any number of columns a side: tiles of two blocks give their part of the row sums and of the sums of products.
+
+    Blocks grow with the table beyond ``MOST_TILES``, so what tiles receive and send
+    grows with the rows; a task walks through its tile in pieces.
+    """
     names = [f"x{i}" for i in range(d)] + [f"y{i}" for i in range(d)]
     rows = scratch.save(about_means(rows.toDF(*names), names)[0].withColumn("h", F.xxhash64(*names, F.monotonically_increasing_id())), "tiles")
     n = rows.count()
-    k = max(1, -(-n // tile_rows))
+    k = max(1, min(MOST_TILES, -(-n // tile_rows)))
 
     def pack(key, pdf):
         return pd.DataFrame({"block": [int(key[0])], "n": [len(pdf)], "v": [pdf[names].to_numpy(float).tobytes()]})
@@ -131,11 +137,17 @@ def _tiles(rows: DataFrame, d: int, scratch: Scratch, tile_rows: int) -> float:
         for pdf in batches:
             for p, v, q, w in zip(pdf["p"], pdf["v"], pdf["q"], pdf["w"]):
                 v, w = (np.frombuffer(z, float).reshape(-1, 2 * d) for z in (v, w))
-                a, b = distances(v[:, :d], w[:, :d]), distances(v[:, d:], w[:, d:])
-                sums = [(a * b).sum(), (a * a).sum(), (b * b).sum()]
-                out = [(p, a.sum(axis=1).tobytes(), b.sum(axis=1).tobytes(), *(np.array(sums) * (1 + (p != q))))]
+                rows, across, sums = np.zeros((2, len(v))), np.zeros((2, len(w))), np.zeros(3)
+                for i in range(0, len(v), HELD_ROWS):
+                    for j in range(0, len(w), HELD_ROWS):
+                        vi, wj = v[i : i + HELD_ROWS], w[j : j + HELD_ROWS]
+                        a, b = distances(vi[:, :d], wj[:, :d]), distances(vi[:, d:], wj[:, d:])
+                        sums += [(a * b).sum(), (a * a).sum(), (b * b).sum()]
+                        rows[:, i : i + HELD_ROWS] += a.sum(axis=1), b.sum(axis=1)
+                        across[:, j : j + HELD_ROWS] += a.sum(axis=0), b.sum(axis=0)
+                out = [(p, rows[0].tobytes(), rows[1].tobytes(), *(sums * (1 + (p != q))))]
                 if p != q:
-                    out.append((q, a.sum(axis=0).tobytes(), b.sum(axis=0).tobytes(), 0.0, 0.0, 0.0))
+                    out.append((q, across[0].tobytes(), across[1].tobytes(), 0.0, 0.0, 0.0))
                 yield pd.DataFrame(out, columns=["block", "a", "b", "ab", "aa", "bb"])
 
     def add(pdf):

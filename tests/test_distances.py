@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lacuna.operators import distances, metrics
 from lacuna.operators.metrics import MASK, SUFFIX
+from lacuna.storage import Scratch
 
 
 def test_dominated():
@@ -53,3 +54,17 @@ def test_large_patterns_as_small_ones(sample):
     pdf, df = sample
     scored = df.select(F.col("x"), F.col("y").alias("x" + SUFFIX), F.col("t"), F.col("z").alias("t" + SUFFIX), (F.col("z") > 300).alias(MASK + "x"), (F.col("x") > 1e6).alias(MASK + "t"))
     assert metrics.dist_corr_pattern(scored, ["x", "t"], task_rows=100) == pytest.approx(metrics.dist_corr_pattern(scored, ["x", "t"]), abs=1e-6)
+
+
+def test_tiles_do_not_multiply_with_the_rows(spark, monkeypatch):
+    """Beyond the most blocks, blocks grow and are walked through in pieces: the same value, and few tiles."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 2))
+    rows = spark.createDataFrame([tuple(map(float, (*p, *q))) for p, q in zip(x, x**2 + rng.normal(size=(600, 2)))], "a double, b double, c double, d double")
+    before = distances.distance_anticorrelation(rows, ["a", "b"], ["c", "d"], 600)
+    monkeypatch.setattr(distances, "MOST_TILES", 4)
+    monkeypatch.setattr(distances, "HELD_ROWS", 64)
+    saved, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name="t", **k: saved.append((name, save(self, df, name, **k))) or saved[-1][1])
+    assert distances.distance_anticorrelation(rows, ["a", "b"], ["c", "d"], 5) == pytest.approx(before, abs=1e-12)
+    assert dict(saved)["blocks"].count() == 4
