@@ -13,8 +13,8 @@ from ..operators.base import Imputer
 from ..operators.holes import MASK, hide
 from ..operators.metrics import SUFFIX, get_metric
 
-#: The column in which the truth and the masks travel through an imputer.
-KEPT = "_lacuna_kept"
+#: How the columns begin in which truth and masks travel through an imputer.
+KEPT = "_lacuna_kept_"
 
 #: A parameter's space: ("uniform", low, high), ("loguniform", low, high), ("int", low, high) or ("choice", values).
 Space = dict[str, tuple]
@@ -73,9 +73,9 @@ def refilled(imputer: Imputer, fold: DataFrame, columns: Sequence[str]) -> DataF
     made = [F.col(c).alias(c + SUFFIX) for c in columns]
     if imputer.columns is not None:
         kept = [*columns, *[c for c in fold.columns if c.startswith(MASK)]]
-        hidden = hide(fold.withColumn(KEPT, F.struct(*kept)), columns).select(*source, KEPT)
+        hidden = hide(fold.withColumns({KEPT + c: F.col(c) for c in kept}), columns).select(*source, *[KEPT + c for c in kept])
         rest = [c for c in source if c not in set(columns)]
-        return imputer.fit_transform(hidden).select(*rest, *[F.col(KEPT)[c].alias(c) for c in kept], *made)
+        return imputer.fit_transform(hidden).select(*rest, *[F.col(KEPT + c).alias(c) for c in kept], *made)
     key = list(imputer.spec.key or imputer.spec.order_by)
     filled = imputer.fit_transform(hide(fold, columns).select(*source)).select(*[F.col(k).alias(f"_k_{k}") for k in key], *made)
     return fold.join(filled, [fold[k].eqNullSafe(F.col(f"_k_{k}")) for k in key]).drop(*[f"_k_{k}" for k in key])

@@ -220,5 +220,7 @@ def test_scores_need_no_join_by_key(series):
     told, untold = refilled(simple.ImputerLOCF(columns=["x", "y"], **kw), masked, ["y"]), refilled(simple.ImputerLOCF(**kw), masked, ["y"])
     names = ["i", "g", "x", "y", "m_y", "y_imputed"]
     assert sorted(map(str, told.select(names).collect())) == sorted(map(str, untold.select(names).collect()))
+    curve = refilled(simple.ImputerInterpolation(method="cubic", columns=["x", "y"], **kw), masked, ["y"])  # through pandas
+    assert sorted(map(str, curve.select("i", "y").collect())) == sorted(map(str, masked.select("i", "y").collect()))
     plan = refilled(simple.ImputerSimple(strategy="constant", columns=["y"], key=["i"]), masked, ["y"])._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Exchange" not in plan
