@@ -40,24 +40,31 @@ class KeyMap:
         self.bits = min(most, max(PAGE, (512 * keys.count()).bit_length()))
         low = F.pmod(key, F.lit(1 << self.bits))
         pages = keys.select(F.shiftright(low, PAGE).alias("page"), F.pmod(key, F.lit(1 << PAGE)).alias("at")).groupBy("page").agg(F.bitmap_construct_agg("at").alias("map"))
-        pages = spark.range(1 << (self.bits - PAGE)).withColumnRenamed("id", "page").join(pages, "page", "left")
         word = lambda i: F.conv(F.hex(F.substring("map", i * 4 + 1, F.lit(4))), 16, 10).cast("long")
         signed = lambda x: F.when(x >= 1 << 31, x - (1 << 32)).otherwise(x).cast("int")
         words = F.transform(F.sequence(F.lit(0), F.lit((1 << (PAGE - WORD)) - 1)), lambda i: F.coalesce(signed(word(i)), F.lit(0)))
-        self.words = pages.select("page", words.alias("words")).agg(F.transform(F.array_sort(F.collect_list(F.struct("page", "words"))), lambda x: x["words"]).alias("words")).scalar()
+        self.pages = pages.select("page", words.alias("words"))
+        every = spark.range(1 << (self.bits - PAGE)).withColumnRenamed("id", "page").join(pages, "page", "left")
+        self.words = every.select("page", words.alias("words")).agg(F.transform(F.array_sort(F.collect_list(F.struct("page", "words"))), lambda x: x["words"]).alias("words")).scalar()
 
     def has(self, key: Column) -> Column:
         """Whether the key may be in the table; null for a null key."""
-        low = F.pmod(key, F.lit(1 << self.bits)).cast("int")
-        page, at = F.shiftright(low, PAGE), low.bitwiseAND(F.lit((1 << PAGE) - 1))
+        return self._bit(F.get(self.words, F.shiftright(self._low(key), PAGE)), key)
+
+    def _low(self, key: Column) -> Column:
+        return F.pmod(key, F.lit(1 << self.bits)).cast("int")
+
+    def _bit(self, words: Column, key: Column) -> Column:
+        """Whether the key's bit is set in its page."""
+        at = self._low(key).bitwiseAND(F.lit((1 << PAGE) - 1))
         # A word's first byte is its highest.
         shift = (3 - F.shiftright(at, 3).bitwiseAND(F.lit(3))) * 8 + at.bitwiseAND(F.lit(7))
-        word = F.get(F.get(self.words, page), F.shiftright(at, WORD))
-        return F.call_function("shiftright", word, shift).bitwiseAND(F.lit(1)) == 1
+        return F.call_function("shiftright", F.get(words, F.shiftright(at, WORD)), shift).bitwiseAND(F.lit(1)) == 1
 
     def found(self, rows: DataFrame, column: str) -> DataFrame:
         """The rows whose key may be in the table."""
-        return rows.where(self.has(F.col(column)))
+        key, pages = rows[column], self.pages.toDF("page_", "words_")
+        return rows.join(F.broadcast(pages), (F.shiftright(self._low(key), PAGE).cast("long") == pages["page_"]) & self._bit(pages["words_"], key), "left_semi")
 
 
 def thin(rows: DataFrame, about: int, seed: int = 7) -> DataFrame:
