@@ -7,6 +7,11 @@ block alone decides its splits from its own (`Forest.out_of_bag`), several block
 add theirs up first (`cells`, `choose`, `walk`).  Rows that a tree did not draw walk
 along with weight 0 and take the rate of the leaf they reach: the out-of-bag
 probabilities.  Both ways give the same trees.
+
+Rows of the same codes go the same way in every tree.  Where all lines of codes that
+the features can have are few, a forest counts how often each tree draws each line
+with each label, once, and grows from these counts (`line_counts`, `grow`): the same
+histograms, so the same trees, and no row is met again before its out-of-bag trees.
 """
 
 from __future__ import annotations
@@ -18,23 +23,37 @@ import numpy as np
 #: Rows times trees grown at once, at most: bounds a task's memory, and keeps its arrays near the processor.
 ENTRIES = 200_000
 
+#: Lines of bin codes, at most, that a forest counts as such: two features of 32 bins.
+LINES = 1024
+
 #: P(Poisson(1) <= k) of 64 bits, k from 0.
 _UPTO = [int(2.0**64 * c) for c in np.cumsum([np.exp(-1) / f for f in np.cumprod([1, 1, 2, 3, 4, 5, 6, 7, 8])])]
 
 
-def draws(place: np.ndarray, trees: np.ndarray, seed: int) -> np.ndarray:
-    """How often each tree draws each row, trees first: a Poisson(1) number from a mixed hash of place, tree and seed."""
+def _mixed(place: np.ndarray, trees: np.ndarray, seed: int) -> np.ndarray:
+    """A mixed hash of place, tree and seed, trees first."""
     with np.errstate(over="ignore"):
         z = (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None] + ((trees.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03) + np.uint64(seed % (1 << 32)) * np.uint64(0x8CB92BA72F3D8DD7))[:, None]
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         z ^= z >> np.uint64(31)
+    return z
+
+
+def draws(place: np.ndarray, trees: np.ndarray, seed: int) -> np.ndarray:
+    """How often each tree draws each row, trees first: a Poisson(1) number from a mixed hash of place, tree and seed."""
+    z = _mixed(place, trees, seed)
     out = np.zeros(z.shape, np.uint8)
     for c in _UPTO:
         out += z >= np.uint64(min(c, (1 << 64) - 1))
     return out
 
 
+def left_out(place: np.ndarray, trees: np.ndarray, seed: int) -> np.ndarray:
+    """Where ``draws`` is 0."""
+    return _mixed(place, trees, seed) < np.uint64(_UPTO[0])
+
+
 def best_splits(h: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By node the feature (-1: a leaf), the last bin that goes left, and the rate, of counts (node, feature, bin, label).
 
@@ -67,14 +86,26 @@ class Forest:
         step = max(1, ENTRIES // max(n, 1))
         return [np.arange(a, min(a + step, self.n_trees)) for a in range(0, self.n_trees, step)]
 
-    def out_of_bag(self, codes: np.ndarray, y: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Of one block, codes feature by feature: the mean rate that trees which did not draw a row give it; NaN where all did."""
-        total, count = np.zeros(len(y)), np.zeros(len(y))
-        for trees in self.portions(len(y)):
-            w = draws(place, trees, self.seed)
-            rate = self.rates(codes, y, w)
-            total += np.where(w == 0, rate, 0).sum(axis=0)
-            count += (w == 0).sum(axis=0)
+    def out_of_bag(self, codes: np.ndarray, y: np.ndarray, place: np.ndarray, levels: list | None = None) -> np.ndarray:
+        """Of a block, codes feature by feature: the mean rate that trees which did not draw a row give it; NaN where all did.
+
+        The trees are those of ``levels``, by default grown from the block as all there is.
+        """
+        n, f, by_line = len(y), len(codes), None
+        if self.few_lines(f) and 2 * self.bins**f <= n:
+            line = self.line_of(codes)
+            by_line = self.walk(self.lines(f), levels or self.grow(f, self.line_counts(codes, y, place, np.arange(self.n_trees))), self.n_trees)[1]
+        total, count = np.zeros(n), np.zeros(n)
+        for trees in self.portions(n):
+            out = left_out(place, trees, self.seed)
+            if by_line is not None:
+                rate = by_line[trees][:, line]
+            elif levels:
+                rate = self.walk(codes, [tuple(v[trees] for v in level) for level in levels], len(trees))[1]
+            else:
+                rate = self.rates(codes, y, draws(place, trees, self.seed))
+            total += np.where(out, rate, 0).sum(axis=0)
+            count += out.sum(axis=0)
         with np.errstate(invalid="ignore", divide="ignore"):
             return total / count
 
@@ -146,3 +177,35 @@ class Forest:
         if level == self.depth:
             feature[:] = -1
         return tuple(v.reshape(t, 1 << level) for v in (feature, place, value))
+
+    # -- few lines: all that the trees need of the rows is how often they draw each ---------------------
+
+    def few_lines(self, f: int) -> bool:
+        return self.bins**f <= LINES
+
+    def lines(self, f: int) -> np.ndarray:
+        """All lines of codes of ``f`` features, feature by feature."""
+        return np.indices((self.bins,) * f).reshape(f, -1)
+
+    def line_of(self, codes: np.ndarray) -> np.ndarray:
+        """By row its place among ``lines``."""
+        return np.ravel_multi_index(tuple(codes.astype(np.int64)), (self.bins,) * len(codes))
+
+    def line_counts(self, codes: np.ndarray, y: np.ndarray, place: np.ndarray, trees: np.ndarray) -> np.ndarray:
+        """A block's part of how often each tree draws the lines with label 0 and then those with label 1, trees first."""
+        k = self.bins ** len(codes)
+        at, step = y * k + self.line_of(codes), max(1, ENTRIES // max(len(y), 1))
+        out = np.zeros((len(trees), 2 * k))
+        for a in range(0, len(trees), step):
+            for t, w in enumerate(draws(place, trees[a : a + step], self.seed), a):
+                out[t] = np.bincount(at, w, 2 * k)
+        return out
+
+    def grow(self, f: int, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The levels of trees that draw lines this often."""
+        codes, y, t = np.tile(self.lines(f), 2), np.repeat([0, 1], self.bins**f), len(counts)
+        levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for level in range(self.depth + 1):
+            node, _ = self.walk(codes, levels, t)
+            levels.append(self.choose(*self.cells(codes, y, counts, node, level), t, f, level))
+        return levels

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Sequence
@@ -19,7 +20,7 @@ from ..functions import rand, select, special
 from ..functions.ranks import ranked
 from ..storage import Scratch
 from .em import WIDE, gaussian_em, gaussian_em_rows, pattern_moments, unpack
-from .forest import Forest, draws
+from .forest import LINES, Forest, draws
 
 
 @dataclass(frozen=True)
@@ -157,7 +158,8 @@ def coded_blocks(coded: DataFrame, scratch: Scratch, bins: int, block_rows: int)
     deal the places out in turn, so each is like the whole table.
     """
     names = [f"c{i}" for i in range(len(coded.columns))]
-    rows = coded.toDF(*names)
+    # Cuts and places take some passes; what made the rows is done once.
+    rows = scratch.save(coded.toDF(*names), "rows", tidy=False)
     n, cuts = cut_points(rows, bins, block_rows)
     schema = "block int, place binary, codes array<binary>"
 
@@ -240,10 +242,13 @@ class PKLMTest:
 
     Rows lie as bytes of bin codes in blocks of ``block_rows``; a unit of work is a
     projection on a block.  A table of one block grows each forest in the projection's
-    task.  With more blocks the forests grow level by level: every unit counts its cells
+    task.  With more blocks every unit of one or two features counts how often trees draw
+    its lines of codes, one aggregate adds them up, and ten trees are grown from them in a
+    task.  Forests of more features grow level by level: every unit counts its cells
     (tree, node, feature, bin, label), one aggregate adds them up, and the splits of ten
-    trees are chosen in a task; forests are tables, of a size that only the parameters
-    set.  Trees do not depend on the blocks.  Patterns are permuted within blocks, each
+    trees are chosen in a task.  Forests are tables, of a size that only the parameters
+    set, and go to the units by broadcast, so that these stay spread.  Trees do not depend
+    on the blocks.  Patterns are permuted within blocks, each
     of which is like the whole table: the statistics of permuted patterns, and nothing
     else, change with the blocks.  Only sums by projection come to the driver.
 
@@ -287,7 +292,7 @@ class PKLMTest:
         if n_blocks == 1:
             probabilities = units.withColumn("model", F.lit(None).cast(_MODEL))
         else:
-            probabilities = units.join(self._grow(units, chosen, scratch), "i")
+            probabilities = self._grow(units, chosen, scratch)
         sums = self._sums(probabilities)
         u = np.zeros((len(chosen), self.nb_permutation + 1))
         for r in sums.collect():
@@ -302,18 +307,50 @@ class PKLMTest:
         each = blocks.select("block", "place", "codes", F.explode(plan).alias("x"))
         units = each.select("x.i", "block", "place", F.col("codes")[F.col("x.t")].alias("target"), F.transform("x.f", lambda j: F.col("codes")[j]).alias("features"))
         tasks = min(len(chosen) * n_blocks, max(2000, n_blocks)) if n_blocks > 1 else len(chosen)
-        return units.repartition(tasks), n_blocks
+        return units.repartitionByRange(tasks, "i", "block"), n_blocks
 
     def _forest(self, i: int) -> Forest:
         return Forest(self.nb_trees_per_proj, seed=self.seed * 1_000_003 + i)
 
     def _grow(self, units: DataFrame, chosen: list, scratch: Scratch) -> DataFrame:
-        """(i, model): the forests of all projections, their levels as bytes."""
-        width = {i: len(f) for i, (f, _) in enumerate(chosen)}
-        stored, depth, trees = scratch.save(units, "units"), Forest().depth, self.nb_trees_per_proj
+        """``units`` with the forests of their projections, whose levels are bytes."""
+        stored, forest = scratch.save(units, "units"), Forest()
+        few = [forest.few_lines(len(f)) for f, _ in chosen]
+        thin = F.pow(F.lit(forest.bins), F.size("features")) <= LINES
+        grown = [self._grow_lines(stored.where(thin), chosen, scratch)] if any(few) else []
+        grown += [self._grow_levels(stored.where(~thin), chosen, scratch)] if not all(few) else []
+        return stored.join(F.broadcast(self._models(functools.reduce(DataFrame.unionAll, grown))), "i")
+
+    def _grow_lines(self, units: DataFrame, chosen: list, scratch: Scratch) -> DataFrame:
+        """(i, part, level, feature, place, rate) of forests over few lines, from one count of the lines that trees draw."""
+        width, trees = {i: len(f) for i, (f, _) in enumerate(chosen)}, self.nb_trees_per_proj
+
+        def count(batches):
+            for pdf in batches:
+                for i, place, target, features in zip(pdf["i"], pdf["place"], pdf["target"], pdf["features"]):
+                    codes, y, at, _ = _arrays(place, target, features)
+                    for part in range(-(-trees // 10)):
+                        n = self._forest(i).line_counts(codes, y, at, np.arange(10 * part, min(10 * part + 10, trees))).ravel()
+                        cell = np.flatnonzero(n)
+                        yield pd.DataFrame({"i": i, "part": part, "cell": cell, "n": n[cell].astype(np.int64)})
+
+        def grow(key, pdf):
+            i, part = int(key[0]), int(key[1])
+            forest, t = self._forest(i), min(10, trees - 10 * part)
+            counts = np.zeros((t, 2 * forest.bins ** width[i]))
+            counts.ravel()[pdf["cell"].to_numpy()] = pdf["n"].to_numpy()
+            return pd.concat(_level(i, part, level, *made) for level, made in enumerate(forest.grow(width[i], counts)))
+
+        drawn = units.select("i", "place", "target", "features").mapInPandas(count, "i int, part int, cell long, n long")
+        summed = drawn.groupBy("i", "part", "cell").agg(F.sum("n").alias("n"))
+        return scratch.save(summed.groupBy("i", "part").applyInPandas(grow, _LEVEL), "forests")
+
+    def _grow_levels(self, units: DataFrame, chosen: list, scratch: Scratch) -> DataFrame:
+        """(i, part, level, feature, place, rate) of any forests, from one count of cells for each level."""
+        width, depth, trees = {i: len(f) for i, (f, _) in enumerate(chosen)}, Forest().depth, self.nb_trees_per_proj
         grown = None
         for level in range(depth + 1):
-            known = stored.withColumn("model", F.lit(None).cast(_MODEL)) if grown is None else stored.join(self._models(grown), "i")
+            known = units.withColumn("model", F.lit(None).cast(_MODEL)) if grown is None else units.join(F.broadcast(self._models(grown)), "i")
 
             def count(batches):
                 for pdf in batches:
@@ -330,14 +367,13 @@ class PKLMTest:
             def choose(key, pdf):
                 i, part = int(key[0]), int(key[1])
                 t = min(10, trees - 10 * part)
-                feature, place, rate = self._forest(i).choose(pdf["cell"].to_numpy(), pdf["n"].to_numpy(float), t, width[i], level)
-                return pd.DataFrame({"i": [i], "part": [part], "level": [level], "feature": [feature.astype(np.int16).tobytes()], "place": [place.astype(np.int16).tobytes()], "rate": [rate.astype(float).tobytes()]})
+                return _level(i, part, level, *self._forest(i).choose(pdf["cell"].to_numpy(), pdf["n"].to_numpy(float), t, width[i], level))
 
             cells = known.select("i", "place", "target", "features", "model").mapInPandas(count, "i int, part int, cell long, n long")
             summed = cells.groupBy("i", "part", "cell").agg(F.sum("n").alias("n"))
-            split = scratch.save(summed.groupBy("i", "part").applyInPandas(choose, "i int, part int, level int, feature binary, place binary, rate binary"), f"level{level}")
+            split = scratch.save(summed.groupBy("i", "part").applyInPandas(choose, _LEVEL), f"level{level}")
             grown = split if grown is None else grown.unionAll(split)
-        return self._models(grown)
+        return grown
 
     @staticmethod
     def _models(grown: DataFrame) -> DataFrame:
@@ -351,17 +387,7 @@ class PKLMTest:
             for pdf in batches:
                 for i, block, place, target, features, model in zip(pdf["i"], pdf["block"], pdf["place"], pdf["target"], pdf["features"], pdf["model"]):
                     forest, (codes, y, at, ok) = self._forest(i), _arrays(place, target, features)
-                    if model is None:
-                        p = forest.out_of_bag(codes, y, at)
-                    else:
-                        levels, total, count = _levels(model, trees), np.zeros(len(y)), np.zeros(len(y))
-                        for part in forest.portions(len(y)):
-                            out = draws(at, part, forest.seed) == 0
-                            _, rate = forest.walk(codes, [tuple(v[part] for v in lv) for lv in levels], len(part))
-                            total += np.where(out, rate, 0).sum(axis=0)
-                            count += out.sum(axis=0)
-                        with np.errstate(invalid="ignore", divide="ignore"):
-                            p = total / count
+                    p = forest.out_of_bag(codes, y, at, _levels(model, trees))
                     both, hidden = ~np.isnan(p), np.frombuffer(target, np.uint8) == HOLE
                     rows = []
                     for k in range(n_perm + 1):
@@ -374,10 +400,15 @@ class PKLMTest:
         return got.groupBy("i", "k").agg(*[F.sum(c).alias(c) for c in "anbm"])
 
 
-#: Levels of a projection's forest, ten trees a part.
+#: A level of ten trees, and a projection's forest.
+_LEVEL = "i int, part int, level int, feature binary, place binary, rate binary"
 _MODEL = "array<struct<level: int, part: int, feature: binary, place: binary, rate: binary>>"
 
 
+def _level(i: int, part: int, level: int, feature: np.ndarray, place: np.ndarray, rate: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"i": [i], "part": [part], "level": [level], "feature": [feature.astype(np.int16).tobytes()], "place": [place.astype(np.int16).tobytes()], "rate": [rate.astype(float).tobytes()]})
+
+
 def _levels(model, trees: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(feature, last bin that goes left, rate) by level, each by tree and node."""
     if model is None:

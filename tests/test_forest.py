@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from lacuna.operators import forest
-from lacuna.operators.forest import Forest, draws
+from lacuna.operators.forest import Forest, draws, left_out
 
 
 def by_node(codes, y, f, depth):
@@ -59,6 +59,27 @@ def test_blocks_change_nothing(sample):
     assert (f.walk(codes, levels, t)[1] == whole).all()
 
 
+@pytest.mark.parametrize("f", [1, 2])
+def test_few_lines_grow_the_same_trees(sample, f):
+    codes, y = sample[0][:f], sample[1]
+    forest, place, trees = Forest(n_trees=6, depth=4, bins=8, seed=5), np.arange(len(y)), np.arange(6)
+    counts = sum(forest.line_counts(codes[:, at], y[at], at, trees) for at in np.array_split(place, 3))
+    assert counts.sum() == draws(place, trees, 5).sum() and forest.few_lines(f) and not Forest().few_lines(3)
+    rates = forest.walk(forest.lines(f), forest.grow(f, counts), 6)[1][:, forest.line_of(codes)]
+    assert (rates == forest.rates(codes, y, draws(place, trees, 5))).all()
+    assert (forest.lines(f)[:, forest.line_of(codes)] == codes).all()
+
+
+def test_out_of_bag_by_line_and_by_row(monkeypatch, sample):
+    codes, y = sample
+    f, place = Forest(n_trees=30, bins=8, seed=2), np.arange(len(y))
+    by_line = [f.out_of_bag(codes[:k], y, place) for k in (1, 2)]
+    assert (left_out(place, np.arange(4), 2) == (draws(place, np.arange(4), 2) == 0)).all()
+    monkeypatch.setattr(forest, "LINES", 0)
+    for k, p in zip((1, 2), by_line):
+        assert (f.out_of_bag(codes[:k], y, place) == p).all()
+
+
 def test_draws_are_poisson():
     w = draws(np.arange(20_000), np.arange(10), 7)
     assert w.mean() == pytest.approx(1, abs=0.01) and w.var() == pytest.approx(1, abs=0.02) and (w == 0).mean() == pytest.approx(np.exp(-1), abs=0.005)

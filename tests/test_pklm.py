@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lacuna.errors import LacunaError
 from lacuna.functions.select import from_ordered_bits, order_statistics, ordered_bits
 from lacuna.operators import mcar
+from lacuna.plans import catalogue
 from lacuna.storage import Scratch
 
 
@@ -44,6 +45,39 @@ def test_blocks_change_only_permutations(spark):
     assert mcar.PKLMTest(**small).statistics(df.repartition(3)) == pytest.approx(one)
 
 
+def test_units_of_one_projection_stay_spread(spark, monkeypatch):
+    """One count grows a forest of few lines over blocks, and a projection's blocks do not meet in one task."""
+    seen, saved, sums, save = {}, [], mcar.PKLMTest._sums, Scratch.save
+
+    def watch(self, units):
+        seen["parts"] = units.select(F.spark_partition_id().alias("p")).distinct().count()
+        return sums(self, units)
+
+    monkeypatch.setattr(mcar.PKLMTest, "_sums", watch)
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name="t", tidy=True: saved.append(name) or save(self, df, name, tidy))
+    small = {"nb_permutation": 3, "nb_trees_per_proj": 12}
+    df = table(spark, 4000, True).select("a", "b")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        many = mcar.PKLMTest(**small, block_rows=700).statistics(df)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert seen["parts"] > 1 and saved.count("forests") == 1 and not [n for n in saved if n.startswith("level")]
+    assert mcar.PKLMTest(**small).statistics(df)[:, 0] == pytest.approx(many[:, 0], rel=1e-9)
+
+
+def test_decisions_take_no_window_over_the_table(spark, tmp_path, monkeypatch):
+    spark.range(41).selectExpr("id AS c_custkey", "(id * 17 % 41) / 3 AS c_acctbal", "id % 5 AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(41).selectExpr("id AS event_id", "(id * 17 % 41) / 3 AS value", "id % 5 AS user_id").write.parquet(f"{tmp_path}/events.parquet")
+    for test, name in ((mcar.PKLMTest, "pklm_decision"), (mcar.LittleTest, "little_decision")):
+        asked = []
+        monkeypatch.setattr(test, "test", lambda self, df, asked=asked: asked.append(df) or 0.5)
+        catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+        assert len(asked) == 2 and not any("Window" in df._jdf.queryExecution().toString() for df in asked)
+        assert sorted(df.where("b IS NOT NULL").count() for df in asked)[0] == 20  # 41 values, of which 20 lie below the median
+
+
 def test_codes_do_not_depend_on_blocks(spark):
     df = mcar.canonical(table(spark, 200, False))
     scratch = Scratch(spark)
